@@ -2,11 +2,11 @@
 
 import pytest
 
-from scanloom import builtin_rules, scan
+from scanloom import builtin_rules, scan, scan_scoped
 from scanloom.functions.paths import K8S_SIGNATURE
 from scanloom.operators.scopes import SCOPE_RULES
 from scanloom.rules.literals import needed_literals
-from workload.samples import SAMPLES
+from workload.samples import SAMPLES, SCOPE_SAMPLES
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +47,18 @@ def test_literals_of_shapes():
     assert set(needed_literals("abc|defg")[0]) == {"abc", "defg"}
     assert needed_literals("(?:abc)?x")[0] == ()
     assert "apiVersion:" in needed_literals(K8S_SIGNATURE)[0]
+
+
+def test_scope_samples(spark):
+    rows = [(f"r/s{i}/{name}", text + "\n") for i, (_, name, text, _) in enumerate(SCOPE_SAMPLES)]
+    found = scan_scoped(spark.createDataFrame(rows, "path string, content string")).collect()
+    for i, (code, name, _, expected) in enumerate(SCOPE_SAMPLES):
+        assert sum(r.location.file == f"r/s{i}/{name}" and r.code == code for r in found) == expected, (i, code)
+    texts = dict(rows)
+    tokens = {"PERF-001": "format", "PERF-101": "await", "PERF-102": "new Date(", "PERF-201": None, "PERF-202": "time.sleep(",
+              "PERF-301": "defer", "PERF-302": "fmt.Sprintf("}
+    for r in found:
+        at = r.location
+        token = texts[at.file].encode()[at.byte_offset:at.byte_offset + at.byte_length].decode()
+        assert tokens[r.code] in (None, token)
+        assert texts[at.file].split("\n")[at.line - 1][at.column - 1:].startswith(token)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from workload.samples import SAMPLES
+from workload.samples import SAMPLES, SCOPE_SAMPLES
 
 CORPUS_DOCS = """
 SELECT concat(source,'/',lang,'/doc_',cast(doc_id AS varchar(20)),'.txt') AS path, text AS content FROM documents
@@ -51,7 +53,7 @@ def values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows) + ")"
 
 
-SAMPLE_ROWS = [(i, code, name, text) for i, (code, name, text, _) in enumerate(SAMPLES)]
+SAMPLE_ROWS = [(i, code, name, text) for i, (code, name, text, _) in enumerate(SAMPLES + SCOPE_SAMPLES)]
 N_SAMPLES = len(SAMPLE_ROWS)
 
 # One sample per document, in front of the prose or behind it; needs a `samples` relation.
@@ -112,42 +114,44 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def over(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
+    """Run SQL with the named tables bound to DataFrames; braces in the text stay text."""
+    text = sql.replace("{", "{{").replace("}", "}}")
+    for name in frames:
+        text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
+    return spark.sql(text, **frames)
+
+
 def docs(spark, sf):
-    return spark.sql(CORPUS_DOCS.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf, "documents"))
+    return over(spark, CORPUS_DOCS, documents=table(spark, sf, "documents"))
 
 
 def code(spark, sf):
-    return spark.sql(CORPUS_CODE.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf, "documents"))
+    return over(spark, CORPUS_CODE, documents=table(spark, sf, "documents"))
 
 
-def _with_samples(spark, sf, sql):
-    rows = spark.createDataFrame(SAMPLE_ROWS, "no int, code string, name string, text string")
-    text = sql.replace("FROM documents d JOIN samples s", "FROM _documents d JOIN _samples s")
-    table(spark, sf, "documents").createOrReplaceTempView("_documents")
-    rows.createOrReplaceTempView("_samples")
-    return spark.sql(text)
+def _sample_table(spark):
+    return spark.createDataFrame(SAMPLE_ROWS, "no int, code string, name string, text string")
 
 
 def samples(spark, sf):
-    return _with_samples(spark, sf, CORPUS_SAMPLES)
+    return over(spark, CORPUS_SAMPLES, documents=table(spark, sf, "documents"), samples=_sample_table(spark))
 
 
 def manifests(spark, sf):
-    return _with_samples(spark, sf, CORPUS_MANIFESTS)
+    return over(spark, CORPUS_MANIFESTS, documents=table(spark, sf, "documents"), samples=_sample_table(spark))
 
 
 def commits(spark, sf):
-    return spark.sql(COMMITS.replace("FROM events", "FROM {events}"), events=table(spark, sf, "events"))
+    return over(spark, COMMITS, events=table(spark, sf, "events"))
 
 
 def revisions(spark, sf):
-    return spark.sql(
-        REVISIONS.replace("FROM events e JOIN corpus_code c", "FROM {events} e JOIN {code} c"),
-        events=table(spark, sf, "events"), code=code(spark, sf))
+    return over(spark, REVISIONS, events=table(spark, sf, "events"), corpus_code=code(spark, sf))
 
 
 def advisories(spark, sf):
-    return spark.sql(ADVISORIES.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf, "supplier"))
+    return over(spark, ADVISORIES, supplier=table(spark, sf, "supplier"))
 
 
 # --- DuckDB fragments --------------------------------------------------------

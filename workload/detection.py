@@ -31,14 +31,14 @@ def pattern_spans(spark, sf):
 
 
 @query("match_locations", f"""
-WITH {C.CODE_CTE}, m AS (SELECT path, content, regexp_extract_all(content, '[A-Z][a-z]+[0-9]+') AS m,
-   regexp_split_to_array(content, '[A-Z][a-z]+[0-9]+') AS p FROM corpus_code),
+WITH {C.CODE_CTE}, m AS (SELECT path, content, regexp_extract_all(content, '[a-z]+[0-9]+') AS m,
+   regexp_split_to_array(content, '[a-z]+[0-9]+') AS p FROM corpus_code),
 e AS (SELECT path, m, p, unnest(range(len(m))) AS k FROM m),
 x AS (SELECT path, m[k+1] AS hit, array_to_string(list_concat(list_transform(range(k), lambda i: p[i+1] || m[i+1]), [p[k+1]]), '') AS prefix FROM e)
 SELECT path, hit AS "match", strlen(prefix) AS byte_offset, strlen(hit) AS byte_length,
   1 + length(prefix) - length(replace(prefix, chr(10), '')) AS line, 1 + length(regexp_extract(prefix, '([^\\n]*)$', 1)) AS "column" FROM x""")
 def match_locations(spark, sf):
-    return sl.with_location(C.code(spark, sf).select("path", "content"), "content", "[A-Z][a-z]+[0-9]+")
+    return sl.with_location(C.code(spark, sf).select("path", "content"), "content", "[a-z]+[0-9]+")
 
 
 @query("user_text_rules", O.with_(C.DOCS_CTE, O.files_cte("corpus_docs"), O.rules_cte(TEXT_RULES), O.findings_ctes())
@@ -128,7 +128,7 @@ SELECT f.code, f.file FROM findings f WHERE NOT EXISTS (
   SELECT 1 FROM projects p JOIN corpus m ON starts_with(m.path, p.root || '/') WHERE list_contains(p.frameworks, 'nestjs')
    AND m.path LIKE '%.module.ts' AND contains(m.content, 'APP_GUARD') AND starts_with(f.file, p.root || '/'))""")
 def project_exemption(spark, sf):
-    modules = spark.sql(_MODULES.replace("FROM documents", "FROM {documents}"), documents=C.table(spark, sf, "documents"))
+    modules = C.over(spark, _MODULES, documents=C.table(spark, sf, "documents"))
     files = C.samples(spark, sf).select("path", "content").unionByName(modules)
     known = sl.fingerprint(C.manifests(spark, sf))
     roots = sl.exempt_roots(files, known, _CONTROLLER[0].exempt_marker, "nestjs")
@@ -152,7 +152,7 @@ SELECT CASE doc_id % 4 WHEN 0 THEN 'PERF-201' WHEN 1 THEN 'PERF-101' WHEN 2 THEN
 FROM ({_SCOPED}) WHERE doc_id % 8 < 4""")
 def scoped_lines(spark, sf):
     d = C.table(spark, sf, "documents")
-    files = spark.sql(_SCOPED.replace("FROM documents", "FROM {documents}"), documents=d)
+    files = C.over(spark, _SCOPED, documents=d)
     # The prose goes into a comment, so every text is read whole and none of it is code.
     mark = F.when(F.col("doc_id") % 4 == 0, "# ").otherwise("// ")
     prose = F.concat(mark, F.regexp_replace("text", r"[\r\n]+", " "))

@@ -39,7 +39,7 @@ FROM corpus"""
     O.findings_ctes()) + """
 SELECT code, file, line FROM findings WHERE NOT (code IN ('SEC-006', 'SEC-007') AND regexp_matches(lower(file), '(^|/)(fixtures|samples)(/|$)'))""")
 def default_noise(spark, sf):
-    placed = spark.sql(_NOISE.replace("FROM corpus", "FROM {corpus}"), corpus=C.samples(spark, sf))
+    placed = C.over(spark, _NOISE, corpus=C.samples(spark, sf))
     return sl.drop_default_noise(sl.scan(placed, RULES)).select("code", "location.file", "location.line")
 
 
@@ -94,7 +94,7 @@ directives AS (SELECT DISTINCT path, CASE suffix WHEN 'file' THEN NULL WHEN 'lin
 
 
 def _directed(spark, sf):
-    return spark.sql(_DIRECTED.replace("FROM corpus_code", "FROM {code}"), code=C.code(spark, sf))
+    return C.over(spark, _DIRECTED, corpus_code=C.code(spark, sf))
 
 
 @query("inline_directives", O.with_(C.CODE_CTE, f"directed AS ({_DIRECTED})", _DIRECTIVES) + "SELECT path, line, code FROM directives")

@@ -47,21 +47,18 @@ LOCKS = {
               f"concat('host.example/', {N})", V, "true"),
     "pubspec": (f"concat('packages:', {NL})", f"""concat('  ', {N}, ':', {NL}, '    dependency: transitive', {NL}, '    version: "', {V}, '"')""", NL,
                 f"concat({NL}, 'sdks:', {NL}, '  dart:', {NL}, '    version: \"9\"')", N, V, "true"),
-    "mix": (f"concat('%{{', {NL})".replace("{{", "{"), f"""concat('  "', {N}, '": ', CASE WHEN p_partkey % 5 = 0 THEN '{{:git, "u"' ELSE '{{:hex, :x' END, ', "', {V}, '", "h", [:mix]}},')""".replace("{{", "{").replace("}}", "}"),
+    "mix": (f"concat('%{{', {NL})", f"""concat('  "', {N}, '": ', CASE WHEN p_partkey % 5 = 0 THEN '{{:git, "u"' ELSE '{{:hex, :x' END, ', "', {V}, '", "h", [:mix]}},')""",
             NL, "'}'", N, V, "p_partkey % 5 <> 0"),
     "pom": (f"concat('<project><dependencyManagement><dependency><groupId>m</groupId><artifactId>m</artifactId><version>1</version></dependency></dependencyManagement>', {NL})",
             f"""concat(CASE WHEN p_partkey % 5 = 1 THEN '<!-- ' ELSE '' END, '<dependency><groupId> g </groupId><artifactId>', {N}, '</artifactId><version>',
-                CASE WHEN p_partkey % 5 = 0 THEN '${{v}}' ELSE {V} END, '</version></dependency>', CASE WHEN p_partkey % 5 = 1 THEN ' -->' ELSE '' END)""".replace("{{", "{").replace("}}", "}"),
+                CASE WHEN p_partkey % 5 = 0 THEN '${{v}}' ELSE {V} END, '</version></dependency>', CASE WHEN p_partkey % 5 = 1 THEN ' -->' ELSE '' END)""",
             NL, "'</project>'", f"concat('g:', {N})", V, "p_partkey % 5 > 1"),
     "gradle": (f"concat('# lock', {NL})", f"concat('g.h:', {N}, ':', {V}, '=compileClasspath,runtimeClasspath')", NL, f"concat({NL}, 'empty=annotationProcessor')",
                f"concat('g.h:', {N})", V, "true"),
     "gosum": ("''", f"concat('m.example/', {N}, ' v', {V}, ' h1:a=', {NL}, 'm.example/', {N}, ' v', {V}, '/go.mod h1:b=')", NL, "''",
               f"concat('m.example/', {N})", f"concat('v', {V})", "true"),
 }
-for _f, _row in list(LOCKS.items()):
-    LOCKS[_f] = tuple(x.replace("{{", "{").replace("}}", "}") if _f in ("npm", "pipfile", "uv", "composer", "nuget", "swift") and i == 1 else x for i, x in enumerate(_row))
 _FILE = {fmt: name for name, fmt in FORMATS.items()}
-_LONG = ("poetry", "cargo", "requirements", "gemfile", "pubspec", "yarn", "mix", "gradle", "gosum", "pnpm")  # joined by a line feed after the header
 
 
 def lock_files(spark, sf, formats=None):
@@ -71,8 +68,7 @@ def lock_files(spark, sf, formats=None):
     for fmt, (head, block, sep, foot, *_rest) in LOCKS.items():
         if formats and fmt not in formats:
             continue
-        text = spark.sql(
-            f"SELECT p_brand, p_partkey AS ord, {block.replace('{', '{{').replace('}', '}}')} AS block FROM {{part}}", part=part)
+        text = part.select("p_brand", F.col("p_partkey").alias("ord"), F.expr(block).alias("block"))
         glue = "" if head in ("''",) or not head.startswith("'") or head.startswith("'{") else "\n"
         joined = text.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("ord", "block"))).alias("b"))
         one = joined.select(
@@ -182,8 +178,7 @@ FROM orders JOIN part ON p_partkey = o_custkey"""
 
 
 def _cache(spark, sf):
-    return spark.sql(_CACHE.replace("FROM orders JOIN part", "FROM {orders} JOIN {part}"), orders=C.table(spark, sf, "orders"),
-                     part=C.table(spark, sf, "part")).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    return C.over(spark, _CACHE, orders=C.table(spark, sf, "orders"), part=C.table(spark, sf, "part")).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
 
 
 _NOW = "TIMESTAMP '1998-01-01 00:00:00'"

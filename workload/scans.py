@@ -109,7 +109,7 @@ SELECT concat('image_', cast(doc_id % 7 AS varchar(20))) AS container,
 
 
 def _blobs(spark, sf):
-    base = spark.sql(_BLOBS.replace("FROM corpus_code", "FROM {code}"), code=C.code(spark, sf))
+    base = C.over(spark, _BLOBS, corpus_code=C.code(spark, sf))
     raw = F.col("content").cast("binary")
     padded = F.when(F.col("doc_id") % 10 == 3, F.concat(F.unhex(F.repeat(F.lit("00"), 3000)), raw)).otherwise(raw)
     return base.select("container", "entry", "depth", padded.alias("bytes")).withColumn(
@@ -169,7 +169,7 @@ SELECT path, strlen(content) AS size FROM head WHERE NOT (
   regexp_matches(path, '\\.min\\.js$') OR (regexp_matches(path, '\\.(js|css)$') AND t IS NOT NULL AND strlen(t) >= 256
   AND strlen(t) // (1 + length(t) - length(replace(t, chr(10), ''))) >= 500))""")
 def minified_filter(spark, sf):
-    web = spark.sql(_WEB.replace("FROM pages", "FROM {pages}"), pages=C.table(spark, sf, "pages"))
+    web = C.over(spark, _WEB, pages=C.table(spark, sf, "pages"))
     return sl.drop_minified(web).select("path", F.octet_length("content").cast("long").alias("size"))
 
 

@@ -48,8 +48,7 @@ SELECT c.path, c.content || CASE WHEN e.event_id % 3 = 0 THEN '' ELSE concat(chr
     O.files_cte("(SELECT path, content FROM latest WHERE n = 1 AND event <> 'close')"), O.rules_cte(_RULES), O.findings_ctes())
     + f"SELECT {O.SHOWN} FROM findings")
 def stream_latest_state(spark, sf):
-    versions = spark.sql(_VERSIONS.replace("FROM events e JOIN corpus_code c", "FROM {events} e JOIN {code} c"),
-                         events=C.table(spark, sf, "events"), code=C.code(spark, sf))
+    versions = C.over(spark, _VERSIONS, events=C.table(spark, sf, "events"), corpus_code=C.code(spark, sf))
     source, log, state = (_folder(spark, n) for n in ("versions-in", "finding-log", "versions-state"))
     versions.repartition(6, F.col("version")).write.mode("overwrite").parquet(source)
     arriving = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 2).parquet(source)
