@@ -24,12 +24,12 @@ from scanloom.operators.reports import (
 )
 from scanloom.operators.scan import applicable, scan, scan_compound, scan_secrets, with_location
 from scanloom.operators.scopes import scan_scoped
-from scanloom.plans.audit import AuditConfig, AuditResult, Detector, audit, run_all
+from scanloom.plans.audit import AuditConfig, AuditResult, Detector, audit, materialise, run_all
 from scanloom.plans.inventory import packages_of, sbom
 from scanloom.rules import Rule, RuleError, load_rules
 from scanloom.rules.catalogue import builtin_rules, secret_rules
 from scanloom.sources.blobs import blob_stats, scan_blobs
-from scanloom.sources.corpus import changed_only, ignore_paths, read_corpus, to_corpus, walk_filter
+from scanloom.sources.corpus import changed_only, ignore_paths, read_corpus, spread, to_corpus, walk_filter
 from scanloom.sources.history import history_stats, scan_history
 from scanloom.sources.sinks import read_baseline, report_lines, write_baseline, write_findings
 from scanloom.streaming.live import FindingLog, scan_stream

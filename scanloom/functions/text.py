@@ -38,9 +38,8 @@ def is_binary(content) -> Column:
     """More than one NUL per hundred bytes in the first 8 KiB (integer arithmetic)."""
     probe = F.substring(_col(content).cast("binary"), 1, PROBE_BYTES)
     size = F.octet_length(probe)
-    # One marker per NUL: in hex, bytes are digit pairs, so they are told apart first.
-    pairs = F.regexp_replace(F.hex(probe), "(..)", ",$1")
-    nul = char_count(F.replace(pairs, F.lit(",00"), F.lit("#")), "#")
+    # Read as text the probe keeps its bytes, and a NUL is never part of another character.
+    nul = char_count(probe.cast("string"), "\0")
     return F.when(size == 0, F.lit(False)).otherwise(F.floor(nul * 100 / size) > 1)
 
 

@@ -2,14 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from scanloom.functions.lam import let
 from scanloom.rules.catalogue import known_prefixes
 
 DIRECTIVE = "scan-ignore"
 MIN_TOKEN = 7
 
 
+def directives_of(content: Column, name: str = DIRECTIVE, prefixes=None) -> Column:
+    """Array of (line, code) of one text; null line for the whole file, empty for most texts."""
+    prefixes = known_prefixes() if prefixes is None else tuple(prefixes)
+    pattern = F.lit(rf"(?d){name}(?:-(line|file))?\s*:\s*([^/\n]*)")
+
+    def valid(code: Column) -> Column:
+        known = F.lit(not prefixes)
+        for p in prefixes:
+            known = known | F.startswith(code, F.lit(p))
+        return (code == "*") | (
+            known & (F.char_length(code) >= MIN_TOKEN) & F.rlike(code, F.lit(r"^[A-Z0-9_-]+$")))
+
+    def of_line(text: Column, index: Column) -> Column:
+        def marks(suffix: Column, codes: Column) -> Column:
+            line = F.when(suffix == "line", index + 1).when(suffix == "", index + 2)
+            return F.transform(
+                F.filter(F.split(codes, r"[,\s]+"), valid),
+                lambda code: F.struct(line.cast("int").alias("line"), code.alias("code")))
+
+        found = F.zip_with(
+            F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), marks)
+        return F.when(F.contains(text, F.lit(name)), F.flatten(found))
+
+    # Texts without the word are not cut into lines.
+    return F.when(
+        F.contains(content, F.lit(name)),
+        F.flatten(F.filter(F.transform(F.split(content, "\n"), of_line), lambda x: x.isNotNull())),
+    )
+
+
 def parse_directives(files: DataFrame, name: str = DIRECTIVE, prefixes=None) -> DataFrame:
     """(path, line, code); a null line covers the whole file.
 
@@ -17,27 +48,22 @@ def parse_directives(files: DataFrame, name: str = DIRECTIVE, prefixes=None) ->
     ``<name>-file`` for the file. The list ends at a slash or the end of the line.
     Only built-in code families (or ``*``) count; pass ``prefixes`` to change that.
     """
-    prefixes = known_prefixes() if prefixes is None else tuple(prefixes)
-    pattern = F.lit(rf"(?d){name}(?:-(line|file))?\s*:\s*([^/\n]*)")
-    # Files without the word are dropped before their lines are cut.
-    lines = files.filter(F.contains("content", F.lit(name))).select(
-        "path", F.posexplode(F.split("content", "\n")).alias("index", "text")
-    ).filter(F.contains("text", F.lit(name)))
-    found = lines.select("path", "index", F.explode(F.arrays_zip(
-        F.regexp_extract_all("text", pattern, F.lit(1)).alias("suffix"),
-        F.regexp_extract_all("text", pattern, F.lit(2)).alias("codes"),
-    )).alias("d"))
-    tokens = found.select(
-        "path", "index", F.col("d.suffix").alias("suffix"), F.explode(F.split("d.codes", r"[,\s]+")).alias("code")
-    )
-    known = F.lit(not prefixes)
-    for p in prefixes:
-        known = known | F.startswith("code", F.lit(p))
-    valid = (F.col("code") == "*") | (
-        known & (F.char_length("code") >= MIN_TOKEN) & F.rlike("code", F.lit(r"^[A-Z0-9_-]+$"))
-    )
-    line = F.when(F.col("suffix") == "line", F.col("index") + 1).when(F.col("suffix") == "", F.col("index") + 2)
-    return tokens.filter(valid).select("path", line.cast("int").alias("line"), "code").distinct()
+    return files.filter(F.contains("content", F.lit(name))).select(
+        "path", F.inline(F.array_distinct(directives_of(F.col("content"), name, prefixes))))
+
+
+def unsilenced(findings: Column, content: Column, name: str = DIRECTIVE, prefixes=None) -> Column:
+    """Findings of one file that no directive of the file covers; array in, array out."""
+    def kept(directives: Column) -> Column:
+        return F.filter(findings, lambda f: ~F.exists(
+            directives,
+            lambda d: (d["line"].isNull() | (d["line"] == f["location"]["line"])) & ((d["code"] == "*") | (d["code"] == f["code"])),
+        ))
+
+    return F.when(
+        (F.size(findings) > 0) & F.contains(content, F.lit(name)),
+        let(F.coalesce(directives_of(content, name, prefixes), F.array().cast("array<struct<line:int,code:string>>")), kept),
+    ).otherwise(findings)
 
 
 def directives_for(findings: DataFrame, files: DataFrame, **options) -> DataFrame:

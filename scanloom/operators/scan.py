@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scanloom.functions import text
 from scanloom.functions.lam import let, running
 from scanloom.operators.classify import route_keys, with_kind
+from scanloom.operators.directives import unsilenced
 from scanloom.rules import Rule, rules_of, routes
 from scanloom.schema import FINDING_COLUMNS
 
@@ -180,24 +181,29 @@ def reachable(rules: Iterable[Rule]) -> Column | None:
     return out
 
 
-def scan(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Findings of every applicable rule in every file; matches are independent."""
+def scan(files: DataFrame, rules: Iterable[Rule], honour_directives: bool = False) -> DataFrame:
+    """Findings of every applicable rule in every file; matches are independent.
+
+    With ``honour_directives`` findings that an inline directive of the same file
+    silences are left out right here, while the text is at hand: no join later.
+    """
     rules = list(rules)
     if "kind" not in files.columns or "ext" not in files.columns:
         files = with_kind(files)
     wanted = reachable(rules)
     files = files if wanted is None else files.filter(wanted)
-    hits = _row_findings(tuple(rules), id(files.sparkSession._jvm))
+    hits = _row_findings(tuple(rules), honour_directives, id(files.sparkSession._jvm))
     return files.select(F.inline(hits)).select(*FINDING_COLUMNS)
 
 
 @lru_cache(maxsize=16)
-def _row_findings(rules: tuple[Rule, ...], _gateway: int) -> Column:
+def _row_findings(rules: tuple[Rule, ...], honour_directives: bool, _gateway: int) -> Column:
     """The scan expression over ``path, content, kind, ext``; built once per rule set and JVM."""
-    return file_findings(
+    found = file_findings(
         F.col("path"), F.col("content"),
         route_keys(F.col("kind"), F.col("ext"), F.col("path"), F.col("content")), rules,
     )
+    return let(found, lambda fs: unsilenced(fs, F.col("content"))) if honour_directives else found
 
 
 def scan_texts(df: DataFrame, path: Column, content: Column, rules: Iterable[Rule], carry=()) -> DataFrame:

@@ -40,14 +40,19 @@ class AuditConfig:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage after the expensive scan, in the shared checkpoint folder.
 
-    Findings are tiny next to the corpus, and every later step uses them more
-    than once. Without a checkpoint folder the plan is left lazy.
+    Findings are tiny next to the corpus, and later steps use them more than
+    once. Where no folder is named the rows are persisted with their lineage, so
+    a lost executor costs a rescan of its part and nothing else.
     """
     sc = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if folder and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc.getCheckpointDir() else df
+    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+
+
+# Families the pattern scan covers; performance is mixed and stays with the joins.
+SETTLED = tuple(sorted({r.family_no for r in builtin_rules()} - {FAMILIES["performance"]} | {FAMILIES["user"]}))
 
 
 def catalogue_rules(families: Iterable[str] | None = None, custom: Iterable[Rule] = ()) -> list[Rule]:
@@ -72,7 +77,9 @@ def default_detectors(config: AuditConfig, advisories: DataFrame | None = None)
     rules = catalogue_rules(custom=custom)
 
     def patterns(files: DataFrame) -> DataFrame:
-        found = materialise(scan.scan(files, rules))
+        # Directives only remove findings, as every step before them does, so the scan
+        # can honour them while it has the text.
+        found = materialise(scan.scan(files, rules, honour_directives=True))
         known = projects.fingerprint(files)
         gated = projects.gate_by_framework(found, rules, known)
         for r in rules:
@@ -142,7 +149,10 @@ def audit(files: DataFrame, config: AuditConfig | None = None, baseline: DataFra
     files = files if config.include_minified else drop_minified(files)
     raw = materialise(run_all(files, [*default_detectors(config, advisories), *detectors], crawl_errors))
     kept = configured(raw, config)
-    kept = directives.apply_directives(kept, directives.directives_for(kept, files))
+    # What the pattern scan did not settle itself: findings of other detectors.
+    others = kept.filter(~F.col("family_no").isin(*SETTLED))
+    others = directives.apply_directives(others, directives.directives_for(others, files))
+    kept = kept.filter(F.col("family_no").isin(*SETTLED)).unionByName(others)
     snapshot = pipeline.fingerprints(kept)
     if baseline is not None:
         kept = pipeline.new_since(kept, baseline)

@@ -68,6 +68,16 @@ def to_corpus(df: DataFrame, path: Column, text: Column) -> DataFrame:
     return df.select(path.alias("path"), text.alias("content"), F.octet_length(text).cast("long").alias("size"))
 
 
+def spread(files: DataFrame, key: str) -> DataFrame:
+    """Give every core some texts when a small corpus is stored in fewer splits than cores.
+
+    A corpus with enough splits is returned as it is: at size, texts are scanned
+    where they are read and never shuffled.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores * 4, key) if files.rdd.getNumPartitions() < cores else files
+
+
 def ignore_paths(files: DataFrame, patterns, root: str = "") -> DataFrame:
     """Drop files a walk with these ignore lines would skip (last match wins)."""
     path = F.col("path")

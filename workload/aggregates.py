@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import scanloom as sl
 from scanloom.functions.text import annotation_data, annotation_property
 from workload import corpora as C, oracle as O
-from workload.findings import CODE, RULES, SAMPLE, code_findings, sample_findings
+from workload.findings import CODE, RULES, SAMPLE, code_findings, once, sample_findings
 from workload.registry import query
 from workload.scans import PROJECTS_CTE
 
@@ -49,7 +49,7 @@ def scan_coverage(spark, sf):
    count(*) OVER (PARTITION BY severity) AS total, CASE severity WHEN 'high' THEN 10 WHEN 'medium' THEN 5 WHEN 'low' THEN 5 WHEN 'info' THEN 0 ELSE 1000000000 END AS cap FROM findings)
 SELECT severity, code, file, byte_offset, message, least(total, cap) AS shown, total, total - least(total, cap) AS omitted FROM r WHERE place <= cap""")
 def top_findings(spark, sf):
-    return sl.top_findings(sample_findings(spark, sf)).select(
+    return sl.top_findings(once(sample_findings(spark, sf))).select(
         "severity", "code", "location.file", "location.byte_offset", "message", "shown", "total", "omitted")
 
 
@@ -89,7 +89,7 @@ def annotation_escapes(spark, sf):
 SELECT unit, count(*) AS results, count(DISTINCT code) AS rules, min(line) AS first_line, sum(byte_length)::BIGINT AS matched_bytes,
    count(*) FILTER (severity IN ('high', 'critical')) AS errors FROM u GROUP BY unit""")
 def result_documents(spark, sf):
-    docs = sl.to_sarif(code_findings(spark, sf))
+    docs = sl.to_sarif(once(code_findings(spark, sf)))
     region = "region:struct<startLine:int,charLength:bigint>"
     shape = (f"runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,"
              f"results:array<struct<ruleId:string,level:string,locations:array<struct<physicalLocation:struct<{region}>>>>>>>")

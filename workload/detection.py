@@ -110,7 +110,7 @@ _GATE = """
 
 @query("framework_gate", O.with_(*O.sample_findings(list(builtin_rules())), PROJECTS_CTE) + _GATE + f"SELECT {O.SHOWN} FROM railed")
 def framework_gate(spark, sf):
-    found = sl.scan(C.samples(spark, sf), builtin_rules())
+    found = sl.materialise(sl.scan(C.samples(spark, sf), builtin_rules()))
     return flat(sl.gate_by_framework(found, builtin_rules(), sl.fingerprint(C.manifests(spark, sf))))
 
 
@@ -132,7 +132,7 @@ def project_exemption(spark, sf):
     files = C.samples(spark, sf).select("path", "content").unionByName(modules)
     known = sl.fingerprint(C.manifests(spark, sf))
     roots = sl.exempt_roots(files, known, _CONTROLLER[0].exempt_marker, "nestjs")
-    return sl.exempt_projects(sl.scan(files, _CONTROLLER), roots, "NEST-002").select("code", "location.file")
+    return sl.exempt_projects(sl.materialise(sl.scan(files, _CONTROLLER)), roots, "NEST-002").select("code", "location.file")
 
 
 # Code of four languages with a loop around one call; the loop is open for even documents only.

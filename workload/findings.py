@@ -28,6 +28,11 @@ def sample_findings(spark, sf):
     return sl.scan(C.samples(spark, sf), RULES)
 
 
+def once(findings):
+    """For queries that use their findings more than once."""
+    return sl.materialise(findings)
+
+
 # Sample keys and tokens below fixture-like directories, next to the same ones elsewhere.
 _NOISE = f"""
 SELECT concat(CASE doc_id % 3 WHEN 0 THEN 'lib/Fixtures/' WHEN 1 THEN 'lib/samples/x/' ELSE 'lib/main/' END, path) AS path, content
@@ -108,10 +113,18 @@ SELECT code, file, line FROM findings f WHERE NOT EXISTS (SELECT 1 FROM directiv
   AND (d.line IS NULL OR d.line = f.line) AND (d.code = '*' OR d.code = f.code))""")
 def applied_directives(spark, sf):
     files = _directed(spark, sf)
-    found = sl.scan(files, RULES)
+    found = once(sl.scan(files, RULES))
     return sl.apply_directives(found, sl.directives_for(found, files)).select("code", "location.file", "location.line")
 
 
+@query("silenced_scan", O.with_(
+    C.CODE_CTE, f"directed AS ({_DIRECTED})", O.files_cte("directed"), O.rules_cte(RULES), O.findings_ctes(), _DIRECTIVES) + """
+SELECT code, file, line FROM findings f WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE d.path = f.file
+  AND (d.line IS NULL OR d.line = f.line) AND (d.code = '*' OR d.code = f.code))""")
+def silenced_scan(spark, sf):
+    return sl.scan(_directed(spark, sf), RULES, honour_directives=True).select("code", "location.file", "location.line")
+
+
 _PRINT = "code || '|' || file || '|' || line || '|' || message"
 
 
@@ -124,7 +137,7 @@ def finding_fingerprints(spark, sf):
 , base AS (SELECT DISTINCT {_PRINT} AS fp FROM findings WHERE CAST(regexp_extract(file, '([0-9]+)[^0-9]*$', 1) AS BIGINT) % 2 = 0)
 SELECT code, file, line FROM findings WHERE {_PRINT} NOT IN (SELECT fp FROM base)""")
 def baseline_filter(spark, sf):
-    found = code_findings(spark, sf)
+    found = once(code_findings(spark, sf))
     number = F.regexp_extract("location.file", r"([0-9]+)[^0-9]*$", 1).cast("long")
     base = found.filter(number % 2 == 0).select(fingerprint_of().alias("fingerprint"))
     return sl.new_since(found, base).select("code", "location.file", "location.line")
