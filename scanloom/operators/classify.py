@@ -111,9 +111,9 @@ def route_family(files: DataFrame) -> DataFrame:
 
 def route_keys(kind: Column, ext: Column, path: Column, content: Column) -> Column:
     """Lookup keys of the rules a file may meet (see ``rules_of``)."""
-    return F.array_compact(F.array(
+    return F.array(
         F.concat(kind, F.lit(":"), ext),
         F.concat(kind, F.lit(":*")),
         F.concat(F.lit("family:"), family_of(path, content)),
         F.when((kind == "config") & paths.is_workflow(path), F.lit("family:workflow")),
-    ))
+    )

@@ -1,9 +1,10 @@
 """Pattern scan: files and rules to findings with exact spans.
 
 One narrow pass does all pattern families. Per file, the rules of its route are
-a constant array; a rule survives when its path test and one of its literals
-hold, then its required and excluded patterns are checked, and only then is the
-pattern itself run. No row is emitted before there is a hit, so a file is never
+a constant array. One gate pattern finds in a single pass which pieces of their
+literals occur; a rule survives when its piece, its literal, its path test and
+its required and excluded patterns hold, and only then is the pattern itself
+run. No row is emitted before there is a hit, so a file is never
 copied once per rule and nothing is shuffled.
 """
 
@@ -81,11 +82,11 @@ def with_location(df: DataFrame, content: str, pattern: str) -> DataFrame:
 
 # --- rules ------------------------------------------------------------------
 
-def _needles_hold(rule: Column, content: Column, lowered: Column) -> Column:
-    return (F.size(rule["needles"]) == 0) | F.exists(
-        rule["needles"],
-        lambda n: F.when(rule["fold"], F.contains(lowered, n)).otherwise(F.contains(content, n)),
-    )
+def _worth_trying(rule: Column, content: Column, found: Column) -> Column:
+    """Necessary conditions, cheapest first; see ``rules.literals``."""
+    return (F.size(rule["pieces"]) == 0) | F.arrays_overlap(rule["pieces"], found) & F.when(
+        rule["fold"], let(F.lower(content), lambda low: F.exists(rule["needles"], lambda n: F.contains(low, n)))
+    ).otherwise(F.exists(rule["needles"], lambda n: F.contains(content, n)))
 
 
 def _conditions_hold(rule: Column, content: Column) -> Column:
@@ -126,13 +127,11 @@ def _kept(rule: Column, hits: Column, content: Column) -> Column:
 
 def file_findings(path: Column, content: Column, keys: Column, rules: Iterable[Rule]) -> Column:
     """Array of findings of one file."""
-    table = rules_of(keys, rules)
-
-    def candidates(lowered: Column) -> Column:
+    def candidates(route: Column) -> Column:
         return F.filter(
-            table,
+            route["rules"],
             lambda r: ((r["path_pattern"] == "") | F.rlike(F.lower(path), r["path_pattern"]))
-            & _needles_hold(r, content, lowered)
+            & _worth_trying(r, content, route["found"])
             & _conditions_hold(r, content),
         )
 
@@ -156,8 +155,8 @@ def file_findings(path: Column, content: Column, keys: Column, rules: Iterable[R
         )
 
     return let(
-        F.lower(content),
-        lambda lowered: F.flatten(F.filter(F.transform(candidates(lowered), findings), lambda x: x.isNotNull())),
+        rules_of(keys, content, rules),
+        lambda route: F.flatten(F.filter(F.transform(candidates(route), findings), lambda x: x.isNotNull())),
     )
 
 
@@ -208,7 +207,7 @@ def _row_findings(rules: tuple[Rule, ...], honour_directives: bool, _gateway: in
 
 def scan_texts(df: DataFrame, path: Column, content: Column, rules: Iterable[Rule], carry=()) -> DataFrame:
     """Scan texts that have no kind (history, container members): every rule sees every text."""
-    hits = file_findings(path, content, F.array(F.lit("other:*")), rules)
+    hits = file_findings(path, content, F.array(F.lit("other:*"), F.lit("other:*")), rules)
     return df.select(*carry, F.inline(hits))
 
 

@@ -14,7 +14,8 @@ from dataclasses import asdict, dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scanloom.functions.grades import confidence_name, severity_name
-from scanloom.rules.literals import needed_literals
+from scanloom.functions.lam import let
+from scanloom.rules.literals import gate_pieces, gate_regex, needed_literals
 from scanloom.schema import CATEGORIES, KINDS
 
 # A scan constant must stay small next to the data it meets. A larger rule table
@@ -138,7 +139,7 @@ RULE_DDL = (
     "struct<code:string,pattern:string,message:string,trailer:string,quote:string,severity:string,"
     "confidence:string,category:string,help:string,path_pattern:string,all_of:array<string>,"
     "none_of:array<string>,max_matches:int,line_exclude:string,allow:array<string>,min_entropy:double,"
-    "family_no:int,rule_no:int,needles:array<string>,fold:boolean>"
+    "family_no:int,rule_no:int,pieces:array<string>,needles:array<string>,fold:boolean>"
 )
 _CARRIED = (
     "code", "message", "trailer", "quote", "severity", "confidence", "category", "help", "path_pattern",
@@ -176,11 +177,14 @@ def check_size(rules: list[Rule]) -> None:
         raise RuleError("rule patterns are too large for one scan")
 
 
-def rules_of(keys: Column, rules: Iterable[Rule]) -> Column:
-    """Rules that apply to a file with these route keys, as a constant lookup.
+def rules_of(keys: Column, content: Column, rules: Iterable[Rule]) -> Column:
+    """Struct (rules, found): the rules a file with these route keys may meet, and the gate pieces in its text.
 
+    The first two keys are the kind with the extension and with any extension;
+    the rest name families (see ``route_keys``).
     Routes with the same rules share one group, so the constant holds each group
-    once however many extensions lead to it.
+    once however many extensions lead to it. Every group has one gate, a constant
+    pattern that is compiled once per task.
     """
     rules = list(rules)
     check_size(rules)
@@ -188,14 +192,36 @@ def rules_of(keys: Column, rules: Iterable[Rule]) -> Column:
     for i, r in enumerate(rules):
         for key in routes(r):
             by_route.setdefault(key, []).append(i)
+    # Rules for any extension join the group of every extension of their kind: a text
+    # then passes one gate, not two.
+    merged = {
+        key: sorted({*ids, *by_route.get(key.split(":", 1)[0] + ":*", [])}) for key, ids in by_route.items()
+    }
     groups: dict[tuple, int] = {}
-    route_group = {key: groups.setdefault(tuple(ids), len(groups)) for key, ids in by_route.items()}
+    route_group = {key: groups.setdefault(tuple(ids), len(groups)) for key, ids in merged.items()}
     records = [_record(r) for r in rules]
-    table = [[records[i] for i in ids] for ids in groups]
+    pieces = {ids: gate_pieces(tuple(rules[i].pattern for i in ids)) for ids in groups}
+    table = [[{**records[i], "pieces": p} for i, p in zip(ids, pieces[ids])] for ids in groups]
     group_rules = F.from_json(F.lit(json.dumps(table)), f"array<array<{RULE_DDL}>>")
     group_of = F.from_json(F.lit(json.dumps(route_group)), "map<string,int>")
-    numbers = F.filter(F.transform(keys, lambda k: F.try_element_at(group_of, k)), lambda g: g.isNotNull())
-    return F.flatten(F.transform(numbers, lambda g: F.get(group_rules, g)))
+
+    def found(group: Column) -> Column:
+        out = F.when(F.lit(False), F.array().cast("array<string>"))
+        for ids, number in groups.items():
+            asked = {p for ps in pieces[ids] for p in ps}
+            if asked:
+                out = out.when(group == number, F.regexp_extract_all(content, F.lit(gate_regex(asked)), F.lit(1)))
+        return out.otherwise(F.array().cast("array<string>"))
+
+    of = lambda k: F.try_element_at(group_of, k)
+    numbers = F.array_compact(F.concat(
+        F.array(F.coalesce(of(F.get(keys, 0)), of(F.get(keys, 1)))),
+        F.transform(F.slice(keys, 3, 2), of),
+    ))
+    return let(numbers, lambda ns: F.struct(
+        F.flatten(F.transform(ns, lambda g: F.get(group_rules, g))).alias("rules"),
+        F.transform(F.array_distinct(F.flatten(F.transform(ns, found))), F.lower).alias("found"),
+    ))
 
 
 def with_numbers(rules: Iterable[Rule]) -> list[Rule]:

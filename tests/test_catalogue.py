@@ -5,7 +5,7 @@ import pytest
 from scanloom import builtin_rules, scan, scan_scoped
 from scanloom.functions.paths import K8S_SIGNATURE
 from scanloom.operators.scopes import SCOPE_RULES
-from scanloom.rules.literals import needed_literals
+from scanloom.rules.literals import gate_pieces, gate_regex, needed_literals
 from workload.samples import SAMPLES, SCOPE_SAMPLES
 
 
@@ -62,3 +62,21 @@ def test_scope_samples(spark):
         token = texts[at.file].encode()[at.byte_offset:at.byte_offset + at.byte_length].decode()
         assert tokens[r.code] in (None, token)
         assert texts[at.file].split("\n")[at.line - 1][at.column - 1:].startswith(token)
+
+
+def test_gate_finds_a_piece_of_every_match():
+    import re
+
+    rules = builtin_rules()
+    pieces = gate_pieces(tuple(r.pattern for r in rules))
+    gate = re.compile(gate_regex({p for ps in pieces for p in ps}).replace("(?i)", ""), re.I)
+    for code, _, text, n in SAMPLES:
+        for r, asked in zip(rules, pieces):
+            if r.code == code and n and asked and re.search(r.pattern.replace(r"\x{FEFF}", "\ufeff"), text):
+                assert {m.lower() for m in gate.findall(text)} & set(asked), (code, asked)
+
+
+def test_no_piece_starts_another():
+    every = sorted({p for ps in gate_pieces(tuple(r.pattern for r in builtin_rules())) for p in ps})
+    assert not [(a, b) for a in every for b in every if a != b and b.startswith(a)]
+    assert needed_literals(r"\([^()]*[+*]\)[+*]")[0] == ("+)+", "+)*", "*)+", "*)*")
