@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scanloom.functions import globs, paths
 
 # Directories never worth scanning.
 NOISE_DIRECTORIES = (".git", "node_modules", "target", "dist", "build", ".venv", "venv", "__pycache__")
+LISTING = "path string, size long, error string"
+LIST_BATCH = 10_000
+READ_BATCH = 32 << 20
+SEED_LEVELS = 3
 # Change kinds that leave a file behind.
 KEPT_CHANGES = ("A", "M", "R", "T")
 
@@ -35,32 +41,109 @@ def decode(raw: Column) -> Column:
     return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
 
 
+def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, hidden: bool = False,
+              noise: bool = True) -> DataFrame:
+    """(path, size, error) of a tree, ``path`` relative to ``root``.
+
+    The driver lists only the first levels; every directory below is walked by
+    the task that got it. Noise and hidden directories are not entered. A
+    directory that cannot be listed becomes a row with an error.
+
+    Spark's own file listing leaves out names that start with a dot or an
+    underscore (``__init__.py``), so the tree is listed here.
+    """
+    def enter(name: str) -> bool:
+        return not (noise and name in NOISE_DIRECTORIES) and (hidden or not name.startswith("."))
+
+    def list_one(fs, base: str, relative: str):
+        """(directories, files) of one directory."""
+        dirs, files = [], []
+        for info in fs.get_file_info(pafs.FileSelector(f"{base}/{relative}" if relative else base)):
+            path = f"{relative}/{info.base_name}" if relative else info.base_name
+            if info.type == pafs.FileType.Directory:
+                if enter(info.base_name):
+                    dirs.append(path)
+            elif info.type == pafs.FileType.File and (hidden or not info.base_name.startswith(".")):
+                files.append((path, info.size))
+        return dirs, files
+
+    def deep(path: str) -> bool:
+        return max_depth is not None and path.count("/") + 1 >= max_depth
+
+    def walk(batches):
+        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root.rstrip("/"))
+        for batch in batches:
+            for directory in batch["path"]:
+                stack, rows = [directory], []
+                while stack:
+                    current = stack.pop()
+                    try:
+                        dirs, files = list_one(fs, base.rstrip("/"), current)
+                    except OSError as err:
+                        rows.append((current, None, str(err)))
+                        continue
+                    stack += [d for d in dirs if not deep(d)]
+                    rows += [(p, size, None) for p, size in files]
+                    if len(rows) >= LIST_BATCH:
+                        yield pd.DataFrame(rows, columns=["path", "size", "error"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["path", "size", "error"])
+
+    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root.rstrip("/"))
+    cores = spark.sparkContext.defaultParallelism
+    front, found = [""], []
+    for _ in range(SEED_LEVELS):
+        if len(front) >= cores * 4:
+            break
+        below = []
+        for directory in front:
+            dirs, files = list_one(fs, base.rstrip("/"), directory)
+            below += [d for d in dirs if not deep(d)]
+            found += files
+        front = below
+    listed = spark.createDataFrame([(p, n, None) for p, n in found], LISTING)
+    if not front:
+        return listed
+    seeds = spark.createDataFrame([(d,) for d in front], "path string").repartition(min(len(front), cores * 4))
+    return listed.unionByName(seeds.mapInPandas(walk, LISTING))
+
+
 def read_corpus(spark: SparkSession, root: str, max_depth: int | None = None, hidden: bool = False,
                 noise: bool = True, globs_: list[str] | None = None) -> DataFrame:
     """(path, content, size) of a tree; ``path`` is relative to ``root``.
 
-    The path rules filter on file metadata, which Spark evaluates while listing,
-    so bytes of skipped files are never read.
+    Bytes are only read for files that pass the path rules, in tasks of about
+    one split of bytes each. Content is null for a file that is not text or
+    cannot be read: it counts, but it is not scanned.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    uri = F.col("_metadata.file_path")
-    marker = base.split("://", 1)[-1].split(":", 1)[-1]
-    relative = F.regexp_replace(uri, "^.*?" + _quote(marker) + "/+", "")
-    keep = _inside(relative, max_depth, hidden, noise)
+    files = list_tree(spark, root, max_depth, hidden, noise).filter("error IS NULL").select("path", "size")
     if globs_:
-        keep = keep & ~globs.excluded(relative, globs_)
-    kept = raw.filter(keep)
-    return kept.select(
-        F.try_url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("path"),
-        decode(F.col("content")).alias("content"), F.col("length").alias("size"),
-    )
-
-
-def _quote(text: str) -> str:
-    from urllib.parse import quote
-
-    return "\\Q" + quote(text, safe="/") + "\\E"
+        files = files.filter(~globs.excluded(F.col("path"), globs_))
+
+    def read(batches):
+        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root.rstrip("/"))
+        for batch in batches:
+            rows, held = [], 0
+            for path, size in zip(batch["path"], batch["size"]):
+                try:
+                    with fs.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
+                        data = stream.read()
+                except OSError:
+                    data = None
+                rows.append((path, size, data))
+                held += len(data or b"")
+                if held >= READ_BATCH:
+                    yield pd.DataFrame(rows, columns=["path", "size", "raw"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["path", "size", "raw"])
+
+    # The listing is small next to the bytes; its sum decides how many read tasks there are.
+    listing = files.persist()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    total = listing.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // split))
+    raw = listing.repartition(int(tasks), F.xxhash64("path")).mapInPandas(read, "path string, size long, raw binary")
+    return raw.select("path", decode(F.col("raw")).alias("content"), "size")
 
 
 def to_corpus(df: DataFrame, path: Column, text: Column) -> DataFrame:
