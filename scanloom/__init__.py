@@ -31,7 +31,7 @@ from scanloom.rules.catalogue import builtin_rules, secret_rules
 from scanloom.sources.blobs import blob_stats, scan_blobs
 from scanloom.sources.corpus import changed_only, ignore_paths, read_corpus, spread, to_corpus, walk_filter
 from scanloom.sources.history import history_stats, scan_history
-from scanloom.sources.sinks import read_baseline, report_lines, write_baseline, write_findings
+from scanloom.sources.sinks import read_baseline, report_lines, write_baseline, write_corpus, write_findings
 from scanloom.streaming.live import FindingLog, scan_stream
 
 __version__ = "0.1.0"

@@ -144,31 +144,38 @@ def gate_by_framework(findings: DataFrame, rules: Iterable[Rule], projects: Data
     columns = findings.columns
     used = projects.select("root", F.explode("frameworks").alias("framework")).distinct()
     out = findings
+    if anywhere:
+        wanted = F.try_element_at(_code_map(anywhere), F.col("code"))
+        # At most a few dozen names, so one scalar says what the scan holds.
+        present = used.agg(F.collect_set("framework")).scalar()
+        out = out.filter(wanted.isNull() | F.array_contains(present, wanted))
     if scoped:
         wanted = F.try_element_at(_code_map(scoped), F.col("code"))
         # Only directories that hold a gated finding meet the project table.
-        asked = findings.filter(wanted.isNotNull()).select(paths.parent("location.file").alias("directory")).distinct()
+        asked = out.filter(wanted.isNotNull()).select(paths.parent("location.file").alias("directory")).distinct()
         granted = _roots_of(asked, used, "framework").select(
             F.col("directory").alias("_directory"), F.col("framework").alias("_framework"), F.lit(True).alias("_granted")
         ).distinct()
         out = (
-            out.withColumns({"_framework": wanted, "_directory": F.when(wanted.isNotNull(), paths.parent("location.file"))})
+            out.withColumns({
+                "_framework": F.coalesce(wanted, F.lit("")),
+                "_directory": F.when(wanted.isNotNull(), paths.parent("location.file")).otherwise(_nowhere()),
+            })
             .join(granted, ["_directory", "_framework"], "left")
-            .filter(F.col("_framework").isNull() | F.col("_granted"))
-            .select(*columns)
-        )
-    if anywhere:
-        wanted = F.try_element_at(_code_map(anywhere), F.col("code"))
-        present = used.select(F.col("framework").alias("_present")).distinct()
-        out = (
-            out.withColumn("_framework", wanted)
-            .join(present, F.col("_framework") == F.col("_present"), "left")
-            .filter(F.col("_framework").isNull() | F.col("_present").isNotNull())
+            .filter((F.col("_framework") == "") | F.col("_granted"))
             .select(*columns)
         )
     return out
 
 
+def _nowhere() -> Column:
+    """Join key for findings a join does not concern: matches nothing and spreads them evenly.
+
+    A null key would send all of them to one task.
+    """
+    return F.concat(F.lit("\0"), F.xxhash64("code", "message", "location").cast("string"))
+
+
 def exempt_roots(files: DataFrame, projects: DataFrame, marker: str, framework: str) -> DataFrame:
     """Roots of projects in which some module file mentions the marker."""
     if "kind" not in files.columns:
@@ -185,6 +192,5 @@ def exempt_projects(findings: DataFrame, roots: DataFrame, code: str) -> DataFra
     is_code = F.col("code") == code
     directories = findings.filter(is_code).select(paths.parent("location.file").alias("directory")).distinct()
     exempt = _roots_of(directories, roots).select(F.col("directory").alias("_directory")).distinct()
-    return findings.join(
-        exempt, is_code & (paths.parent(F.col("location.file")) == F.col("_directory")), "left_anti"
-    )
+    key = F.when(is_code, paths.parent(F.col("location.file"))).otherwise(_nowhere())
+    return findings.withColumn("_directory", F.coalesce(key, _nowhere())).join(exempt, "_directory", "left_anti").select(*findings.columns)

@@ -223,7 +223,7 @@ def applicable(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     if "kind" not in files.columns:
         files = with_kind(files)
     keyed = files.select("path", F.explode(route_keys(
-        F.col("kind"), F.col("ext"), F.col("path"), F.col("content"))).alias("route"))
+        F.col("kind"), F.col("ext"), F.col("path"), F.col("content"))).alias("route")).filter("route IS NOT NULL")
     return keyed.join(table, "route").select("path", "code", "rule_no")
 
 

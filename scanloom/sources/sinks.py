@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scanloom.operators.classify import with_kind
 from scanloom.operators.pipeline import fingerprints
 
 BASELINE_VERSION = 1
@@ -13,6 +14,16 @@ class BaselineError(ValueError):
     """A baseline that cannot be read."""
 
 
+def write_corpus(files: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store a classified corpus by kind, so that every later scan prunes what it does not need.
+
+    ``kind`` is a partition and ``ext`` a column with statistics: the manifest
+    and lock-file passes of an audit then read a sliver of the data.
+    """
+    classified = files if {"kind", "ext"} <= set(files.columns) else with_kind(files)
+    classified.write.mode(mode).partitionBy("kind").parquet(path)
+
+
 def write_findings(findings: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
     """One record per finding, written by the executors."""
     writer = findings.write.mode(mode)

@@ -147,3 +147,17 @@ def test_path_parts(spark):
     assert [r[0] for r in df.select(paths.under_root("p", F.lit("a"))).collect()] == [True, True, False, False]
     loc = spark.createDataFrame([("f", 1, 2), ("f", 1, None), ("f", None, None), (None, None, None)], "f string, l int, c int")
     assert [r[0] for r in loc.select(paths.location_text("f", "l", "c")).collect()] == ["f:1:2", "f:1", "f", "—"]
+
+
+def test_stored_corpus_is_pruned(spark, tmp_path):
+    rows = [("a.py", "hashlib.md5(x)\n"), ("a.md", "text"), ("requirements.txt", "a==1\n"), ("tests/a.py", "hashlib.md5(x)")]
+    sl.write_corpus(spark.createDataFrame(rows, "path string, content string"), str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    rules = [r for r in sl.builtin_rules() if not r.family]
+    found = sl.scan(stored, rules)
+    assert [r.location.file for r in found.collect()] == ["a.py"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "kind" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert "Exchange" not in plan
+    manifests = sl.fingerprint(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "(kind" in manifests.split("PartitionFilters:")[1].split("\n")[0]
