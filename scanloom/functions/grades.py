@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from scanloom.functions.lam import let
+from scanloom.functions.lam import let, lookup
 from scanloom.schema import CONFIDENCES, SEVERITIES
 
 # Accepted spellings.
@@ -16,11 +16,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _lookup(value: Column, table: dict) -> Column:
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), value)
-
-
 def severity_name(text: str) -> str | None:
     """Driver-side parse used by validation."""
     return SEVERITY_ALIASES.get(text.strip().lower())
@@ -31,20 +26,20 @@ def confidence_name(text: str) -> str | None:
 
 
 def parse_severity(value) -> Column:
-    return _lookup(F.lower(F.trim(_col(value))), SEVERITY_ALIASES)
+    return lookup(SEVERITY_ALIASES, F.lower(F.trim(_col(value))))
 
 
 def parse_confidence(value) -> Column:
-    return _lookup(F.lower(F.trim(_col(value))), CONFIDENCE_ALIASES)
+    return lookup(CONFIDENCE_ALIASES, F.lower(F.trim(_col(value))))
 
 
 def severity_ord(value) -> Column:
     """0 (info) to 4 (critical); null for an unknown name."""
-    return _lookup(_col(value), {s: i for i, s in enumerate(SEVERITIES)})
+    return lookup({s: i for i, s in enumerate(SEVERITIES)}, _col(value), "int")
 
 
 def confidence_ord(value) -> Column:
-    return _lookup(_col(value), {c: i for i, c in enumerate(CONFIDENCES)})
+    return lookup({c: i for i, c in enumerate(CONFIDENCES)}, _col(value), "int")
 
 
 def document_level(severity) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -16,6 +17,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lookup(table: dict, key: Column, kind: str = "string") -> Column:
+    """Value of a constant table, null for an unknown key; the table is one literal."""
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), f"map<string,{kind}>"), key)
+
+
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def running(items: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """Inclusive running total of ``items`` under an associative ``combine``.
 

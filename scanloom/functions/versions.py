@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from scanloom.functions.lam import let
+from scanloom.functions.lam import let, lookup
 
 # Package URL type per ecosystem; an unknown ecosystem is its own type.
 PURL_TYPES = {
@@ -48,7 +48,6 @@ def version_key(version) -> Column:
 
 def purl(ecosystem, name, version) -> Column:
     eco, n = _col(ecosystem), _col(name)
-    pairs = [F.lit(x) for kv in PURL_TYPES.items() for x in kv]
-    kind = F.coalesce(F.try_element_at(F.create_map(*pairs), eco), eco)
+    kind = F.coalesce(lookup(PURL_TYPES, eco), eco)
     path = F.when(eco == "Maven", F.regexp_replace(n, r"^([^:]*):", "$1/")).otherwise(n)
     return F.concat(F.lit("pkg:"), kind, F.lit("/"), path, F.lit("@"), _col(version))

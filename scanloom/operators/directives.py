@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.functions.lam import let
@@ -16,12 +18,10 @@ def directives_of(content: Column, name: str = DIRECTIVE, prefixes=None) -> Colu
     prefixes = known_prefixes() if prefixes is None else tuple(prefixes)
     pattern = F.lit(rf"(?d){name}(?:-(line|file))?\s*:\s*([^/\n]*)")
 
+    token = F.lit(rf"^(?:{'|'.join(map(re.escape, prefixes))})[A-Z0-9_-]*$")
+
     def valid(code: Column) -> Column:
-        known = F.lit(not prefixes)
-        for p in prefixes:
-            known = known | F.startswith(code, F.lit(p))
-        return (code == "*") | (
-            known & (F.char_length(code) >= MIN_TOKEN) & F.rlike(code, F.lit(r"^[A-Z0-9_-]+$")))
+        return (code == "*") | ((F.char_length(code) >= MIN_TOKEN) & F.rlike(code, token))
 
     def of_line(text: Column, index: Column) -> Column:
         def marks(suffix: Column, codes: Column) -> Column:

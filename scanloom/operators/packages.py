@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.functions import paths, text
-from scanloom.functions.lam import let
+from scanloom.functions.lam import let, lookup
 
 # Lower-cased file name -> format, in the order formats are collected.
 FORMATS = {
@@ -39,11 +41,11 @@ _SPACE = r"^\s+|\s+$"
 
 def format_of(path) -> Column:
     name = F.lower(paths.base_name(path))
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv]), name)
+    return lookup(FORMATS, name)
 
 
 def format_order(fmt: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for i, f in enumerate(FORMATS.values()) for x in (f, i)]), fmt)
+    return lookup({f: i for i, f in enumerate(FORMATS.values())}, fmt, "int")
 
 
 def with_format(files: DataFrame) -> DataFrame:
@@ -303,18 +305,24 @@ def extract_packages(files: DataFrame, formats=None) -> DataFrame:
     One pass: each file takes the branch of its format, so the corpus is read
     once and only for the named files.
     """
-    chosen = [f for f in FORMATS.values() if formats is None or f in formats]
+    chosen = tuple(f for f in FORMATS.values() if formats is None or f in formats)
     names = [n for n, f in FORMATS.items() if f in chosen]
+    named = files.filter(F.lower(paths.base_name("path")).isin(*names))
+    return named.select(
+        lookup(ECOSYSTEMS, format_of("path")).alias("ecosystem"), F.col("path").alias("source"),
+        F.inline(_packages_of(chosen, id(files.sparkSession._jvm))),
+    ).select("ecosystem", "name", "version", "source")
+
+
+@lru_cache(maxsize=32)
+def _packages_of(formats: tuple[str, ...], _gateway: int) -> Column:
+    """Packages of one file as an expression over ``path, content``; built once per choice of formats."""
     fmt = format_of("path")
     found = None
-    for f in chosen:
+    for f in formats:
         value = _READERS[f](F.col("content"))
         found = F.when(fmt == f, value) if found is None else found.when(fmt == f, value)
-    ecosystem = F.try_element_at(F.create_map(*[F.lit(x) for f in chosen for x in (f, ECOSYSTEMS[f])]), fmt)
-    named = files.filter(F.lower(paths.base_name("path")).isin(*names))
-    return named.select(
-        ecosystem.alias("ecosystem"), F.col("path").alias("source"), F.inline(found)
-    ).select("ecosystem", "name", "version", "source")
+    return found
 
 
 def inventory(packages: DataFrame) -> DataFrame:

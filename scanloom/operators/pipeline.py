@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.functions import globs, paths
 from scanloom.functions.grades import SEVERITY_ALIASES, confidence_ord, parse_severity, severity_name, severity_ord
+from scanloom.functions.lam import lookup
 from scanloom.rules import RuleError
 from scanloom.schema import CONFIDENCES, SEVERITIES
 
@@ -73,8 +74,7 @@ def override_severity(findings: DataFrame, config) -> DataFrame:
     new = {code: severity for code, (_, severity) in rule_settings(config).items() if severity}
     if not new:
         return findings
-    table = F.create_map(*[F.lit(x) for kv in sorted(new.items()) for x in kv])
-    return findings.withColumn("severity", F.coalesce(F.try_element_at(table, F.col("code")), F.col("severity")))
+    return findings.withColumn("severity", F.coalesce(lookup(new, F.col("code")), F.col("severity")))
 
 
 def ignore_findings(findings: DataFrame, patterns) -> DataFrame:

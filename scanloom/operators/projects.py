@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.functions import paths
+from scanloom.functions.lam import lookup
 from scanloom.operators.classify import with_kind
 from scanloom.rules import Rule, unix_lines
 
@@ -73,14 +74,7 @@ def fingerprint(files: DataFrame) -> DataFrame:
     rows = files.filter((F.col("kind") == "manifest") & name.isin(*MANIFESTS) & F.col("content").isNotNull())
     content = F.col("content")
 
-    def column(pick) -> Column:
-        out = None
-        for manifest, entry in MANIFESTS.items():
-            value = F.lit(pick(entry))
-            out = F.when(name == manifest, value) if out is None else out.when(name == manifest, value)
-        return out
-
-    base = column(lambda e: e[0])
+    base = lookup({m: language for m, (language, _) in MANIFESTS.items()}, name)
     lowered = F.lower(content)
     frameworks = None
     for (language, fold), table in FRAMEWORK_TEXTS.items():
@@ -93,7 +87,7 @@ def fingerprint(files: DataFrame) -> DataFrame:
         paths.parent("path").alias("root"),
         F.col("path").alias("manifest"),
         F.when((base == "javascript") & _any_of(content, TYPED_JS), F.lit("typescript")).otherwise(base).alias("language"),
-        column(lambda e: e[1]).alias("ecosystem"),
+        lookup({m: ecosystem for m, (_, ecosystem) in MANIFESTS.items()}, name).alias("ecosystem"),
         frameworks.otherwise(F.array().cast("array<string>")).alias("frameworks"),
     )
 
@@ -126,10 +120,6 @@ def assign_projects(files: DataFrame, projects: DataFrame) -> DataFrame:
     return located.join(roots, "directory").select("path", "root")
 
 
-def _code_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-
-
 def gate_by_framework(findings: DataFrame, rules: Iterable[Rule], projects: DataFrame) -> DataFrame:
     """Keep framework findings where the framework is.
 
@@ -145,12 +135,12 @@ def gate_by_framework(findings: DataFrame, rules: Iterable[Rule], projects: Data
     used = projects.select("root", F.explode("frameworks").alias("framework")).distinct()
     out = findings
     if anywhere:
-        wanted = F.try_element_at(_code_map(anywhere), F.col("code"))
+        wanted = lookup(anywhere, F.col("code"))
         # At most a few dozen names, so one scalar says what the scan holds.
         present = used.agg(F.collect_set("framework")).scalar()
         out = out.filter(wanted.isNull() | F.array_contains(present, wanted))
     if scoped:
-        wanted = F.try_element_at(_code_map(scoped), F.col("code"))
+        wanted = lookup(scoped, F.col("code"))
         # Only directories that hold a gated finding meet the project table.
         asked = out.filter(wanted.isNotNull()).select(paths.parent("location.file").alias("directory")).distinct()
         granted = _roots_of(asked, used, "framework").select(

@@ -19,7 +19,7 @@ from scanloom.functions import text
 from scanloom.functions.lam import let, running
 from scanloom.operators.classify import route_keys, with_kind
 from scanloom.operators.directives import unsilenced
-from scanloom.rules import Rule, rules_of, routes
+from scanloom.rules import Rule, routes, rule_table
 from scanloom.schema import FINDING_COLUMNS
 
 
@@ -125,15 +125,10 @@ def _kept(rule: Column, hits: Column, content: Column) -> Column:
     )
 
 
-def file_findings(path: Column, content: Column, keys: Column, rules: Iterable[Rule]) -> Column:
-    """Array of findings of one file."""
-    def candidates(route: Column) -> Column:
-        return F.filter(
-            route["rules"],
-            lambda r: ((r["path_pattern"] == "") | F.rlike(F.lower(path), r["path_pattern"]))
-            & _worth_trying(r, content, route["found"])
-            & _conditions_hold(r, content),
-        )
+@lru_cache(maxsize=4)
+def _findings_of(honour_directives: bool, _gateway: int) -> Column:
+    """Findings of one text over ``path, content, _rules``; the same for every rule set, so built once."""
+    path, content = F.col("path"), F.col("content")
 
     def findings(rule: Column) -> Column:
         return F.transform(
@@ -154,10 +149,27 @@ def file_findings(path: Column, content: Column, keys: Column, rules: Iterable[R
             ),
         )
 
-    return let(
-        rules_of(keys, content, rules),
-        lambda route: F.flatten(F.filter(F.transform(candidates(route), findings), lambda x: x.isNotNull())),
-    )
+    found = F.flatten(F.filter(F.transform(F.col("_rules"), findings), lambda x: x.isNotNull()))
+    return let(found, lambda fs: unsilenced(fs, content)) if honour_directives else found
+
+
+def find(texts: DataFrame, keys: Column, rules: Iterable[Rule], carry=(), honour_directives: bool = False) -> DataFrame:
+    """Add ``findings`` (an array) to texts with ``path`` and ``content``; other columns only if carried.
+
+    Three narrow projections: the groups of a text, the few of their rules worth
+    running on it, and their findings.
+    """
+    table = rule_table(tuple(rules))
+    content = F.col("content")
+    grouped = texts.select(*carry, "path", "content", table.numbers(keys).alias("_groups"))
+    worth = let(table.found("_groups", "content"), lambda found: F.filter(
+        table.rules("_groups"),
+        lambda r: ((r["path_pattern"] == "") | F.rlike(F.lower(F.col("path")), r["path_pattern"]))
+        & _worth_trying(r, content, found)
+        & _conditions_hold(r, content),
+    ))
+    chosen = grouped.select(*carry, "path", "content", worth.alias("_rules"))
+    return chosen.select(*carry, _findings_of(honour_directives, id(texts.sparkSession._jvm)).alias("findings"))
 
 
 def reachable(rules: Iterable[Rule]) -> Column | None:
@@ -191,24 +203,14 @@ def scan(files: DataFrame, rules: Iterable[Rule], honour_directives: bool = Fals
         files = with_kind(files)
     wanted = reachable(rules)
     files = files if wanted is None else files.filter(wanted)
-    hits = _row_findings(tuple(rules), honour_directives, id(files.sparkSession._jvm))
-    return files.select(F.inline(hits)).select(*FINDING_COLUMNS)
-
-
-@lru_cache(maxsize=16)
-def _row_findings(rules: tuple[Rule, ...], honour_directives: bool, _gateway: int) -> Column:
-    """The scan expression over ``path, content, kind, ext``; built once per rule set and JVM."""
-    found = file_findings(
-        F.col("path"), F.col("content"),
-        route_keys(F.col("kind"), F.col("ext"), F.col("path"), F.col("content")), rules,
-    )
-    return let(found, lambda fs: unsilenced(fs, F.col("content"))) if honour_directives else found
+    keys = route_keys(F.col("kind"), F.col("ext"), F.col("path"), F.col("content"))
+    return find(files, keys, rules, honour_directives=honour_directives).select(F.inline("findings")).select(*FINDING_COLUMNS)
 
 
-def scan_texts(df: DataFrame, path: Column, content: Column, rules: Iterable[Rule], carry=()) -> DataFrame:
+def scan_texts(texts: DataFrame, rules: Iterable[Rule], carry=()) -> DataFrame:
     """Scan texts that have no kind (history, container members): every rule sees every text."""
-    hits = file_findings(path, content, F.array(F.lit("other:*"), F.lit("other:*")), rules)
-    return df.select(*carry, F.inline(hits))
+    every = F.array(F.lit("other:*"), F.lit("other:*"))
+    return find(texts, every, rules, carry).select(*carry, F.inline("findings"))
 
 
 def applicable(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:

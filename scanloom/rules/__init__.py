@@ -10,11 +10,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, fields, replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scanloom.functions.grades import confidence_name, severity_name
-from scanloom.functions.lam import let
+from scanloom.functions.lam import lookup, sql_text
 from scanloom.rules.literals import gate_pieces, gate_regex, needed_literals
 from scanloom.schema import CATEGORIES, KINDS
 
@@ -170,58 +171,60 @@ def routes(rule: Rule) -> list[str]:
     return [f"{k}:{e}" for k in rule.kinds for e in (rule.extensions or ("*",))]
 
 
-def check_size(rules: list[Rule]) -> None:
+def check_size(rules) -> None:
     if len(rules) > MAX_RULES:
         raise RuleError(f"more than {MAX_RULES} rules; scan with several smaller tables")
     if sum(len(r.pattern) for r in rules) > MAX_RULE_BYTES:
         raise RuleError("rule patterns are too large for one scan")
 
 
-def rules_of(keys: Column, content: Column, rules: Iterable[Rule]) -> Column:
-    """Struct (rules, found): the rules a file with these route keys may meet, and the gate pieces in its text.
+@dataclass(frozen=True)
+class RuleTable:
+    """What a scan carries: groups of rules, the gate of each group, and the way from a route to its group."""
+
+    groups: tuple[tuple[Rule, ...], ...]
+    pieces: tuple[tuple[tuple[str, ...], ...], ...]
+    group_of: dict[str, int]
+
+    def numbers(self, keys: Column) -> Column:
+        """Groups of a file. The first two keys are the kind with and without the extension; the rest are families."""
+        of = lambda k: lookup(self.group_of, k, "int")
+        return F.array_compact(F.concat(
+            F.array(F.coalesce(of(F.get(keys, 0)), of(F.get(keys, 1)))), F.transform(F.slice(keys, 3, 2), of)))
+
+    def rules(self, numbers: str) -> Column:
+        """All rules of the groups in a column; the table is one constant, each group in it once."""
+        table = [
+            [{**_record(r), "pieces": ps} for r, ps in zip(rules, pieces)] for rules, pieces in zip(self.groups, self.pieces)
+        ]
+        constant = F.from_json(F.lit(json.dumps(table)), f"array<array<{RULE_DDL}>>")
+        return F.flatten(F.transform(F.col(numbers), lambda g: F.get(constant, g)))
+
+    def found(self, numbers: str, content: str) -> Column:
+        """Gate pieces that occur in a text: one branch per group, each with its constant pattern."""
+        branches = "".join(
+            f" WHEN {i} THEN regexp_extract_all({content}, {sql_text(gate_regex(asked))}, 1)"
+            for i, pieces in enumerate(self.pieces) if (asked := {p for ps in pieces for p in ps})
+        )
+        none = "cast(array() AS array<string>)"
+        gate = f"CASE g{branches} ELSE {none} END" if branches else none
+        return F.expr(f"transform(array_distinct(flatten(transform({numbers}, g -> {gate}))), p -> lower(p))")
 
-    The first two keys are the kind with the extension and with any extension;
-    the rest name families (see ``route_keys``).
-    Routes with the same rules share one group, so the constant holds each group
-    once however many extensions lead to it. Every group has one gate, a constant
-    pattern that is compiled once per task.
-    """
-    rules = list(rules)
+
+@lru_cache(maxsize=32)
+def rule_table(rules: tuple[Rule, ...]) -> RuleTable:
+    """Group rules by route. Routes with the same rules share a group, and rules for any
+    extension join the group of every extension of their kind: a text passes one gate, not two."""
     check_size(rules)
     by_route: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
         for key in routes(r):
             by_route.setdefault(key, []).append(i)
-    # Rules for any extension join the group of every extension of their kind: a text
-    # then passes one gate, not two.
-    merged = {
-        key: sorted({*ids, *by_route.get(key.split(":", 1)[0] + ":*", [])}) for key, ids in by_route.items()
-    }
-    groups: dict[tuple, int] = {}
-    route_group = {key: groups.setdefault(tuple(ids), len(groups)) for key, ids in merged.items()}
-    records = [_record(r) for r in rules]
-    pieces = {ids: gate_pieces(tuple(rules[i].pattern for i in ids)) for ids in groups}
-    table = [[{**records[i], "pieces": p} for i, p in zip(ids, pieces[ids])] for ids in groups]
-    group_rules = F.from_json(F.lit(json.dumps(table)), f"array<array<{RULE_DDL}>>")
-    group_of = F.from_json(F.lit(json.dumps(route_group)), "map<string,int>")
-
-    def found(group: Column) -> Column:
-        out = F.when(F.lit(False), F.array().cast("array<string>"))
-        for ids, number in groups.items():
-            asked = {p for ps in pieces[ids] for p in ps}
-            if asked:
-                out = out.when(group == number, F.regexp_extract_all(content, F.lit(gate_regex(asked)), F.lit(1)))
-        return out.otherwise(F.array().cast("array<string>"))
-
-    of = lambda k: F.try_element_at(group_of, k)
-    numbers = F.array_compact(F.concat(
-        F.array(F.coalesce(of(F.get(keys, 0)), of(F.get(keys, 1)))),
-        F.transform(F.slice(keys, 3, 2), of),
-    ))
-    return let(numbers, lambda ns: F.struct(
-        F.flatten(F.transform(ns, lambda g: F.get(group_rules, g))).alias("rules"),
-        F.transform(F.array_distinct(F.flatten(F.transform(ns, found))), F.lower).alias("found"),
-    ))
+    merged = {key: sorted({*ids, *by_route.get(key.split(":", 1)[0] + ":*", [])}) for key, ids in by_route.items()}
+    numbers: dict[tuple, int] = {}
+    group_of = {key: numbers.setdefault(tuple(ids), len(numbers)) for key, ids in merged.items()}
+    groups = tuple(tuple(rules[i] for i in ids) for ids in numbers)
+    return RuleTable(groups, tuple(tuple(gate_pieces(tuple(r.pattern for r in g))) for g in groups), group_of)
 
 
 def with_numbers(rules: Iterable[Rule]) -> list[Rule]:

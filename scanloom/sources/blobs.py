@@ -39,8 +39,9 @@ def scan_blobs(blobs: DataFrame, rules: Iterable[Rule] | None = None, max_bytes:
     """Findings at ``container::entry`` with the entry named in the message."""
     rules = list(rules) if rules is not None else secret_rules(kinds=("other",))
     texts = blobs.filter(_status(max_bytes, max_depth) == "scanned")
-    found = scan_texts(
-        texts, F.concat("container", F.lit("::"), "entry"), F.col("bytes").cast("string"), rules, carry=("entry",))
+    named = texts.select(
+        "entry", F.concat("container", F.lit("::"), "entry").alias("path"), F.col("bytes").cast("string").alias("content"))
+    found = scan_texts(named, rules, carry=("entry",))
     message = F.concat("message", F.lit(" (in image layer "), "entry", F.lit(")"))
     return found.withColumn("message", message).select(*FINDING_COLUMNS)
 

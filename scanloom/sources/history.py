@@ -42,10 +42,9 @@ def scan_history(commits: DataFrame, revisions: DataFrame, rules: Iterable[Rule]
     if since is not None or max_commits is not None:
         texts = texts.join(chosen.select("sha"), "sha", "left_semi")
     rules = list(rules) if rules is not None else secret_rules(kinds=EVERY_KIND)
-    found = scan_texts(
-        texts, F.concat("path", F.lit("@"), short_id("sha")), F.col("content"), rules,
-        carry=("sha", F.col("path").alias("_path")),
-    )
+    named = texts.select(
+        "sha", F.col("path").alias("_path"), F.concat("path", F.lit("@"), short_id("sha")).alias("path"), "content")
+    found = scan_texts(named, rules, carry=("sha", "_path"))
     found = found.dropDuplicates(["sha", "_path", "rule_no", "location"])
     message = F.concat(
         "message", F.lit(" (in "), "_path", F.lit(" @ "), short_id("sha"), F.lit(" by "), "author", F.lit(")"))

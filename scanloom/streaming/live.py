@@ -6,8 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanloom.operators.classify import with_kind
-from scanloom.operators.scan import file_findings, route_keys, scan
+from scanloom.operators.classify import route_keys, with_kind
+from scanloom.operators.scan import find, scan
 from scanloom.rules import Rule
 from scanloom.rules.catalogue import builtin_rules
 
@@ -47,13 +47,11 @@ class FindingLog:
         # Which version wins is decided without the texts; only winners are scanned.
         newest = relevant.groupBy("path").agg(F.max("version").alias("version"))
         winners = with_kind(relevant.join(newest, ["path", "version"], "left_semi"))
-        found = file_findings(
-            F.col("path"), F.col("content"),
-            route_keys(F.col("kind"), F.col("ext"), F.col("path"), F.col("content")), self.rules)
-        return winners.select(
-            "path", "version", (F.col("event") == CLOSED).alias("closed"),
-            F.when(F.col("event") != CLOSED, found).alias("findings"),
-        )
+        keys = route_keys(F.col("kind"), F.col("ext"), F.col("path"), F.col("content"))
+        # A closed document has no text to scan.
+        open_text = winners.withColumn("content", F.when(F.col("event") != CLOSED, F.col("content")))
+        found = find(open_text.withColumn("_path", F.col("path")), keys, self.rules, carry=("_path", "version", "event"))
+        return found.select(F.col("_path").alias("path"), "version", (F.col("event") == CLOSED).alias("closed"), "findings")
 
     def _current(self, spark: SparkSession) -> DataFrame:
         log = spark.read.option("recursiveFileLookup", True).parquet(self.path)
