@@ -153,11 +153,14 @@ def _findings_of(honour_directives: bool, _gateway: int) -> Column:
     return let(found, lambda fs: unsilenced(fs, content)) if honour_directives else found
 
 
-def find(texts: DataFrame, keys: Column, rules: Iterable[Rule], carry=(), honour_directives: bool = False) -> DataFrame:
-    """Add ``findings`` (an array) to texts with ``path`` and ``content``; other columns only if carried.
-
-    Three narrow projections: the groups of a text, the few of their rules worth
-    running on it, and their findings.
+def find(texts: DataFrame, keys: Column, rules: Iterable[Rule], carry=(), honour_directives: bool = False,
+         as_rows: bool = True) -> DataFrame:
+    """Findings of texts with ``path`` and ``content``, as rows or as an array per text; other columns only if carried.
+
+    Three narrow steps: the groups of a text, the few of their rules worth
+    running on it, and their findings. Rows are generated from the expression
+    itself: from a column of arrays the optimizer would infer a size filter and
+    compute the arrays twice.
     """
     table = rule_table(tuple(rules))
     content = F.col("content")
@@ -169,7 +172,8 @@ def find(texts: DataFrame, keys: Column, rules: Iterable[Rule], carry=(), honour
         & _conditions_hold(r, content),
     ))
     chosen = grouped.select(*carry, "path", "content", worth.alias("_rules"))
-    return chosen.select(*carry, _findings_of(honour_directives, id(texts.sparkSession._jvm)).alias("findings"))
+    findings = _findings_of(honour_directives, id(texts.sparkSession._jvm))
+    return chosen.select(*carry, F.inline(findings) if as_rows else findings.alias("findings"))
 
 
 def reachable(rules: Iterable[Rule]) -> Column | None:
@@ -204,13 +208,13 @@ def scan(files: DataFrame, rules: Iterable[Rule], honour_directives: bool = Fals
     wanted = reachable(rules)
     files = files if wanted is None else files.filter(wanted)
     keys = route_keys(F.col("kind"), F.col("ext"), F.col("path"), F.col("content"))
-    return find(files, keys, rules, honour_directives=honour_directives).select(F.inline("findings")).select(*FINDING_COLUMNS)
+    return find(files, keys, rules, honour_directives=honour_directives).select(*FINDING_COLUMNS)
 
 
 def scan_texts(texts: DataFrame, rules: Iterable[Rule], carry=()) -> DataFrame:
     """Scan texts that have no kind (history, container members): every rule sees every text."""
     every = F.array(F.lit("other:*"), F.lit("other:*"))
-    return find(texts, every, rules, carry).select(*carry, F.inline("findings"))
+    return find(texts, every, rules, carry)
 
 
 def applicable(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:

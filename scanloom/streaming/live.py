@@ -50,7 +50,7 @@ class FindingLog:
         keys = route_keys(F.col("kind"), F.col("ext"), F.col("path"), F.col("content"))
         # A closed document has no text to scan.
         open_text = winners.withColumn("content", F.when(F.col("event") != CLOSED, F.col("content")))
-        found = find(open_text.withColumn("_path", F.col("path")), keys, self.rules, carry=("_path", "version", "event"))
+        found = find(open_text.withColumn("_path", F.col("path")), keys, self.rules, carry=("_path", "version", "event"), as_rows=False)
         return found.select(F.col("_path").alias("path"), "version", (F.col("event") == CLOSED).alias("closed"), "findings")
 
     def _current(self, spark: SparkSession) -> DataFrame:
