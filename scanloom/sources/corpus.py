@@ -45,8 +45,8 @@ def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, hidd
               noise: bool = True) -> DataFrame:
     """(path, size, error) of a tree, ``path`` relative to ``root``.
 
-    The driver lists only the first levels; every directory below is walked by
-    the task that got it. Noise and hidden directories are not entered. A
+    The driver opens only the first levels, to find directories to hand out; every
+    directory is listed by the task that got it. Noise and hidden directories are not entered. A
     directory that cannot be listed becomes a row with an error.
 
     Spark's own file listing leaves out names that start with a dot or an
@@ -70,10 +70,13 @@ def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, hidd
     def deep(path: str) -> bool:
         return max_depth is not None and path.count("/") + 1 >= max_depth
 
+    def connect():
+        return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root.rstrip("/"))
+
     def walk(batches):
-        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root.rstrip("/"))
+        fs, base = connect()
         for batch in batches:
-            for directory in batch["path"]:
+            for directory, below in zip(batch["path"], batch["below"]):
                 stack, rows = [directory], []
                 while stack:
                     current = stack.pop()
@@ -82,30 +85,33 @@ def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, hidd
                     except OSError as err:
                         rows.append((current, None, str(err)))
                         continue
-                    stack += [d for d in dirs if not deep(d)]
+                    stack += [d for d in dirs if below and not deep(d)]
                     rows += [(p, size, None) for p, size in files]
                     if len(rows) >= LIST_BATCH:
                         yield pd.DataFrame(rows, columns=["path", "size", "error"])
                         rows = []
                 yield pd.DataFrame(rows, columns=["path", "size", "error"])
 
-    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root.rstrip("/"))
+    # The driver only looks for directories to hand out; files are named by tasks, also those
+    # of the directories it opened.
+    fs, base = connect()
     cores = spark.sparkContext.defaultParallelism
-    front, found = [""], []
+    front, opened = [""], []
+    list_one(fs, base.rstrip("/"), "")  # a missing root fails here
     for _ in range(SEED_LEVELS):
-        if len(front) >= cores * 4:
+        if not front or len(front) >= cores * 4:
             break
         below = []
         for directory in front:
-            dirs, files = list_one(fs, base.rstrip("/"), directory)
-            below += [d for d in dirs if not deep(d)]
-            found += files
+            opened.append(directory)
+            try:
+                below += [d for d in list_one(fs, base.rstrip("/"), directory)[0] if not deep(d)]
+            except OSError:
+                continue  # the task that lists its files reports it
         front = below
-    listed = spark.createDataFrame([(p, n, None) for p, n in found], LISTING)
-    if not front:
-        return listed
-    seeds = spark.createDataFrame([(d,) for d in front], "path string").repartition(min(len(front), cores * 4))
-    return listed.unionByName(seeds.mapInPandas(walk, LISTING))
+    seeds = [(d, False) for d in opened] + [(d, True) for d in front]
+    handed = spark.createDataFrame(seeds, "path string, below boolean").repartition(min(len(seeds), cores * 4))
+    return handed.mapInPandas(walk, LISTING)
 
 
 def read_corpus(spark: SparkSession, root: str, max_depth: int | None = None, hidden: bool = False,

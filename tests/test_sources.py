@@ -38,6 +38,15 @@ def test_read_corpus(spark, tmp_path):
     assert list_tree(spark, root).filter("error is not null").count() == 0
 
 
+def test_missing_root_and_flat_tree(spark, tmp_path):
+    with pytest.raises(OSError):
+        sl.read_corpus(spark, str(tmp_path / "none"))
+    for i in range(30):
+        write(str(tmp_path), f"f{i}.txt", b"x" * i)
+    rows = sl.read_corpus(spark, str(tmp_path)).collect()
+    assert len(rows) == 30 and sum(r.size for r in rows) == sum(range(30))
+
+
 def test_decode_and_to_corpus(spark):
     df = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"\xff"),)], "b binary")
     assert [r[0] for r in df.select(decode(F.col("b"))).collect()] == ["ok", None]

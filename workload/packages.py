@@ -185,11 +185,11 @@ _NOW = "TIMESTAMP '1998-01-01 00:00:00'"
 
 
 @query("cache_merge", f"""
-WITH c AS ({_CACHE}) SELECT key, max(CAST(fetched_at AS TIMESTAMP)) AS fetched_at, count(*) AS one FROM (SELECT DISTINCT key, fetched_at FROM c) GROUP BY key HAVING true
-""".replace(", count(*) AS one", ""))
+WITH c AS ({_CACHE}) SELECT key, strftime(max(CAST(fetched_at AS TIMESTAMP)), '%Y-%m-%d') AS fetched_on FROM c GROUP BY key""")
 def cache_merge(spark, sf):
     c = _cache(spark, sf)
-    return sl.merge_cache(c.filter("payload % 2 = 0"), c.filter("payload % 2 = 1")).select("key", "fetched_at")
+    merged = sl.merge_cache(c.filter("payload % 2 = 0"), c.filter("payload % 2 = 1"))
+    return merged.select("key", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"))
 
 
 @query("cache_lookups", f"""
