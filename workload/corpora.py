@@ -65,10 +65,10 @@ SELECT d.doc_id, s.code AS sample_code, concat(d.source,'/d',cast(d.doc_id AS va
 FROM documents d JOIN samples s ON d.doc_id % {N_SAMPLES} = s.no
 """
 
-# A manifest next to every other framework sample, and a mixed bag next to the rest.
+# A manifest next to two of three samples of a framework, and a plain text next to the rest.
 CORPUS_MANIFESTS = f"""
 SELECT d.doc_id, s.code AS sample_code,
-  concat(d.source,'/d',cast(d.doc_id AS varchar(20)),'/', CASE
+  concat(d.source,'/d',cast(d.doc_id AS varchar(20)),'/', CASE WHEN floor(d.doc_id / {N_SAMPLES}) % 3 = 1 THEN 'README.md'
     WHEN s.code LIKE 'NE_T-%' THEN 'package.json' WHEN s.code LIKE 'AXUM-%' THEN 'Cargo.toml'
     WHEN s.code LIKE 'DJANGO-%' THEN 'requirements.txt' WHEN s.code LIKE 'FLASK-%' THEN 'pyproject.toml'
     WHEN s.code LIKE 'SPRING-%' THEN 'pom.xml' WHEN s.code LIKE 'ORM-%' THEN 'Gemfile'
@@ -83,7 +83,6 @@ SELECT d.doc_id, s.code AS sample_code,
     WHEN s.code LIKE 'XXE-%' THEN '{{"require": {{"laravel/framework": "11", "symfony/symfony": "6"}}}}'
     WHEN s.code LIKE 'CRY-%' THEN 'id("org.springframework.boot")' ELSE 'text' END AS content
 FROM documents d JOIN samples s ON d.doc_id % {N_SAMPLES} = s.no
-WHERE floor(d.doc_id / {N_SAMPLES}) % 3 <> 1
 """
 
 COMMITS = """
@@ -96,7 +95,7 @@ REVISIONS = """
 SELECT md5(concat('c', cast(e.event_id AS varchar(20)))) AS sha, c.path,
        CASE e.event_type WHEN 'signup' THEN 'A' WHEN 'click' THEN 'M' WHEN 'view' THEN 'R'
             WHEN 'purchase' THEN 'T' ELSE 'D' END AS change, c.content
-FROM events e JOIN corpus_code c ON c.doc_id = e.event_id % 200
+FROM (SELECT *, event_id % (SELECT count(*) FROM documents) AS target FROM events) e JOIN corpus_code c ON c.doc_id = e.target
 """
 
 ADVISORIES = """
@@ -153,7 +152,7 @@ def commits(spark, sf):
 
 
 def revisions(spark, sf):
-    return over(spark, REVISIONS, events=table(spark, sf, "events"), corpus_code=code(spark, sf))
+    return over(spark, REVISIONS, events=table(spark, sf, "events"), documents=table(spark, sf, "documents"), corpus_code=code(spark, sf))
 
 
 def advisories(spark, sf):

@@ -56,7 +56,7 @@ def walk_rules(spark, sf):
 @query("changed_files", O.with_(C.CODE_CTE) + """
 , ch AS (SELECT c.path, CASE e.event_type WHEN 'signup' THEN 'A' WHEN 'click' THEN 'M' WHEN 'view' THEN 'R'
             WHEN 'purchase' THEN 'T' ELSE 'D' END AS kind
-   FROM events e JOIN corpus_code c ON c.doc_id = e.event_id % 200)
+   FROM (SELECT *, event_id % (SELECT count(*) FROM documents) AS target FROM events) e JOIN corpus_code c ON c.doc_id = e.target)
 SELECT path, strlen(content) AS size FROM corpus_code WHERE path IN (SELECT path FROM ch WHERE kind IN ('A','M','R','T'))""")
 def changed_files(spark, sf):
     changes = C.revisions(spark, sf).select("path", F.col("change").alias("kind"))

@@ -39,7 +39,7 @@ def stream_scan(spark, sf):
 _VERSIONS = """
 SELECT c.path, c.content || CASE WHEN e.event_id % 3 = 0 THEN '' ELSE concat(chr(10), 'k = "AKIA', upper(substring(md5(cast(e.event_id AS varchar(20))),1,16)), '"') END AS content,
   CASE e.event_type WHEN 'signup' THEN 'open' WHEN 'click' THEN 'save' WHEN 'view' THEN 'change' WHEN 'purchase' THEN 'save' ELSE 'close' END AS event,
-  e.event_id AS version FROM events e JOIN corpus_code c ON c.doc_id = e.event_id % 200"""
+  e.event_id AS version FROM (SELECT *, event_id % (SELECT count(*) FROM documents) AS target FROM events) e JOIN corpus_code c ON c.doc_id = e.target"""
 
 
 @query("stream_latest_state", O.with_(
@@ -48,7 +48,7 @@ SELECT c.path, c.content || CASE WHEN e.event_id % 3 = 0 THEN '' ELSE concat(chr
     O.files_cte("(SELECT path, content FROM latest WHERE n = 1 AND event <> 'close')"), O.rules_cte(_RULES), O.findings_ctes())
     + f"SELECT {O.SHOWN} FROM findings")
 def stream_latest_state(spark, sf):
-    versions = C.over(spark, _VERSIONS, events=C.table(spark, sf, "events"), corpus_code=C.code(spark, sf))
+    versions = C.over(spark, _VERSIONS, events=C.table(spark, sf, "events"), documents=C.table(spark, sf, "documents"), corpus_code=C.code(spark, sf))
     source, log, state = (_folder(spark, n) for n in ("versions-in", "finding-log", "versions-state"))
     versions.repartition(6, F.col("version")).write.mode("overwrite").parquet(source)
     arriving = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 2).parquet(source)
