@@ -46,11 +46,22 @@ def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the merges of byte-level vocabularies.
+
+    Printable Latin-1 characters stand for themselves, the others for the characters from U+0100 on.
+    """
+    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n, ids) of whole texts; ids as little-endian integers of `id_type`. Texts stay with their task.
 
     The tokenizer sees a text in chunks cut before single spaces, line ends and the comma or full
-    stop after a word: its pattern always cuts there, so the chunks give the ids of the whole text, and known chunks need no second call.
+    stop after a word: its pattern always cuts there, so the chunks give the ids of the whole text,
+    and known chunks need no second call. This holds for byte-level tokenizers of that pattern.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,21 +77,17 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None, key: str = "do
         def ids_of(raw: list[str]) -> list[list[int]]:
             return [e.ids for e in model.encode_batch_fast(raw, add_special_tokens=False)]
 
-        newline = np.array(ids_of(["\n"])[0], kind)
+        bpe, spell = model.model, byte_letters()
+        newline = np.array(ids_of(["\n"])[0], kind).tobytes()
 
         def encode(names: list[str]) -> list[bytes]:
-            # One call for many words: they are joined by line ends, which the pattern keeps apart
-            # from the words around them. Chunks with other white space inside come on their own.
-            found: dict[str, bytes] = {}
-            words = [n for n in names if n[1:].isprintable() and " " not in n and len(newline) == 1]
-            bare = [n[1:] if n[:1] == "\n" else spelled(n, True) for n in words]
-            ids = np.array(ids_of(["\n".join(bare)])[0] if words else [], kind)
-            cuts = [-1, *np.flatnonzero(ids == newline).tolist(), len(ids)]
-            if len(cuts) == len(words) + 1:
-                flat, size, head = ids.tobytes(), kind.itemsize, newline.tobytes()
-                for n, a, b in zip(words, cuts, cuts[1:], strict=False):
-                    own = flat[size * (a + 1):size * b]
-                    found[n] = head + own if n[:1] == "\n" else own
+            # Words of Latin letters are one piece of the tokenizer's pattern, so its merges alone
+            # give their ids. Any other chunk goes through the whole tokenizer.
+            words = [n for n in names if (w := n[1:] if n[:1] in "\r\n" else n).isalpha() and max(w) < "\u0250"]
+            bare = [n[1:] if n[:1] in "\r\n" else " " + n for n in words]
+            spelt = [w.replace(" ", spell[32]) if w.isascii() else w.encode().decode("latin-1").translate(spell) for w in bare]
+            found = {n: (newline if n[:1] == "\n" else b"") + np.array([t.id for t in bpe.tokenize(w)], kind).tobytes()
+                     for n, w in zip(words, spelt, strict=True)}
             rest = [n for n in names if n not in found]
             found.update((n, np.array(i, kind).tobytes()) for n, i in
                          zip(rest, ids_of([spelled(n, True) for n in rest]), strict=True))
