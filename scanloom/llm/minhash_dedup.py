@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import save, slices
@@ -188,5 +188,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows, with all their columns, that stand for their component; of equal rows one, and all rows without a key."""
+    found = link(docs, key, text, width).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    own = docs.withColumns({"__key": F.col(key).cast("long"), "__hash": F.xxhash64(F.col(text).cast("string"))})
+    first = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__key"))
+    kept = own.join(found, F.col("__key") == F.col("__kept"), "left_semi").withColumn("__first", first).filter("__first = 1")
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))

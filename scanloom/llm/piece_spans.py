@@ -212,8 +212,8 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(lambda b: _encoded(b, model), SPANS)
 
 
-def encode_digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digests of `encode`, made in the same task, so the pieces need not leave it."""
+def encode_digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Digests of `encode`, made in the same task, so the pieces need not leave it; on demand with the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[str] = []
@@ -225,13 +225,15 @@ def encode_digests(docs: DataFrame, model: str, key: str = "doc_id", text: str =
                 names.extend(str(k) for k in range(len(names), int(own.max(initial=-1)) + 1))
                 rows.append(hashlib.sha256(",".join([names[k] for k in own.tolist()]).encode()).hexdigest())
                 crcs.append(zlib.crc32(ends[i].values.to_numpy().tobytes(), zlib.crc32(starts[i].values.to_numpy().tobytes())))
+            more = {"ids": ids} if with_ids else {}
             yield pa.RecordBatch.from_arrays([
                 doc, pa.compute.list_value_length(ids).cast(pa.int64()), pa.array(rows),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded.to_pylist()]), pa.array(crcs, pa.int64()),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded.to_pylist()]), pa.array(crcs, pa.int64()), *more.values(),
+            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32", *more])
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long"
+        + ", ids array<int>" * with_ids)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

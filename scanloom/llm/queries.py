@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import huffman_ids, minhash_dedup, piece_spans, toxicity_trees
+from scanloom.llm import huffman_ids, minhash_dedup, piece_spans, private_spans, source_mix, toxicity_trees
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -30,6 +30,8 @@ def found_by_workers(query: Callable[[SparkSession, str], DataFrame]) -> Callabl
 
 QUERIES = {name: found_by_workers(query) for name, query in {
     "op1_huffman_ids": huffman_ids.op1,
+    "op2_private_spans": private_spans.op2,
+    "op3_source_mix": source_mix.op3,
     "op6_minhash_dedup": minhash_dedup.op6,
     "op7_toxicity_trees": toxicity_trees.op7,
     "op10_piece_spans": piece_spans.op10,
