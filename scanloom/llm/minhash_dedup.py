@@ -6,9 +6,9 @@ minimum each; `ROWS` minima make a band, and documents that share a band are can
 bands of 5 rows a pair at the threshold of 0.75 is missed with a probability of 2 in 100,000.
 
 Documents with equal sets form one class with the smallest id as its representative; only
-representatives are compared. In every band bucket each member is first compared with two members
-that stand for the bucket. Components of the links so found leave few open questions: only members
-of a bucket that are in different components are then compared with each other. Every candidate is checked on signatures
+representatives are compared. In every band bucket each member is first compared with a few members
+that stand for the bucket. Components of the links so found leave few open questions: members of a
+bucket outside its largest component are then compared with those of all other components. Every candidate is checked on signatures
 (a wide margin below the threshold) and then on the full sets.
 
 Null ids are left out of links. Null, empty and blank texts have empty sets and link with nothing.
@@ -30,6 +30,8 @@ from scanloom.llm.graph import components
 
 WIDTH, SIMILARITY = 5, 0.75
 HASHES, ROWS = 200, 5
+#: Members that stand for a bucket in the first comparison, and members of a block in the second.
+HEADS, PACK = 4, 256
 #: Share of equal minima that a candidate must have: 0.75 less four standard deviations.
 SIGNATURE_LEAST = 0.75 - 4 * (0.75 * 0.25 / HASHES) ** 0.5
 
@@ -109,8 +111,21 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
         run, "doc_id long, n_shingles long, set_id binary, bands array<long>, minima binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The (a, b) whose sets are similar enough, checked on signatures and then on the full sets."""
+def shingle_sets(texts: DataFrame, asked: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, runs) of the asked ids: the only step that moves texts. The asked grow with the input, so they are never broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in slices(batches, 1):
+            found = [shingler(t).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "runs"])
+
+    return texts.join(asked.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
+        run, "doc_id long, runs binary")
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The (a, b) whose signatures agree enough and whose sizes allow the similarity."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,16 +136,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int =
     own = nodes.select("doc_id", "minima", "n_shingles")
     sized = (pairs.join(own.select(F.col("doc_id").alias("a"), F.col("minima").alias("x"), F.col("n_shingles").alias("n")), "a")
              .join(own.select(F.col("doc_id").alias("b"), F.col("minima").alias("y"), F.col("n_shingles").alias("m")), "b")
-             .filter(100 * F.least("n", "m") >= 75 * F.greatest("n", "m")))  # else the sets cannot be similar
-    likely = save(sized.select("a", "b", "x", "y").mapInArrow(close, "a long, b long"), "likely")
+             .filter(100 * F.least("n", "m") >= 75 * F.greatest("n", "m")))
+    return sized.select("a", "b", "x", "y").mapInArrow(close, "a long, b long")
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in slices(batches, 1):
-            found = [shingler(t).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "runs"])
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) whose full sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -139,12 +152,46 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int =
                 keep.append(100 * common >= 75 * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    sets = save(texts.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
-        sets_of, "doc_id long, runs binary"), "sets", "none")
-    return (likely.join(sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("x")), "a")
+    return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("x")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"))
+            .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def across(member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of one bucket, in different components, whose signatures agree enough.
+
+    member: (band, value, doc_id, component). Members of a bucket are packed into blocks of about
+    `PACK`. Those outside its largest component meet all others, block by block inside a task;
+    only pairs that pass leave it.
+    """
+    parts = member.groupBy("band", "value", "component").agg(F.count("*").alias("n"))
+    open_ = (parts.groupBy("band", "value").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
+                                                F.sum("n").alias("n"), F.count("*").alias("parts"))
+             .filter("parts > 1").select("band", "value", "main", F.ceil(F.col("n") / PACK).cast("int").alias("blocks")))
+    full = (member.join(open_, ["band", "value"]).join(nodes.select("doc_id", "minima"), "doc_id")
+            .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
+    row = F.collect_list(F.struct("doc_id", "component", "minima"))
+    right = save(full.groupBy("band", "value", "block").agg(row.alias("y")), "blocks", "none")
+    left = save(full.filter("component <> main").groupBy("band", "value", "block").agg(row.alias("x")), "blocks", "none")
+    pairs = left.select("band", "value", "x").join(right.select("band", "value", "y"), ["band", "value"]).select("x", "y")
+
+    def arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        minima = np.frombuffer(b"".join(r["minima"] for r in rows), "<u2").reshape(-1, HASHES)
+        return np.array([r["doc_id"] for r in rows]), np.array([r["component"] for r in rows]), minima
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ids, own, x), (others, parts, y) = (arrays(batch.column(c)[k].as_py()) for c in (0, 1))
+                found: list[tuple[int, int]] = []
+                for i in range(0, len(ids), 64):
+                    agree = (x[i:i + 64, None, :] == y[None, :, :]).mean(2) >= SIGNATURE_LEAST
+                    agree &= own[i:i + 64, None] != parts[None, :]
+                    found += [(int(ids[i + p]), int(others[q])) for p, q in zip(*np.nonzero(agree), strict=True)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found]), pa.array([max(f) for f in found])], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -158,29 +205,23 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     same = known.filter("rep is not null").select(F.col("doc_id").alias("a"), F.col("rep.doc_id").alias("b"))
     nodes = save(known.filter("rep is null or rep.row = row").select("doc_id", "n_shingles", "bands", "minima"), "nodes", "none")
 
-    # Buckets of one member, most of them, end here. A bucket's first members are two: the least
-    # id and the least hash of an id.
+    # Buckets of one member, most of them, end here. A few members stand for a bucket: the least id
+    # and the least hashes of ids.
     member = nodes.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    shared = (member.groupBy("band", "value")
-              .agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("second"))
-              .filter("n > 1").drop("n"))
+    heads = [F.min("doc_id"), *[F.min_by("doc_id", F.xxhash64(F.lit(k), "doc_id")) for k in range(1, HEADS)]]
+    shared = (member.groupBy("band", "value").agg(F.count("*").alias("n"), *[h.alias(f"h{k}") for k, h in enumerate(heads)])
+              .filter("n > 1").select("band", "value", F.array_distinct(F.array(*[f"h{k}" for k in range(HEADS)])).alias("heads")))
     member = save(member.join(shared, ["band", "value"]), "members")
-    star = member.select("doc_id", F.explode(F.array("first", "second")).alias("other")).filter("doc_id <> other")
-    tried = save(star.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "tried")
-    links = save(verified(tried, nodes, texts, width), "links")
+    sets = save(shingle_sets(texts, member.select("doc_id").distinct(), width), "sets", "none")
+    star = member.select("doc_id", F.explode("heads").alias("other")).filter("doc_id <> other")
+    star = star.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    links = save(similar(likely(star, nodes), sets), "links")
 
     # What is still open: members of one bucket in different components.
     part = components(links)
-    member = save(member.join(part, member["doc_id"] == part["node"], "left")
-                  .select("band", "value", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
-    mixed_up = (member.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                .filter("low < high").select("band", "value"))
-    open_ = save(member.join(mixed_up, ["band", "value"]), "open")
-    other = open_.select("band", "value", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-    rest = (open_.withColumnRenamed("doc_id", "a").join(other, ["band", "value"])
-            .filter("component < other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            .join(tried, ["a", "b"], "left_anti"))
-    more = save(verified(rest, nodes, texts, width), "links")
+    member = (member.join(part, member["doc_id"] == part["node"], "left")
+              .select("band", "value", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    more = save(similar(across(save(member, "members"), nodes), sets), "links")
 
     part = components(links.union(more).union(same))
     return (all_docs.select("doc_id", "n_shingles").join(part, all_docs["doc_id"] == part["node"], "left")
