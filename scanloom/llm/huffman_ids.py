@@ -176,14 +176,16 @@ def pack(ids: np.ndarray, code: np.ndarray, length: np.ndarray, block: int = BLO
     size = length[ids]
     ends = np.cumsum(size)
     total, starts = (int(ends[-1]) if len(ids) else 0), ends - size
-    # A code of up to 25 bits and a shift of up to 7 fill four bytes at most; no two codes share
-    # a bit, so sums put them together.
-    at, word = starts >> 3, code[ids] << (32 - size - (starts & 7)).astype(np.uint64)
-    out = np.zeros((total + 7) // 8 + 4, np.uint8)
-    for k in range(4):
-        part = ((word >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.float64)
-        out += np.bincount(at + k, part, len(out)).astype(np.uint8)
-    return starts[::block].astype("<u8").tobytes(), out[: (total + 7) // 8].tobytes()
+    words = np.zeros(total // 64 + 2, np.uint64)
+    if len(ids):
+        # No two codes share a bit, so sums put those of a word together; at most one runs over its end.
+        word, value, left = starts >> 6, code[ids], 64 - (starts & 63) - size
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        inside = np.where(left >= 0, value << np.maximum(left, 0).astype(np.uint64), value >> np.maximum(-left, 0).astype(np.uint64))
+        words[word[first]] = np.add.reduceat(inside, first)
+        over = np.flatnonzero(left < 0)
+        words[word[over] + 1] += value[over] << (64 + left[over]).astype(np.uint64)
+    return starts[::block].astype("<u8").tobytes(), words.astype(">u8").tobytes()[: (total + 7) // 8]
 
 
 def unpack(payload: bytes, offsets: bytes, n: int, codes: Codes, block: int = BLOCK,

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from scanloom.llm import (cover_tree_dedup, huffman_ids, minhash_dedup, piece_spans, private_spans, source_mix, toxicity_trees,
-                          warc_salvage)
+                          warc_salvage, webp_payload)
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -33,6 +33,7 @@ QUERIES = {name: found_by_workers(query) for name, query in {
     "op1_huffman_ids": huffman_ids.op1,
     "op2_private_spans": private_spans.op2,
     "op3_source_mix": source_mix.op3,
+    "op4_webp_payload": webp_payload.op4,
     "op5_warc_salvage": warc_salvage.op5,
     "op6_minhash_dedup": minhash_dedup.op6,
     "op7_toxicity_trees": toxicity_trees.op7,
