@@ -9,8 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import (cover_tree_dedup, huffman_ids, minhash_dedup, piece_spans, private_spans, source_mix, toxicity_trees,
-                          warc_salvage, webp_payload)
+from scanloom.llm import (cover_tree_dedup, huffman_ids, minhash_dedup, piece_spans, private_spans, source_mix, suffix_dedup,
+                          toxicity_trees, warc_salvage, webp_payload)
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -37,6 +37,7 @@ QUERIES = {name: found_by_workers(query) for name, query in {
     "op5_warc_salvage": warc_salvage.op5,
     "op6_minhash_dedup": minhash_dedup.op6,
     "op7_toxicity_trees": toxicity_trees.op7,
+    "op8_suffix_dedup": suffix_dedup.op8,
     "op9_cover_tree_dedup": cover_tree_dedup.op9,
     "op10_piece_spans": piece_spans.op10,
 }.items()}
