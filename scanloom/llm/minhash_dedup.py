@@ -31,7 +31,7 @@ from scanloom.llm.graph import components
 WIDTH, SIMILARITY = 5, 0.75
 HASHES, ROWS = 200, 5
 #: Members that stand for a bucket in the first comparison, and members of a block in the second.
-HEADS, PACK = 4, 256
+HEADS, PACK = 2, 64
 #: Share of equal minima that a candidate must have: 0.75 less four standard deviations.
 SIGNATURE_LEAST = 0.75 - 4 * (0.75 * 0.25 / HASHES) ** 0.5
 
@@ -140,16 +140,23 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.select("a", "b", "x", "y").mapInArrow(close, "a long, b long")
 
 
+def alike(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if 100 * min(len(p), len(q)) < 75 * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")  # merges the two sorted halves
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= 75 * (len(p) + len(q) - common)
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) whose full sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= 75 * (len(p) + len(q) - common))
+            keep = [alike(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"))
+                    for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("x")), "a")
@@ -157,37 +164,41 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def across(member: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b) of one bucket, in different components, whose signatures agree enough.
+def across(member: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of one bucket, in different components, whose full sets are similar.
 
     member: (band, value, doc_id, component). Members of a bucket are packed into blocks of about
-    `PACK`. Those outside its largest component meet all others, block by block inside a task;
-    only pairs that pass leave it.
+    `PACK`. Those outside its largest component meet all others, block by block inside a task, which
+    checks signatures, then sets, of pairs that share no band before this one. Only links leave it.
     """
     parts = member.groupBy("band", "value", "component").agg(F.count("*").alias("n"))
     open_ = (parts.groupBy("band", "value").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
                                                 F.sum("n").alias("n"), F.count("*").alias("parts"))
              .filter("parts > 1").select("band", "value", "main", F.ceil(F.col("n") / PACK).cast("int").alias("blocks")))
-    full = (member.join(open_, ["band", "value"]).join(nodes.select("doc_id", "minima"), "doc_id")
+    full = (member.join(open_, ["band", "value"]).join(nodes.select("doc_id", "bands", "minima"), "doc_id").join(sets, "doc_id")
             .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
-    row = F.collect_list(F.struct("doc_id", "component", "minima"))
+    row = F.collect_list(F.struct("doc_id", "component", "minima", "bands", "runs"))
     right = save(full.groupBy("band", "value", "block").agg(row.alias("y")), "blocks", "none")
     left = save(full.filter("component <> main").groupBy("band", "value", "block").agg(row.alias("x")), "blocks", "none")
-    pairs = left.select("band", "value", "x").join(right.select("band", "value", "y"), ["band", "value"]).select("x", "y")
+    pairs = left.select("band", "value", "x").join(right.select("band", "value", "y"), ["band", "value"]).select("band", "x", "y")
 
-    def arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def arrays(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         minima = np.frombuffer(b"".join(r["minima"] for r in rows), "<u2").reshape(-1, HASHES)
-        return np.array([r["doc_id"] for r in rows]), np.array([r["component"] for r in rows]), minima
+        return (np.array([r["doc_id"] for r in rows]), np.array([r["component"] for r in rows]), minima,
+                np.array([r["bands"] for r in rows]), [np.frombuffer(r["runs"], "<u8") for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (ids, own, x), (others, parts, y) = (arrays(batch.column(c)[k].as_py()) for c in (0, 1))
+                band = batch.column(0)[k].as_py()
+                (ids, own, x, bx, p), (others, parts_, y, by, q) = (arrays(batch.column(c)[k].as_py()) for c in (1, 2))
                 found: list[tuple[int, int]] = []
-                for i in range(0, len(ids), 64):
-                    agree = (x[i:i + 64, None, :] == y[None, :, :]).mean(2) >= SIGNATURE_LEAST
-                    agree &= own[i:i + 64, None] != parts[None, :]
-                    found += [(int(ids[i + p]), int(others[q])) for p, q in zip(*np.nonzero(agree), strict=True)]
+                for i in range(len(ids)):
+                    agree = ((x[i] == y).mean(1) >= SIGNATURE_LEAST) & (own[i] != parts_)
+                    agree &= ~(bx[i, :band] == by[:, :band]).any(1)
+                    for j in np.flatnonzero(agree).tolist():
+                        if alike(p[i], q[j]):
+                            found.append((int(ids[i]), int(others[j])))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found]), pa.array([max(f) for f in found])], ["a", "b"])
 
@@ -217,11 +228,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     star = star.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
     links = save(similar(likely(star, nodes), sets), "links")
 
-    # What is still open: members of one bucket in different components.
+    # What is still open: members of one bucket in different components, neither of which stood for it.
     part = components(links)
-    member = (member.join(part, member["doc_id"] == part["node"], "left")
-              .select("band", "value", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    more = save(similar(across(save(member, "members"), nodes), sets), "links")
+    rest = member.filter(~F.array_contains("heads", F.col("doc_id")))
+    rest = (rest.join(part, rest["doc_id"] == part["node"], "left")
+            .select("band", "value", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    more = save(across(save(rest, "members"), nodes, sets), "links")
 
     part = components(links.union(more).union(same))
     return (all_docs.select("doc_id", "n_shingles").join(part, all_docs["doc_id"] == part["node"], "left")
