@@ -75,9 +75,8 @@ def chunks(text: str, marks: bool = False) -> list[str]:
         text = text.replace("\n", " \n")
         parts = (text.replace(",", " ,").replace(".", " .") if marks else text).split(" ")
     else:
-        parts = ["\r " + p if p[:1] in ",." else p for p in _BETWEEN.split(text)]
-        if parts[0][:2] == "\r ":
-            parts[0] = parts[0][2:]
+        first, *rest = _BETWEEN.split(text)
+        parts = [first, *["\r " + p if marks and p[0] in ",." else p for p in rest]]
     parts[0] = "\r" + parts[0]
     return parts
 

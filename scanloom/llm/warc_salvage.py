@@ -132,6 +132,9 @@ class Damaged(Exception):
     pass
 
 
+_VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+
+
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """A whole member's content and where it ends; the checksum and length at its end are verified by zlib."""
     unpacker = zlib.decompressobj(31)
@@ -146,7 +149,7 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
 
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at a version line."""
-    if not data.startswith(b"WARC/1.", at):
+    if not _VERSION_LINE.match(data, at):
         raise Damaged("record: no version line")
     close = data.find(b"\r\n\r\n", at, at + HEADER_LIMIT)
     if close < 0:
@@ -159,6 +162,8 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         headers[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
     if not re.fullmatch(r"[0-9]{1,18}", headers.get("content-length", "")):
         raise Damaged("record: no length")
+    if not {"warc-type", "warc-record-id", "warc-date"} <= headers.keys():
+        raise Damaged("record: a required header is missing")
     end = close + 4 + int(headers["content-length"])
     block = data[close + 4:end]
     if end > len(data) or data[end:end + 4] != b"\r\n\r\n":
@@ -184,7 +189,7 @@ def _one(data: bytes, at: int) -> list[Found]:
     return [Found(at, end, headers, block)]
 
 
-_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
 def salvage(data: bytes) -> Iterator[Found]:
