@@ -37,7 +37,7 @@ SURE = 3   # a piece this long is selective whatever it starts with
 def _parse(pattern: str):
     try:
         with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
+            warnings.simplefilter("error")  # nested and intersected classes mean something else to the matcher
             return parser.parse(pattern)
     except Exception:
         return None
