@@ -1,18 +1,16 @@
 """Words for stating what a rule looks for: calls, arguments, settings, request values.
 
 A rule says which callee, in which argument place, meets which kind of value; the pattern follows
-from that. Stretches of free text are runs of one character class with a bound, and no group with a
-variable body is repeated: a matcher that recurses per repetition of a group can read a text of any
-length. Word edges are looked at, not consumed.
+from that. Stretches of free text are runs of one character class, and no group with a variable body
+is repeated: a matcher that recurses per repetition of a group can read a text of any length.
+Patterns keep to what backtracking and automaton matchers share.
 """
 
 from __future__ import annotations
 
 import re
 
-BLANK = r"\s{0,40}"
-#: Bound of free text inside a call, a value, a block.
-FREE = 600
+BLANK = r"\s*"
 
 
 def either(*options: str) -> str:
@@ -26,12 +24,12 @@ def plain(*texts: str) -> str:
 
 def word(*texts: str) -> str:
     """One of some fixed texts that stands on its own."""
-    return rf"(?<![\w$]){plain(*texts)}(?![\w$])"
+    return rf"\b{plain(*texts)}\b"
 
 
-def run(without: str, least: int = 0, most: int = FREE, lazy: bool = False) -> str:
+def run(without: str, least: int = 0, lazy: bool = False) -> str:
     """Any characters but the given ones."""
-    return rf"[^{without}]{{{least},{most}}}" + "?" * lazy
+    return f"[^{without}]{'+' if least else '*'}" + "?" * lazy
 
 
 def spaced(*parts: str) -> str:
@@ -41,7 +39,7 @@ def spaced(*parts: str) -> str:
 
 def call(callee: str, *inside: str) -> str:
     """A call; what follows the parenthesis may be stated."""
-    return spaced(rf"(?<![\w$]){callee}", r"\(", *inside)
+    return spaced(rf"\b{callee}", r"\(", *inside)
 
 
 def method(callee: str, *inside: str) -> str:
@@ -51,7 +49,7 @@ def method(callee: str, *inside: str) -> str:
 
 def skip(n: int) -> str:
     """n arguments that are no calls themselves."""
-    return spaced(*[rf"{run(',()', 1, 200)},"] * n)
+    return spaced(*[rf"{run(',()', 1)},"] * n)
 
 
 def somewhere(what: str, without: str = ")") -> str:
@@ -65,12 +63,12 @@ def quoted(inner: str = "") -> str:
 
 def setting(key: str, value: str, sign: str = ":") -> str:
     """`key: value` or `key = value`."""
-    return spaced(rf"(?<![\w$]){key}", sign, rf"{value}(?![\w])")
+    return spaced(rf"\b{key}", sign, rf"{value}\b")
 
 
 def at_line(what: str) -> str:
     """At the start of a line; needs the (?m) flag in front of the pattern."""
-    return r"^[ \t]{0,80}" + what
+    return r"^[ \t]*" + what
 
 
 def built_text(quote: str, hole: str) -> str:
@@ -78,16 +76,16 @@ def built_text(quote: str, hole: str) -> str:
     return rf"{quote}{run(quote)}?{hole}"
 
 
-NAME = r"[A-Za-z_]\w{0,120}"
-PATH = r"[A-Za-z_][\w.]{0,200}"
+NAME = r"[A-Za-z_]\w*"
+PATH = r"[A-Za-z_][\w.]*"
 JS_TEMPLATE = built_text("`", r"\$\{")
 JS_REQUEST = rf"req\.{either('body', 'query', 'params', 'cookies', 'headers')}"
-JS_VALUE = rf"{JS_REQUEST}\.[A-Za-z_][\w.]{{0,200}}"
+JS_VALUE = rf"{JS_REQUEST}\.[A-Za-z_][\w.]*"
 GO_VALUE = rf"{NAME}\.{either('FormValue', 'PostFormValue', r'URL[.]Query[(][)][.]Get')}\({run(')')}\)"
-PHP_VALUE = r"\$_" + either("GET", "POST", "REQUEST", "COOKIE") + r"(?!\w)"
+PHP_VALUE = r"\$_" + either("GET", "POST", "REQUEST", "COOKIE") + r"\b"
 ENDS = rf"{BLANK}[,)]"
 
 
 def py_value(*fields: str) -> str:
     """A field of the request, read by key or by a getter."""
-    return rf"request\.{either(*fields)}[\w.]{{0,200}}[\[(]{run(r'\])', 1)}[\])]"
+    return rf"request\.{either(*fields)}[\w.]*[\[(]{run(r'\])', 1)}[\])]"
