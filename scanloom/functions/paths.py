@@ -14,7 +14,6 @@ K8S_SIGNATURE = (
     r"(?m)^\s*apiVersion:\s*\S[\s\S]*?^\s*kind:\s*(?:Pod|Deployment|StatefulSet|DaemonSet"
     r"|Job|CronJob|ReplicaSet|ReplicationController)\b"
 )
-K8S_HEAD_LINES = 80
 
 
 def _col(c) -> Column:
@@ -99,12 +98,8 @@ def is_terraform(path) -> Column:
 
 
 def is_k8s(path, content) -> Column:
-    """YAML whose first lines hold an ``apiVersion`` followed by a workload ``kind``.
-
-    ``substring_index`` cuts the head without splitting the whole text, and the
-    literal test keeps the regular expression off ordinary YAML.
-    """
-    head = F.substring_index(_col(content), "\n", K8S_HEAD_LINES)
+    """YAML that holds an ``apiVersion`` followed by a workload ``kind``; the literal keeps the pattern off other YAML."""
+    head = _col(content)
     return F.coalesce(
         extension(path).isin("yaml", "yml")
         & F.contains(head, F.lit("apiVersion:"))

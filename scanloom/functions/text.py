@@ -6,8 +6,6 @@ from pyspark.sql import Column, functions as F
 
 from scanloom.functions.lam import let
 
-PROBE_BYTES = 8192
-
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -35,11 +33,10 @@ def shannon_entropy(text) -> Column:
 
 
 def is_binary(content) -> Column:
-    """More than one NUL per hundred bytes in the first 8 KiB (integer arithmetic)."""
-    probe = F.substring(_col(content).cast("binary"), 1, PROBE_BYTES)
-    size = F.octet_length(probe)
-    # Read as text the probe keeps its bytes, and a NUL is never part of another character.
-    nul = char_count(probe.cast("string"), "\0")
+    """More than one NUL per hundred bytes (integer arithmetic)."""
+    size = F.octet_length(_col(content))
+    # Read as text the bytes stay as they are, and a NUL is never part of another character.
+    nul = char_count(_col(content).cast("string"), "\0").cast("long")
     return F.when(size == 0, F.lit(False)).otherwise(F.floor(nul * 100 / size) > 1)
 
 
@@ -51,14 +48,18 @@ def call_site(match) -> Column:
     ))
 
 
+def trimmed(match) -> Column:
+    return F.regexp_replace(_col(match), r"^\s+|\s+$", "")
+
+
 def clipped(match, width: int = 80) -> Column:
-    """Trimmed match, cut to ``width`` with an ellipsis."""
-    t = F.regexp_replace(_col(match), r"^\s+|\s+$", "")
+    """Trimmed match, cut to ``width`` with an ellipsis; for display only."""
+    t = trimmed(match)
     return F.when(F.char_length(t) > width, F.concat(F.substring(t, 1, width), F.lit("..."))).otherwise(t)
 
 
 def display_snippet(match, width: int = 120) -> Column:
-    """First line of a match; longer than ``width`` characters it ends in an ellipsis."""
+    """First line of a match for display; longer than ``width`` characters it ends in an ellipsis."""
     t = F.regexp_extract(_col(match), r"^([^\r\n]*)", 1)
     return F.when(
         F.char_length(t) > width, F.concat(F.substring(t, 1, width - 3), F.lit("..."))

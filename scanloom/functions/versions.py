@@ -18,6 +18,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def number(digits: Column) -> Column:
+    """Sorts like the number, however long: by the count of digits, then by the digits. Words sort after all numbers."""
+    bare = F.regexp_replace(digits, r"^0+(?=[0-9])", "")
+    return F.struct(F.char_length(bare).alias("size"), bare.alias("text"))
+
+
 def version_key(version) -> Column:
     """Struct that sorts like the version: numbers, then release above pre-release.
 
@@ -31,11 +37,12 @@ def version_key(version) -> Column:
         tail = F.regexp_replace(F.substring(t, F.char_length(core) + 1, F.lit(1 << 30)), r"^[-._]", "")
         numbers = F.transform(
             F.filter(F.split(F.regexp_replace(core, r"(?:\.0+)+$", ""), r"\."), lambda x: x != ""),
-            lambda x: F.coalesce(x.try_cast("bigint"), F.lit((1 << 63) - 1)),
+            number,
         )
         words = F.transform(
             F.filter(F.split(tail, r"[.\-]"), lambda x: x != ""),
-            lambda x: F.when(F.rlike(x, F.lit(r"^[0-9]+$")), F.lpad(x, 20, "0")).otherwise(x),
+            lambda x: F.when(F.rlike(x, F.lit(r"^[0-9]+$")), number(x)).otherwise(
+                F.struct(F.lit(1 << 30).alias("size"), x.alias("text"))),
         )
         return F.struct(
             numbers.alias("numbers"),

@@ -90,10 +90,10 @@ def split_by_freshness(packages: DataFrame, cache: DataFrame, now: Column, hours
 
 
 def merge_cache(old: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Newest entry per key."""
+    """Newest entry per key; of entries of one time the greatest content."""
     rest = [c for c in old.columns if c not in ("key", "fetched_at")]
     both = old.unionByName(fetched.select(*old.columns))
-    newest = F.max_by(F.struct(*rest), F.col("fetched_at")) if rest else F.lit(None)
+    newest = F.max_by(F.struct(*rest), F.struct("fetched_at", F.to_json(F.struct(*rest)))) if rest else F.lit(None)
     return both.groupBy("key").agg(F.max("fetched_at").alias("fetched_at"), newest.alias("_v")).select(
         "key", "fetched_at", *[F.col("_v")[c].alias(c) for c in rest]
     ).select(*old.columns)

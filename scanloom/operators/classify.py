@@ -31,7 +31,6 @@ CONFIG_EXTENSIONS = (
 )
 MINIFIED_NAME = r"\.min\.(?:[mc]?js|css)|\.bundle\.(?:m?js|css)|-min\.(?:js|css)"
 MINIFIED_EXTENSIONS = ("js", "mjs", "cjs", "jsx", "ts", "tsx", "css")
-MINIFIED_PROBE = 8192
 MINIFIED_FLOOR = 256
 MINIFIED_LINE = 500
 
@@ -65,11 +64,10 @@ def with_kind(files: DataFrame) -> DataFrame:
 
 
 def is_minified(path, content) -> Column:
-    """By name, or a web text whose first 8 KiB average 500 bytes a line or more."""
+    """By name, or a web text whose lines average 500 bytes or more; the whole text counts."""
     p = F.col(path) if isinstance(path, str) else path
     c = F.col(content) if isinstance(content, str) else content
     named = F.rlike(F.lower(paths.base_name(p)), F.lit(MINIFIED_NAME))
-    head = F.substring(c.cast("binary"), 1, MINIFIED_PROBE).cast("string")
 
     def dense(t: Column) -> Column:
         return (
@@ -80,7 +78,7 @@ def is_minified(path, content) -> Column:
         )
 
     return F.coalesce(
-        named | (F.coalesce(paths.extension(p), F.lit("")).isin(*MINIFIED_EXTENSIONS) & let(head, dense)), F.lit(False)
+        named | (F.coalesce(paths.extension(p), F.lit("")).isin(*MINIFIED_EXTENSIONS) & dense(c)), F.lit(False)
     )
 
 

@@ -1,7 +1,7 @@
 """JSON documents per scan unit: result documents and software inventories.
 
-A document is one row, so its group must stay bounded. Units above ``page_size``
-items are spread over several documents by hash; every item is in exactly one.
+A scan unit is one document, whatever its size, and a document is one row: choose units that fit
+a row. With ``page_size`` the items of a larger unit are spread over several documents by hash.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from scanloom.operators.pipeline import seq
 
 TOOL = "scanloom"
 VERSION = "0.1.0"
-PAGE = 50_000
 
 
-def _paged(df: DataFrame, unit: Column, spread: Column, page_size: int) -> DataFrame:
-    """Add ``_unit`` and ``_page``; one page unless the unit is larger than a page."""
+def _paged(df: DataFrame, unit: Column, spread: Column, page_size: int | None) -> DataFrame:
+    """Add ``_unit`` and ``_page``; one page unless pages are asked for."""
     keyed = df.withColumn("_unit", unit)
+    if page_size is None:
+        return keyed.withColumn("_page", F.lit(0))
     sizes = keyed.groupBy("_unit").agg(F.ceil(F.count(F.lit(1)) / page_size).cast("int").alias("_pages"))
     return keyed.join(sizes, "_unit").withColumn("_page", F.pmod(spread, F.col("_pages")))
 
@@ -30,7 +31,7 @@ def repository(path: Column) -> Column:
 
 
 def to_sarif(findings: DataFrame, by: Column | None = None, tool: str = TOOL, version: str = VERSION,
-             page_size: int = PAGE) -> DataFrame:
+             page_size: int | None = None) -> DataFrame:
     """(unit, page, document): SARIF 2.1.0 with rules by first finding and results in order."""
     loc = F.col("location")
     region = F.struct(
@@ -77,7 +78,7 @@ def to_sarif(findings: DataFrame, by: Column | None = None, tool: str = TOOL, ve
     return pages.select(F.col("_unit").alias("unit"), F.col("_page").alias("page"), document.alias("document"))
 
 
-def _package_pages(packages: DataFrame, by: Column | None, page_size: int, item: Column) -> DataFrame:
+def _package_pages(packages: DataFrame, by: Column | None, page_size: int | None, item: Column) -> DataFrame:
     unit = repository(F.col("source")) if by is None else by
     distinct = packages.withColumn("unit", unit).groupBy("unit", "ecosystem", "name", "version").agg(F.min("source").alias("source"))
     order = F.struct("ecosystem", "name", "version")
@@ -86,7 +87,7 @@ def _package_pages(packages: DataFrame, by: Column | None, page_size: int, item:
     )
 
 
-def to_cyclonedx(packages: DataFrame, by: Column | None = None, version: str = VERSION, page_size: int = PAGE) -> DataFrame:
+def to_cyclonedx(packages: DataFrame, by: Column | None = None, version: str = VERSION, page_size: int | None = None) -> DataFrame:
     """(unit, page, document): CycloneDX 1.5."""
     url = purl("ecosystem", "name", "version")
     item = F.struct(
@@ -102,7 +103,7 @@ def to_cyclonedx(packages: DataFrame, by: Column | None = None, version: str = V
         F.col("_unit").alias("unit"), F.col("_page").alias("page"), document.alias("document"))
 
 
-def to_spdx(packages: DataFrame, by: Column | None = None, version: str = VERSION, page_size: int = PAGE) -> DataFrame:
+def to_spdx(packages: DataFrame, by: Column | None = None, version: str = VERSION, page_size: int | None = None) -> DataFrame:
     """(unit, page, document): SPDX 2.3 with positional ids and a fixed creation time."""
     item = F.struct("name", "version", purl("ecosystem", "name", "version").alias("purl"))
     entries = F.transform(F.col("items"), lambda p, i: F.struct(

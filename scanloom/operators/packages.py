@@ -310,7 +310,7 @@ def extract_packages(files: DataFrame, formats=None) -> DataFrame:
     named = files.filter(F.lower(paths.base_name("path")).isin(*names))
     return named.select(
         lookup(ECOSYSTEMS, format_of("path")).alias("ecosystem"), F.col("path").alias("source"),
-        F.inline(_packages_of(chosen, id(files.sparkSession._jvm))),
+        F.inline(_packages_of(chosen, files.sparkSession.sparkContext.applicationId)),
     ).select("ecosystem", "name", "version", "source")
 
 

@@ -11,7 +11,7 @@ copied once per rule and nothing is shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,7 +19,7 @@ from scanloom.functions import text
 from scanloom.functions.lam import let, running
 from scanloom.operators.classify import route_keys, with_kind
 from scanloom.operators.directives import unsilenced
-from scanloom.rules import Rule, routes, rule_table
+from scanloom.rules import Rule, passes, routes, rule_table
 from scanloom.schema import FINDING_COLUMNS
 
 
@@ -96,11 +96,9 @@ def _conditions_hold(rule: Column, content: Column) -> Column:
 
 
 def message_of(rule: Column, match: Column) -> Column:
-    """The fixed message, or the quoted match followed by the trailer."""
+    """The fixed message, or the whole match, quoted, followed by the trailer. Fingerprints rest on it, so nothing is cut."""
     quoted = (
-        F.when(rule["quote"] == "clip", text.clipped(match))
-        .when(rule["quote"] == "line", text.display_snippet(match))
-        .otherwise(text.call_site(match))
+        F.when(rule["quote"].isin("clip", "line"), text.trimmed(match)).otherwise(text.call_site(match))
     )
     return F.when(rule["trailer"] == "", rule["message"]).otherwise(
         F.concat(F.lit("`"), quoted, F.lit("` "), rule["trailer"])
@@ -126,7 +124,7 @@ def _kept(rule: Column, hits: Column, content: Column) -> Column:
 
 
 @lru_cache(maxsize=4)
-def _findings_of(honour_directives: bool, _gateway: int) -> Column:
+def _findings_of(honour_directives: bool, _session: str) -> Column:
     """Findings of one text over ``path, content, _rules``; the same for every rule set, so built once."""
     path, content = F.col("path"), F.col("content")
 
@@ -172,7 +170,7 @@ def find(texts: DataFrame, keys: Column, rules: Iterable[Rule], carry=(), honour
         & _conditions_hold(r, content),
     ))
     chosen = grouped.select(*carry, "path", "content", worth.alias("_rules"))
-    findings = _findings_of(honour_directives, id(texts.sparkSession._jvm))
+    findings = _findings_of(honour_directives, texts.sparkSession.sparkContext.applicationId)
     return chosen.select(*carry, F.inline(findings) if as_rows else findings.alias("findings"))
 
 
@@ -203,6 +201,8 @@ def scan(files: DataFrame, rules: Iterable[Rule], honour_directives: bool = Fals
     silences are left out right here, while the text is at hand: no join later.
     """
     rules = list(rules)
+    if len(parts := passes(rules)) > 1:
+        return reduce(DataFrame.unionByName, [scan(files, part, honour_directives) for part in parts])
     if "kind" not in files.columns or "ext" not in files.columns:
         files = with_kind(files)
     wanted = reachable(rules)
@@ -214,7 +214,7 @@ def scan(files: DataFrame, rules: Iterable[Rule], honour_directives: bool = Fals
 def scan_texts(texts: DataFrame, rules: Iterable[Rule], carry=()) -> DataFrame:
     """Scan texts that have no kind (history, container members): every rule sees every text."""
     every = F.array(F.lit("other:*"), F.lit("other:*"))
-    return find(texts, every, rules, carry)
+    return reduce(DataFrame.unionByName, [find(texts, every, part, carry) for part in passes(rules)])
 
 
 def applicable(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:

@@ -252,7 +252,7 @@ def scan_scoped(files: DataFrame, rules=SCOPE_RULES, first_no: int = 1000) -> Da
         files = with_kind(files)
     languages = sorted({e for r in rules for e in r.extensions})
     source = files.filter((F.col("kind") == "source") & F.col("ext").isin(*languages))
-    found = _row_findings(tuple(rules), first_no, id(files.sparkSession._jvm))
+    found = _row_findings(tuple(rules), first_no, files.sparkSession.sparkContext.applicationId)
     return source.select(F.inline(found)).select(*FINDING_COLUMNS)
 
 

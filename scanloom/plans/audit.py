@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.operators import advisories as adv
 from scanloom.operators import directives, packages, pipeline, projects, reports, scan, scopes
-from scanloom.operators.classify import drop_minified, with_kind
+from scanloom.operators.classify import drop_minified, is_minified, with_kind
 from scanloom.rules import FAMILIES, Rule, load_rules
 from scanloom.rules.catalogue import builtin_rules
 from scanloom.schema import FINDING_COLUMNS
@@ -34,7 +34,8 @@ class AuditConfig:
     min_severity: str = "low"
     min_confidence: str = "low"
     keep_noise: bool = False
-    include_minified: bool = False
+    # Minified texts are left out on demand only.
+    include_minified: bool = True
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -131,6 +132,14 @@ def configured(findings: DataFrame, config: AuditConfig, keep_noise: bool | None
     return pipeline.suppress(out, config.suppress) if config.suppress else out
 
 
+def _left_out(files: DataFrame, config: AuditConfig, crawl_errors: DataFrame | None) -> DataFrame:
+    """One row: errors met while reading, and files not scanned (undecodable, or minified where those are left out)."""
+    minified = F.lit(False) if config.include_minified else is_minified("path", "content")
+    skipped = files.agg(F.count_if(F.col("content").isNull() | minified).alias("skipped"))
+    errors = crawl_errors if crawl_errors is not None else files.limit(0)
+    return errors.agg(F.count(F.lit(1)).alias("crawl_errors")).crossJoin(skipped)
+
+
 @dataclass
 class AuditResult:
     findings: DataFrame
@@ -146,6 +155,7 @@ def audit(files: DataFrame, config: AuditConfig | None = None, baseline: DataFra
     """Corpus to findings, baseline snapshot, projects, statistics and gate."""
     config = config or AuditConfig()
     files = files if {"kind", "ext"} <= set(files.columns) else with_kind(files)
+    every = files
     files = files if config.include_minified else drop_minified(files)
     raw = materialise(run_all(files, [*default_detectors(config, advisories), *detectors], crawl_errors))
     kept = configured(raw, config)
@@ -160,5 +170,5 @@ def audit(files: DataFrame, config: AuditConfig | None = None, baseline: DataFra
     threshold = pipeline.gate_threshold(fail_on, config.fail_on, config.min_severity)
     return AuditResult(
         findings=kept, baseline=snapshot, projects=projects.fingerprint(files),
-        stats=reports.coverage(files), gate=pipeline.gate(kept, threshold),
+        stats=reports.coverage(files).drop("crawl_errors", "skipped").crossJoin(_left_out(every, config, crawl_errors)), gate=pipeline.gate(kept, threshold),
     )

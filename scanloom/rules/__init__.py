@@ -8,6 +8,7 @@ family) its rules apply to; a file only ever looks at the rules of its route.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, fields, replace
 from functools import lru_cache
@@ -16,13 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scanloom.functions.grades import confidence_name, severity_name
 from scanloom.functions.lam import lookup, sql_text
-from scanloom.rules.literals import gate_pieces, gate_regex, needed_literals
+from scanloom.rules.literals import gate_pieces, gate_regex, least_width, needed_literals
 from scanloom.schema import CATEGORIES, KINDS
 
-# A scan constant must stay small next to the data it meets. A larger rule table
-# is split over several scans by the caller.
-MAX_RULES = 10_000
-MAX_RULE_BYTES = 8 << 20
+# A scan's constant must stay small next to the data it meets; more rules take several passes.
+PASS_RULES = 10_000
+PASS_RULE_BYTES = 8 << 20
 
 
 # Detector families in registry order.
@@ -93,10 +93,7 @@ def load_rules(source, spark: SparkSession | None = None, first_no: int = 0) ->
     """
     if isinstance(source, DataFrame):
         spark = spark or source.sparkSession
-        rows = source.limit(MAX_RULES + 1).collect()
-        if len(rows) > MAX_RULES:
-            raise RuleError(f"more than {MAX_RULES} rules; scan with several smaller tables")
-        source = [r.asDict(recursive=True) for r in rows]
+        source = [r.asDict(recursive=True) for r in source.collect()]  # rules are configuration
     spark = spark or SparkSession.getActiveSession()
     out = []
     for i, raw in enumerate(source):
@@ -119,6 +116,11 @@ def load_rules(source, spark: SparkSession | None = None, first_no: int = 0) ->
         reason = _jvm_compiles(spark, raw["pattern"]) if spark else None
         if reason:
             raise RuleError(f"rule '{code}': pattern does not compile: {reason}")
+        if may_match_nothing(raw["pattern"]):
+            raise RuleError(f"rule '{code}': pattern matches the empty text")
+        for pattern in (raw["pattern"], *(raw.get("all_of") or ()), *(raw.get("none_of") or ())):
+            if open_loop(pattern):
+                raise RuleError(f"rule '{code}': a repeated group holds a choice or repetition; make its loop possessive or use a character class")
         extra = {
             k: (tuple(v) if k in _TUPLES else v)
             for k, v in raw.items()
@@ -171,11 +173,80 @@ def routes(rule: Rule) -> list[str]:
     return [f"{k}:{e}" for k in rule.kinds for e in (rule.extensions or ("*",))]
 
 
-def check_size(rules) -> None:
-    if len(rules) > MAX_RULES:
-        raise RuleError(f"more than {MAX_RULES} rules; scan with several smaller tables")
-    if sum(len(r.pattern) for r in rules) > MAX_RULE_BYTES:
-        raise RuleError("rule patterns are too large for one scan")
+def passes(rules: Iterable[Rule]) -> list[tuple[Rule, ...]]:
+    """Rules in as many parts as their number and size ask for, in order."""
+    out: list[list[Rule]] = [[]]
+    held = 0
+    for r in rules:
+        if out[-1] and (len(out[-1]) == PASS_RULES or held + len(r.pattern) > PASS_RULE_BYTES):
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += len(r.pattern)
+    return [tuple(part) for part in out]
+
+
+def open_loop(pattern: str) -> bool:
+    """Whether a group with a choice or a repetition inside is itself repeated without a small bound.
+
+    The matcher calls itself for each turn of such a loop, so a long text ends the process. A
+    possessive loop (`*+`, `++`) does not.
+    """
+    groups, i, n, last = [False], 0, len(pattern), False  # whether each open group, and the last closed one, varies
+    closed = False
+    while i < n:
+        c = pattern[i]
+        if c == "\\":
+            if pattern.startswith("\\Q", i):
+                i = (pattern.find("\\E", i) + 2) if "\\E" in pattern[i:] else n
+            else:
+                i += 2
+            closed = False
+            continue
+        if c == "[":
+            depth = 0
+            while i < n:
+                if pattern[i] == "\\":
+                    i += 1
+                elif pattern[i] == "[":
+                    depth += 1
+                elif pattern[i] == "]" and pattern[i - 1] != "[":
+                    depth -= 1
+                i += 1
+                if not depth:
+                    break
+            closed = False
+            continue
+        m = re.match(r"[*+?]|\{([0-9]+)(,?)([0-9]*)\}", pattern[i:])
+        if c == "(":
+            groups.append(False)
+            skip = re.match(r"\(\?(?:[:=!>]|<[=!]|<\w+>|[a-zA-Z-]*:)?", pattern[i:])
+            i += skip.end() if skip else 1
+            closed = False
+        elif c == ")":
+            last = groups.pop() if len(groups) > 1 else False
+            groups[-1] |= last
+            closed = True
+            i += 1
+        elif m:
+            end = i + m.end()
+            most = 1 if m[0] == "?" else None if m[0] in "*+" else int(m[3]) if m[3] else None if m[2] else int(m[1])
+            possessive = end < n and pattern[end] == "+"
+            if closed and last and not possessive and (most is None or most > 100):
+                return True
+            groups[-1] |= m[1] is None or bool(m[2])
+            i = end + (1 if end < n and pattern[end] in "+?" else 0)
+            closed = False
+        else:
+            groups[-1] |= c == "|"
+            closed = False
+            i += 1
+    return False
+
+
+def may_match_nothing(pattern: str) -> bool:
+    width = least_width(pattern)
+    return width == 0
 
 
 @dataclass(frozen=True)
@@ -215,7 +286,6 @@ class RuleTable:
 def rule_table(rules: tuple[Rule, ...]) -> RuleTable:
     """Group rules by route. Routes with the same rules share a group, and rules for any
     extension join the group of every extension of their kind: a text passes one gate, not two."""
-    check_size(rules)
     by_route: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
         for key in routes(r):

@@ -34,7 +34,27 @@ RARE = 1
 SURE = 3   # a piece this long is selective whatever it starts with
 
 
+def _sets_within_sets(pattern: str) -> bool:
+    """Whether a class holds a class or an intersection: the matcher reads those as sets, the parser here does not."""
+    inside, i = -1, 0  # where the class began
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside < 0:
+            if c == "[":
+                inside = i + pattern.startswith("[^", i)
+        elif c == "[" or pattern.startswith("&&", i):
+            return True
+        elif c == "]" and i > inside + 1:
+            inside = -1
+        i += 1
+    return False
+
+
 def _parse(pattern: str):
+    if _sets_within_sets(pattern):
+        return None
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("error")  # nested and intersected classes mean something else to the matcher
@@ -43,6 +63,12 @@ def _parse(pattern: str):
         return None
 
 
+def least_width(pattern: str) -> int | None:
+    """Length of the shortest match; None for a pattern that does not parse here."""
+    tree = _parse(pattern)
+    return None if tree is None else tree.getwidth()[0]
+
+
 def _worth(options) -> int:
     """Length of the weakest literal: what the search is sure to look for."""
     return min(map(len, options)) if options else 0

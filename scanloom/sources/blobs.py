@@ -12,8 +12,6 @@ from scanloom.rules import Rule
 from scanloom.rules.catalogue import secret_rules
 from scanloom.schema import FINDING_COLUMNS
 
-MAX_BYTES = 4 << 20
-MAX_DEPTH = 4
 # Names of nested archives; their members are rows of their own.
 INNER_ARCHIVE = r"(?:/layer\.tar|\.tar|\.tar\.gz|\.tgz)$"
 
@@ -22,20 +20,21 @@ def _is_archive(entry: Column) -> Column:
     return F.rlike(F.lower(entry), F.lit(INNER_ARCHIVE))
 
 
-def _status(max_bytes: int, max_depth: int) -> Column:
-    """What happens to an entry; later tests assume the earlier ones passed."""
+def _status(max_bytes: int | None, max_depth: int | None) -> Column:
+    """What happens to an entry; later tests assume the earlier ones passed. Bounds only where asked for."""
+    never = F.lit(False)
     return (
-        F.when(F.col("depth") > max_depth, "too_deep")
+        F.when(never if max_depth is None else F.col("depth") > max_depth, "too_deep")
         .when(_is_archive(F.col("entry")), "archive")
-        .when(F.col("size") > max_bytes, "too_large")
+        .when(never if max_bytes is None else F.col("size") > max_bytes, "too_large")
         .when(is_binary("bytes"), "binary")
         .when(~F.is_valid_utf8(F.col("bytes").cast("string")), "binary")
         .otherwise("scanned")
     )
 
 
-def scan_blobs(blobs: DataFrame, rules: Iterable[Rule] | None = None, max_bytes: int = MAX_BYTES,
-               max_depth: int = MAX_DEPTH) -> DataFrame:
+def scan_blobs(blobs: DataFrame, rules: Iterable[Rule] | None = None, max_bytes: int | None = None,
+               max_depth: int | None = None) -> DataFrame:
     """Findings at ``container::entry`` with the entry named in the message."""
     rules = list(rules) if rules is not None else secret_rules(kinds=("other",))
     texts = blobs.filter(_status(max_bytes, max_depth) == "scanned")
@@ -46,7 +45,7 @@ def scan_blobs(blobs: DataFrame, rules: Iterable[Rule] | None = None, max_bytes:
     return found.withColumn("message", message).select(*FINDING_COLUMNS)
 
 
-def blob_stats(blobs: DataFrame, max_bytes: int = MAX_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
+def blob_stats(blobs: DataFrame, max_bytes: int | None = None, max_depth: int | None = None) -> DataFrame:
     """One row: archives with nested archives, members scanned, members skipped by reason."""
     marked = blobs.select("container", _status(max_bytes, max_depth).alias("status"))
     counts = marked.agg(

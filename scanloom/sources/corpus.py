@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -41,8 +43,13 @@ def decode(raw: Column) -> Column:
     return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
 
 
+def is_link(fs, path: str) -> bool:
+    """Whether a local path is a symbolic link: links can leave the tree or lead back into it."""
+    return isinstance(fs, pafs.LocalFileSystem) and os.path.islink(path)
+
+
 def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, hidden: bool = False,
-              noise: bool = True) -> DataFrame:
+              noise: bool = True, follow_links: bool = False) -> DataFrame:
     """(path, size, error) of a tree, ``path`` relative to ``root``.
 
     The driver opens only the first levels, to find directories to hand out; every
@@ -60,6 +67,8 @@ def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, hidd
         dirs, files = [], []
         for info in fs.get_file_info(pafs.FileSelector(f"{base}/{relative}" if relative else base)):
             path = f"{relative}/{info.base_name}" if relative else info.base_name
+            if not follow_links and is_link(fs, f"{base}/{path}"):
+                continue
             if info.type == pafs.FileType.Directory:
                 if enter(info.base_name):
                     dirs.append(path)
@@ -115,14 +124,14 @@ def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, hidd
 
 
 def read_corpus(spark: SparkSession, root: str, max_depth: int | None = None, hidden: bool = False,
-                noise: bool = True, globs_: list[str] | None = None) -> DataFrame:
+                noise: bool = True, globs_: list[str] | None = None, follow_links: bool = False) -> DataFrame:
     """(path, content, size) of a tree; ``path`` is relative to ``root``.
 
     Bytes are only read for files that pass the path rules, in tasks of about
     one split of bytes each. Content is null for a file that is not text or
     cannot be read: it counts, but it is not scanned.
     """
-    files = list_tree(spark, root, max_depth, hidden, noise).filter("error IS NULL").select("path", "size")
+    files = list_tree(spark, root, max_depth, hidden, noise, follow_links).filter("error IS NULL").select("path", "size")
     if globs_:
         files = files.filter(~globs.excluded(F.col("path"), globs_))
 
@@ -157,16 +166,6 @@ def to_corpus(df: DataFrame, path: Column, text: Column) -> DataFrame:
     return df.select(path.alias("path"), text.alias("content"), F.octet_length(text).cast("long").alias("size"))
 
 
-def spread(files: DataFrame, key: str) -> DataFrame:
-    """Give every core some texts when a small corpus is stored in fewer splits than cores.
-
-    A corpus with enough splits is returned as it is: at size, texts are scanned
-    where they are read and never shuffled.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    return files.repartition(cores * 4, key) if files.rdd.getNumPartitions() < cores else files
-
-
 def ignore_paths(files: DataFrame, patterns, root: str = "") -> DataFrame:
     """Drop files a walk with these ignore lines would skip (last match wins)."""
     path = F.col("path")

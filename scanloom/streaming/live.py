@@ -55,7 +55,7 @@ class FindingLog:
 
     def _current(self, spark: SparkSession) -> DataFrame:
         log = spark.read.option("recursiveFileLookup", True).parquet(self.path)
-        return log.groupBy("path").agg(F.max_by(F.struct("version", "closed", "findings"), "version").alias("v")).select(
+        return log.groupBy("path").agg(F.max_by(F.struct("version", "closed", "findings"), F.struct("version", "closed", F.to_json("findings"))).alias("v")).select(
             "path", "v.*")
 
     def findings(self, spark: SparkSession) -> DataFrame:

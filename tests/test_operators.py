@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 import scanloom as sl
 from scanloom.functions import text
 from scanloom.functions.grades import advisory_severity, cvss_score, parse_confidence, parse_severity
+from scanloom.functions.paths import is_k8s
 from scanloom.operators.classify import is_minified
 from scanloom.plans.audit import catalogue_rules
-from scanloom.rules import MAX_RULES
+from scanloom import rules as rule_module
+from scanloom.rules import open_loop
 
 
 def files(spark, *rows):
@@ -129,8 +131,63 @@ def test_load_rules(spark):
                 {"id": "a", "pattern": "x", "message": "m", "severity": "huge"}):
         with pytest.raises(sl.RuleError):
             sl.load_rules([bad], spark)
-    with pytest.raises(sl.RuleError):
-        sl.scan(files(spark, ("a", "b")), [good] * (MAX_RULES + 1))
+
+
+def test_many_rules_take_several_passes(spark, monkeypatch):
+    rules = sl.load_rules([{"id": f"T-{i}", "pattern": f"hit{i}x", "message": "m"} for i in range(7)], spark)
+    df = files(spark, ("a.py", " ".join(f"hit{i}x" for i in range(7))), ("b.py", "hit3x"))
+    whole = where(sl.scan(df, rules))
+    monkeypatch.setattr(rule_module, "PASS_RULES", 3)
+    assert where(sl.scan(df, rules)) == whole and len(whole) == 8
+
+
+@pytest.mark.parametrize("pattern,risky", [
+    (r"(?:a|b)*", True), (r"(?:\.\w+)+", True), (r"(x+)*", True), (r"(?:ab){2,}", False), (r"(?:a|b){1,5}", False),
+    (r"(?:a|b)*+", False), (r"\.[\w.]+", False), (r"[(a|b)]*", False), (r"\(a|b\)*", False), (r"(?:(?:a+)b)+c", True),
+    (r"(?<n>a+){2,}", True), (r"\Q(a|b)*\E", False), (r"(?:a+){1,500}", True), (r"(?i:a|b)+", True),
+])
+def test_open_loops(pattern, risky):
+    assert open_loop(pattern) is risky
+
+
+def test_no_built_in_rule_has_an_open_loop():
+    for r in sl.builtin_rules():
+        assert not any(open_loop(p) for p in (r.pattern, *r.all_of, *r.none_of, r.line_exclude)), r.code
+
+
+def test_rules_that_cannot_be_used(spark):
+    for pattern in ("x*", "(?:a|b)+c", "a?", "^"):
+        with pytest.raises(sl.RuleError):
+            sl.load_rules([{"id": "T-1", "pattern": pattern, "message": "m"}], spark)
+
+
+def test_classes_within_classes(spark):
+    """What only one engine reads as a set must not become a literal that is asked for."""
+    texts = ("a_secret xsecret", "__secret", "no")
+    df = files(spark, *[(f"f{i}.py", t) for i, t in enumerate(texts)])
+    for nested, flat in (("[[a-z]_]secret", "(?:[a-z_])secret"), ("[a-z&&[x]]secret", "xsecret"), ("[^[x]]secret", "[^x]secret")):
+        pair = [sl.load_rules([{"id": "T-1", "pattern": p, "message": "m"}], spark) for p in (nested, flat)]
+        found = [where(sl.scan(df, r)) for r in pair]
+        assert found[0] == found[1] and found[0]
+
+
+def test_long_chains_end(spark):
+    chain = ".ab" * 300_000
+    df = files(spark, ("a.js", f"fetch(req.query{chain})"), ("b.js", f"x.find({{ a: req.body{chain} }})"), ("c.py", f"Template(request.args{chain}['x'])"))
+    assert {r[0] for r in where(sl.scan(df, sl.builtin_rules()))} >= {"SSRF-001", "NOSQLI-001", "SSTI-001"}
+
+
+def test_versions_of_any_length(spark):
+    order = ["1.0.0-9", "1.0.0-10", "1.0.0-" + "9" * 30, "1.0.0-a", "1.0.0", "1." + "9" * 25, "1.1" + "0" * 25]
+    keys = [(r.i, r.k) for r in spark.createDataFrame(list(enumerate(order)), "i int, v string").select("i", sl.version_key("v").alias("k")).orderBy("k").collect()]
+    assert [i for i, _ in keys] == list(range(len(order)))
+
+
+def test_late_nul_and_long_lines(spark):
+    df = spark.createDataFrame([(bytearray(b"x" * 9000 + b"\0" * 9000),), (bytearray(b"\0" * 50 + b"x" * 50_000),)], "b binary")
+    assert [r[0] for r in df.select(text.is_binary("b")).collect()] == [True, False]
+    k8s = "# line\n" * 200 + "apiVersion: v1\nkind: Pod\n"
+    assert files(spark, ("a.yml", k8s)).select(is_k8s("path", "content")).first()[0]
 
 
 def test_user_rule_on_any_extension(spark):

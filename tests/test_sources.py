@@ -125,10 +125,11 @@ def test_blobs(spark):
             ("i.tar", "bad", 0, b"\xff\xfe")]
     blobs = spark.createDataFrame([(c, e, dep, len(b), bytearray(b)) for c, e, dep, b in rows],
                                   "container string, entry string, depth int, size long, bytes binary")
-    found = {r.location.file: r.message for r in sl.scan_blobs(blobs, max_bytes=200).collect()}
+    found = {r.location.file: r.message for r in sl.scan_blobs(blobs, max_bytes=200, max_depth=4).collect()}
     assert set(found) == {"i.tar::a.env", "i.tar::l/layer.tar::b.env"}
     assert found["i.tar::a.env"].endswith("(in image layer a.env)")
-    assert tuple(sl.blob_stats(blobs, max_bytes=200).first()) == (1, 2, 1, 2)
+    assert tuple(sl.blob_stats(blobs, max_bytes=200, max_depth=4).first()) == (1, 2, 1, 2)
+    assert sl.scan_blobs(blobs).count() == 2 + 10 + 1  # no bound unless asked for
 
 
 def test_sinks(spark, tmp_path):
@@ -170,3 +171,11 @@ def test_stored_corpus_is_pruned(spark, tmp_path):
     assert "Exchange" not in plan
     manifests = sl.fingerprint(stored)._jdf.queryExecution().executedPlan().toString()
     assert "(kind" in manifests.split("PartitionFilters:")[1].split("\n")[0]
+
+
+def test_links_are_not_followed(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.py").write_text("x")
+    (tmp_path / "d" / "up").symlink_to(tmp_path)
+    (tmp_path / "b.py").symlink_to(tmp_path / "d" / "a.py")
+    assert [r.path for r in list_tree(spark, str(tmp_path)).collect()] == ["d/a.py"]

@@ -21,10 +21,9 @@ KIND = f"""CASE WHEN lower({BASE}) IN {names(classify.MANIFEST_NAMES)} THEN 'man
  WHEN {EXT} IN {names(classify.SOURCE_EXTENSIONS)} THEN 'source'
  WHEN {EXT} IN {names(classify.CONFIG_EXTENSIONS)} THEN 'config' ELSE 'other' END"""
 
-HEAD80 = "array_to_string(string_split(content, chr(10))[1:80], chr(10))"
 FAMILY = f"""CASE WHEN regexp_matches(lower({BASE}), '^(dockerfile|containerfile|dockerfile\\..*|.*\\.dockerfile)$') THEN 'dockerfile'
  WHEN {EXT} IN ('tf', 'tfvars') THEN 'terraform'
- WHEN {EXT} IN ('yaml', 'yml') AND regexp_matches({HEAD80},
+ WHEN {EXT} IN ('yaml', 'yml') AND regexp_matches(content,
    '(?m)^\\s*apiVersion:\\s*\\S[\\s\\S]*?^\\s*kind:\\s*(Pod|Deployment|StatefulSet|DaemonSet|Job|CronJob|ReplicaSet|ReplicationController)\\b')
  THEN 'kubernetes' END"""
 WORKFLOW = f"""({KIND} = 'config' AND regexp_matches(lower(path), '(^|/)\\.github/workflows/.*\\.ya?ml$'))"""
@@ -55,10 +54,7 @@ ENTROPY_LIST = """list_sum(list_transform(list_filter(list_distinct(string_split
 
 CALL = "regexp_replace(regexp_replace(hit, '[, \\t]+$', ''), '\\)$', '')"
 MESSAGE = f"""CASE WHEN trailer = '' THEN message ELSE '`' || CASE quote
-  WHEN 'clip' THEN CASE WHEN length(regexp_replace(hit, '^\\s+|\\s+$', '', 'g')) > 80
-     THEN substr(regexp_replace(hit, '^\\s+|\\s+$', '', 'g'), 1, 80) || '...' ELSE regexp_replace(hit, '^\\s+|\\s+$', '', 'g') END
-  WHEN 'line' THEN CASE WHEN length(regexp_extract(hit, '^[^\\r\\n]*')) > 120
-     THEN substr(regexp_extract(hit, '^[^\\r\\n]*'), 1, 117) || '...' ELSE regexp_extract(hit, '^[^\\r\\n]*') END
+  WHEN 'clip' THEN regexp_replace(hit, '^\\s+|\\s+$', '', 'g') WHEN 'line' THEN regexp_replace(hit, '^\\s+|\\s+$', '', 'g')
   ELSE {CALL} || repeat(')', greatest(
      (length({CALL}) - length(replace({CALL}, '(', ''))) - (length({CALL}) - length(replace({CALL}, ')', ''))), 0)::BIGINT) END
   || '` ' || trailer END"""

@@ -111,16 +111,14 @@ SELECT concat('image_', cast(doc_id % 7 AS varchar(20))) AS container,
 def _blobs(spark, sf):
     base = C.over(spark, _BLOBS, corpus_code=C.code(spark, sf))
     raw = F.col("content").cast("binary")
-    padded = F.when(F.col("doc_id") % 10 == 3, F.concat(F.unhex(F.repeat(F.lit("00"), 3000)), raw)).otherwise(raw)
+    padded = F.when(F.col("doc_id") % 10 == 3, F.concat(F.unhex(F.repeat(F.lit("00"), F.octet_length(raw))), raw)).otherwise(raw)
     return base.select("container", "entry", "depth", padded.alias("bytes")).withColumn(
         "size", F.octet_length("bytes").cast("long"))
 
 
-_LIMIT = 12000
-# A text behind 3000 NUL bytes is binary: the probe of at most 8192 bytes then holds over 36 percent of them.
+# A text behind as many NUL bytes as it has itself is binary.
 _BLOB_STATUS = f"""
-SELECT *, CASE WHEN depth > 4 THEN 'too_deep' WHEN entry LIKE '%/layer.tar' THEN 'archive'
-  WHEN strlen(content) + CASE WHEN doc_id % 10 = 3 THEN 3000 ELSE 0 END > {_LIMIT} THEN 'too_large'
+SELECT *, CASE WHEN entry LIKE '%/layer.tar' THEN 'archive'
   WHEN doc_id % 10 = 3 THEN 'binary' ELSE 'scanned' END AS status FROM ({_BLOBS})"""
 
 
@@ -129,14 +127,14 @@ SELECT *, CASE WHEN depth > 4 THEN 'too_deep' WHEN entry LIKE '%/layer.tar' THEN
     f"files AS (SELECT container || '::' || entry AS path, content, ' (in image layer ' || entry || ')' AS note FROM ({_BLOB_STATUS}) WHERE status = 'scanned')",
     O.findings_ctes(every_text=True, carry="f.note,")) + _HISTORY)
 def container_secrets(spark, sf):
-    return _history(sl.scan_blobs(_blobs(spark, sf), max_bytes=_LIMIT))
+    return _history(sl.scan_blobs(_blobs(spark, sf)))
 
 
 @query("container_stats", O.with_(C.CODE_CTE, f"st AS ({_BLOB_STATUS})") + """
 SELECT count(DISTINCT container) FILTER (status = 'archive') AS layers_scanned, count(*) FILTER (status = 'scanned') AS files_scanned,
   count(*) FILTER (status = 'too_large') AS files_skipped_too_large, count(*) FILTER (status = 'binary') AS files_skipped_binary FROM st""")
 def container_stats(spark, sf):
-    return blob_ops.blob_stats(_blobs(spark, sf), max_bytes=_LIMIT)
+    return blob_ops.blob_stats(_blobs(spark, sf))
 
 
 @query("binary_members", O.with_(C.CODE_CTE) + f"""
@@ -163,8 +161,7 @@ SELECT concat('w/', cast(page_id AS varchar(20)), CASE page_id % 4 WHEN 0 THEN '
 
 
 @query("minified_filter", f"""
-WITH w AS ({_WEB}), probe AS (SELECT path, content, encode(content) AS raw FROM w),
-head AS (SELECT path, content, CASE WHEN octet_length(raw) <= 8192 THEN content ELSE TRY(decode(raw[1:8192])) END AS t FROM probe)
+WITH head AS (SELECT path, content, content AS t FROM ({_WEB}))
 SELECT path, strlen(content) AS size FROM head WHERE NOT (
   regexp_matches(path, '\\.min\\.js$') OR (regexp_matches(path, '\\.(js|css)$') AND t IS NOT NULL AND strlen(t) >= 256
   AND strlen(t) // (1 + length(t) - length(replace(t, chr(10), ''))) >= 500))""")
