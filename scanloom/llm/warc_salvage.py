@@ -154,6 +154,8 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     close = data.find(b"\r\n\r\n", at, at + HEADER_LIMIT)
     if close < 0:
         raise Damaged("record: header does not end")
+    if _VERSION_LINE.search(data, at + 8, close):
+        raise Damaged("record: cut off by the next one")
     headers: dict[str, str] = {}
     for line in data[at:close].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
