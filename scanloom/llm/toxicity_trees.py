@@ -125,6 +125,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, ra
     base = float(np.log(p / (1 - p)))
     n, width = x.shape
     inner, leaves = (1 << depth) - 1, 1 << depth
+    if not n or not rounds:
+        return Trees(base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)))
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(width)]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], 1)
     flat = binned + np.arange(width) * bins
