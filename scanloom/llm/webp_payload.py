@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from scanloom.llm.common import save, slices
 
 COLUMNS, ROWS = 16, 128
+#: Strips encoded at once, and bytes of images decoded at once.
+TOGETHER, HELD_BYTES = 256, 2 << 20
 #: Longest code that the encoder makes; the format allows 15.
 CODE_BITS = 11
 LITERALS, LENGTHS, DISTANCES = 256, 24, 40
@@ -402,7 +404,8 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     # Strips in which at least half of the pixels stand for others are worth a search for repeats.
     pixels = [np.frombuffer(s, np.uint32) for _, s in strips]
     again = [len(set(p.tolist())) * 2 <= len(p) for p in pixels]
-    plain = iter(literal_strips([s for (_, s), r in zip(strips, again, strict=True) if not r]) if not all(again) else [])
+    others = [s for (_, s), r in zip(strips, again, strict=True) if not r]
+    plain = iter([x for k in range(0, len(others), TOGETHER) for x in literal_strips(others[k:k + TOGETHER])])
     found: list[list[bytes]] = [[] for _ in payloads]
     rows: list[list[int]] = [[] for _ in payloads]
     for (i, s), r in zip(strips, again, strict=True):
@@ -821,7 +824,18 @@ def finish(image: Image, pixels: np.ndarray) -> np.ndarray:
 
 
 def decode_images(data: list[bytes]) -> list[np.ndarray]:
-    """ARGB rows of lossless images."""
+    """ARGB rows of lossless images, some at a time, so that long texts take no more memory than short ones."""
+    out: list[np.ndarray] = []
+    begin = held = 0
+    for i, d in enumerate(data):
+        held += len(d)
+        if held >= HELD_BYTES or i + 1 == len(data):
+            out += _decode_some(data[begin:i + 1])
+            begin, held = i + 1, 0
+    return out
+
+
+def _decode_some(data: list[bytes]) -> list[np.ndarray]:
     images = [read_header(d) for d in data]
     lanes = [k for k, i in enumerate(images) if i.chosen is None]
     pixels = dict(zip(lanes, decode_lanes([images[k] for k in lanes]), strict=True)) if lanes else {}
