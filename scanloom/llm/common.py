@@ -60,14 +60,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = CHUNK_BY
 
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_LOOSE_MARK = re.compile(r"[,.](?<!\w[,.])")
+_LOOSE_MARK = re.compile(r"[,.](?<![^\W_][,.])")
 
 
 def chunks(text: str, marks: bool = False) -> list[str]:
     """Cut a text before every single space, and every single line end, that stands between two other characters.
 
-    With `marks` also before a comma or full stop that follows a letter, digit or underscore. A
-    chunk is named by what follows its space; one that begins with a line end or mark is named
+    With `marks` also before a comma or full stop, where every one follows a letter or digit (an
+    underscore is punctuation and may form one piece with the mark). A chunk is named by what follows its space; one that begins with a line end or mark is named
     with it, and any other with a leading carriage return. See `spelled`.
     """
     plain = (text.replace("\n", "").isprintable() and "  " not in text and "\n\n" not in text

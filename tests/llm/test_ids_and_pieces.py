@@ -21,6 +21,15 @@ def test_chunks_give_the_text(text, marks):
     assert "".join(spelled(c, marks) for c in chunks(text, marks)) == text
 
 
+@pytest.mark.parametrize("text", ["foo_.bar", "_.map", "__.a", "a_,b c_. d", "x _.y, z.", "é_.é, 7_,8", "a.b_.c\nd_,e", "plain, words. here"])
+def test_chunks_give_the_ids_of_the_text(text):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(BPE)
+    parts = [model.encode(spelled(c, True), add_special_tokens=False).ids for c in chunks(text, True)]
+    assert sum(parts, []) == model.encode(text, add_special_tokens=False).ids
+
+
 def test_codes_are_optimal_and_limited():
     counts = {i: 2**i for i in range(20)}
     for limit in (5, 8, 19):
