@@ -56,12 +56,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None, key: str = "doc_id", text: str = "text",
+             special_as_text: bool = False) -> DataFrame:
     """(doc_id, n, ids) of whole texts; ids as little-endian integers of `id_type`. Texts stay with their task.
 
     The tokenizer sees a text in chunks cut before single spaces, line ends and the comma or full
     stop after a word: its pattern always cuts there, so the chunks give the ids of the whole text,
-    and known chunks need no second call. This holds for byte-level tokenizers of that pattern.
+    and known chunks need no second call. This holds for byte-level tokenizers of that pattern. A text
+    that holds a string of an added token is not cut. With `special_as_text` the strings of special
+    tokens are ordinary text; without, they get their ids, as the library does by default.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,19 +74,27 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None, key: str = "do
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
+        model.encode_special_tokens = special_as_text
+        added = [t.content for t in model.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         kind = id_type(model.get_vocab_size())
 
         def ids_of(raw: list[str]) -> list[list[int]]:
             return [e.ids for e in model.encode_batch_fast(raw, add_special_tokens=False)]
 
+        def holds_added(t: str) -> bool:
+            return any(a in t for a in added)
+
+        def parts_of(t: str) -> list[str]:
+            return ["\r" + t] if holds_added(t) else chunks(t, marks=True)
+
         bpe, spell = model.model, byte_letters()
         newline = np.array(ids_of(["\n"])[0], kind).tobytes()
 
         def encode(names: list[str]) -> list[bytes]:
             # Words of Latin letters are one piece of the tokenizer's pattern, so its merges alone
             # give their ids. Any other chunk goes through the whole tokenizer.
-            words = [n for n in names if (w := n[1:] if n[:1] in "\r\n" else n).isalpha() and max(w) < "\u0250"]
+            words = [n for n in names if (w := n[1:] if n[:1] in "\r\n" else n).isalpha() and max(w) < "\u0250"
+                     and not holds_added(n)]
             bare = [n[1:] if n[:1] in "\r\n" else " " + n for n in words]
             spelt = [w.replace(" ", spell[32]) if w.isascii() else w.encode().decode("latin-1").translate(spell) for w in bare]
             found = {n: (newline if n[:1] == "\n" else b"") + np.array([t.id for t in bpe.tokenize(w)], kind).tobytes()
@@ -95,7 +106,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None, key: str = "do
 
         memo, end = Memo(encode), b"" if end_id is None else np.array([end_id], kind).tobytes()
         for batch in slices(batches, 1, 1 << 20):
-            out = [x + end for x in memo.joined([chunks(t or "", marks=True) for t in batch.column(1).to_pylist()])]
+            out = [x + end for x in memo.joined([parts_of(t or "") for t in batch.column(1).to_pylist()])]
             n = pa.array([len(x) // kind.itemsize for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
 
@@ -325,10 +336,10 @@ def read_range(spark: SparkSession, path: str, start: int, count: int) -> np.nda
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int | None = None,
-                     key: str = "doc_id", text: str = "text", path: str | None = None) -> str:
-    """Tokenise whole texts and write them; returns the folder."""
+                     key: str = "doc_id", text: str = "text", path: str | None = None, special_as_text: bool = True) -> str:
+    """Tokenise whole texts and write them; returns the folder. Strings of special tokens are text unless told otherwise."""
     path = path or new_path(docs.sparkSession, "huffman-ids")
-    write_ids(save(tokenize(docs, tokenizer, end_id, key, text), "ids"), path, vocabulary)
+    write_ids(save(tokenize(docs, tokenizer, end_id, key, text, special_as_text), "ids"), path, vocabulary)
     return path
 
 
@@ -336,7 +347,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50_257, end_id=2)
+    path = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50_257, end_id=2,
+                            special_as_text=False)
     found = digests(read_ids(spark, path)).join(segment_starts(spark, path), ["shard", "seq"])
     return found.select("doc_id", (F.col("segment_start") + F.col("start_in_segment")).alias("start"),
                         F.col("n").alias("n_tokens"), "ids_crc32")

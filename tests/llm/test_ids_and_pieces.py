@@ -82,6 +82,18 @@ def test_ids_of_all_documents(spark, docs, clashing):
         assert (h.read_range(spark, path, a, n) == flat[a:a + n]).all()
 
 
+def test_op1_keeps_special_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "a, b.<|endoftext|>\nc <|endoftext|>, d_.e", "<|endoftext|>", "a \n<|endoftext|>  b", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model, start = Tokenizer.from_file(BPE), 0
+    for r in sorted(h.op1(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        ids = model.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_no_documents(spark, none):
     path = h.encode_documents(none, BPE, 50_257, 2)
     assert h.read_ids(spark, path).count() == 0 and h.segment_starts(spark, path).count() == 0
