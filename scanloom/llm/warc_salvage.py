@@ -9,7 +9,8 @@ it and carry no payload.
 Reading: a file is walked member by member (or record by record where it is not compressed). A record
 counts if the member's checksum, the header, the length and the block digest hold. After a failed check
 the reader searches for the next member or version line that does hold, goes on from there, and
-logs the bytes between as a quarantined gap, with the reason.
+logs the bytes between as a quarantined gap, with the reason. In a member of several records a failed
+check costs the records it concerns; such a gap has the member's place and names the bytes within.
 
 Null payloads count as empty. Ids may be null: such a record is a response unless a record with an
 id has its payload, and refers to none among themselves. Rows that repeat an id and payload are all
@@ -39,8 +40,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
 #: The empty gzip member that separates two records.
 EMPTY = bytes.fromhex("1f8b0800000000000003" + "0300" + "00" * 8)
-#: Bytes a header or a member may hold before the reader takes its start for chance.
-HEADER_LIMIT = 1 << 20
 
 RECORDS = ("file string, at long, span long, kind string, record_type string, page_id long, url string, payload_bytes long, "
            "payload_digest string, refers_to long, reason string")
@@ -147,15 +146,22 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return out, len(data) - len(unpacker.unused_data)
 
 
+def _names(lines: bytes) -> set[bytes]:
+    return {line.partition(b":")[0].lower() for line in lines.split(b"\r\n") if b":" in line}
+
+
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at a version line."""
     if not _VERSION_LINE.match(data, at):
         raise Damaged("record: no version line")
-    close = data.find(b"\r\n\r\n", at, at + HEADER_LIMIT)
+    close = data.find(b"\r\n\r\n", at)
     if close < 0:
         raise Damaged("record: header does not end")
-    if _VERSION_LINE.search(data, at + 8, close):
-        raise Damaged("record: cut off by the next one")
+    for m in _VERSION_LINE.finditer(data, at + 8, close):
+        # A value may end like a version line. It is the next record's where it begins a line or names come twice.
+        before, after = _names(data[at:m.start()]), _names(data[m.end():close])
+        if data.endswith(b"\r\n", at, m.start()) or before & after - {b"warc-concurrent-to"}:
+            raise Damaged("record: cut off by the next one")
     headers: dict[str, str] = {}
     for line in data[at:close].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -177,15 +183,28 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def _one(data: bytes, at: int) -> list[Found]:
-    """The records of the member or the plain record at a place; empty members hold none."""
+    """The records and gaps of the member, or the plain record, at a place; empty members hold none."""
     if data.startswith(MEMBER, at):
         inner, end = _inflate(data, at)
         if not inner:
             return [Found(at, end)]
-        out, place = [], 0
+        out, place, gap, reason = [], 0, None, ""
         while place < len(inner):
-            headers, block, place = _parse(inner, place)
+            try:
+                headers, block, after = _parse(inner, place)
+            except Damaged as e:
+                if gap is None:
+                    gap, reason = place, str(e)
+                start = _VERSION_LINE.search(inner, place + 1)
+                place = start.start() if start else len(inner)
+                continue
+            if gap is not None:
+                out.append(Found(at, end, reason=f"{reason} (bytes {gap} to {place} of the member)"))
+                gap = None
             out.append(Found(at, end, headers, block))
+            place = after
+        if gap is not None:
+            out.append(Found(at, end, reason=f"{reason} (bytes {gap} to {place} of the member)"))
         return out
     headers, block, end = _parse(data, at)
     return [Found(at, end, headers, block)]
@@ -206,10 +225,15 @@ def salvage(data: bytes) -> Iterator[Found]:
             start = _START.search(data, at + 1)
             at = start.start() if start else len(data)
             continue
+        if all(f.reason for f in found):  # a sound member without a sound record joins the gap around it
+            if gap is None:
+                gap, reason = at, found[0].reason
+            at = found[-1].end
+            continue
         if gap is not None:
             yield Found(gap, at, reason=reason)
             gap = None
-        yield from (f for f in found if f.headers)
+        yield from (f for f in found if f.headers or f.reason)
         at = found[-1].end
     if gap is not None:
         yield Found(gap, len(data), reason=reason)

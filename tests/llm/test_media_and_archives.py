@@ -223,3 +223,32 @@ def test_damage_costs_one_record(compress):
         assert after - len(a.EMPTY) * compress <= gaps[0].end <= after
     assert [bool(f.reason) for f in a.salvage(whole[:at[5] + 30])] == [False] * 5 + [True]
     assert list(a.salvage(b"")) == [] and [f.end for f in a.salvage(b"nothing here")] == [12]
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_urls_like_version_lines_and_long_headers(spark, compress):
+    urls = ["http://h/WARC/1.1", "WARC/1.0", "data:text/html," + "x" * (3 << 20), "http://h/WARC/1.1?"]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    path = a.new_path(spark, "test-warc")
+    a.write_warc(a.with_revisits(pages), path, compress)
+    rows = a.read_warc(spark, path).collect()
+    assert {r.kind for r in rows} == {"record"} and sorted((r.page_id, r.url) for r in rows) == list(enumerate(urls))
+
+
+def test_header_cut_off_inside_a_value():
+    one, two = records(2)
+    for cut in range(12, one.index(b"\r\n\r\n")):
+        found = list(a.salvage(one[:cut] + two))
+        assert [(f.at, bool(f.reason)) for f in found] == [(0, True), (cut, False)]
+
+
+def test_damage_in_a_member_of_several_records():
+    parts = records()
+    broken = [*parts[:2], parts[2].replace(b"payload 2 ", b"payload X ", 1), *parts[3:]]
+    whole = a.member(b"".join(broken)) + a.EMPTY + a.member(a.record(9, None, b"nine", None, a.digest_of(b"nine")))
+    found = list(a.salvage(whole))
+    assert [a._number(f.headers["warc-record-id"]) for f in found if not f.reason] == [0, 1, 3, 4, 5, 9]
+    low, high = len(parts[0]) + len(parts[1]), len(parts[0]) + len(parts[1]) + len(parts[2])
+    assert [f.reason for f in found if f.reason] == [f"record: block digest differs (bytes {low} to {high} of the member)"]
+    alone = list(a.salvage(a.member(b"no record") + a.member(parts[0])))
+    assert [(f.at, bool(f.reason)) for f in alone] == [(0, True), (len(a.member(b"no record")), False)]
