@@ -16,8 +16,9 @@ can matter are sorted:
 
 In the merged order suffixes that share an anchor stand together. Strings around an anchor repeat where
 another suffix of the group agrees before and after it for `MATCH` bytes in all: found pair by pair in
-small groups, by hashes of all strings around the anchor, verified on the bytes, in large ones. A
-group's different suffixes meet in one task; equal ones were collapsed before the exchange.
+small groups, by hashes of all strings around the anchor, verified on the bytes, in larger ones. A
+group of over `LARGE` different suffixes never meets in one task: its strings are counted by 128-bit
+hashes, with partial sums, and those that repeat are joined back to the suffixes.
 
 Null and empty texts have no bytes. Rows that repeat a key and text are documents of their own.
 Null keys are kept. An empty table gives no rows.
@@ -46,6 +47,8 @@ PIECE = 1 << 19
 BLOCK, RUN_BYTES, SAMPLE, PART_BYTES = 512, 24 << 20, 8192, 4 << 20
 #: Groups up to this size are compared pair by pair.
 PAIRS = 8
+#: Groups of more different suffixes than this are counted on tables.
+LARGE = 8192
 
 _RANDOM = np.random.default_rng(8)
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -376,8 +379,77 @@ def sorted_runs(asked: DataFrame) -> DataFrame:
              "commons binary, sizes binary, rests binary, counts binary")
 
 
-def repeats(runs: DataFrame) -> DataFrame:
-    """(name, low, high): strings that start low to high bytes before an anchor with a suffix of that name are repeated."""
+def gram_of(key: bytes, find: Hasher) -> int:
+    """The hash of the 200 bytes at the anchor, as `find_anchors` gives it."""
+    return int(find(np.frombuffer(key, np.uint8, GRAM), GRAM).view(np.int64)[0])
+
+
+def keys_in(runs: DataFrame, grams: set[int]) -> DataFrame:
+    """(gram, key, n) of the suffixes at the given anchors; equal ones of different runs are separate rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Hasher(GRAM)
+        for batch in batches:
+            for row in batch.to_pylist():
+                out, last, gram = [], b"", 0
+                for key, _, count in Run._read([(row["commons"], row["sizes"], row["rests"], row["counts"])]):
+                    if key[:GRAM] != last:
+                        last, gram = key[:GRAM], gram_of(key, find)
+                    if gram in grams:
+                        out.append((gram, key, count))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()),
+                                                  pa.array([x[2] for x in out], pa.int64())], ["gram", "key", "n"])
+
+    return runs.select("commons", "sizes", "rests", "counts").mapInArrow(run, "gram long, key binary, n long")
+
+
+def repeats_in_large(keys: DataFrame) -> DataFrame:
+    """`repeats` of the different suffixes (key, n), counted string by string; no task needs a whole group."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in slices(batches, 0, 1 << 18):
+            hashes, names, offsets, counts = [], [], [], []
+            for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left, right = parts_of(key)
+                whole, name, size = left + right, name_of(key), len(left)
+                for k in range(max(0, MATCH - len(right)), size + 1):  # the same bytes at another offset may be the same place
+                    hashes.append(xxhash.xxh128_digest(whole[size - k:size - k + MATCH], seed=k))
+                    names.append(name)
+                    offsets.append(k)
+                    counts.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(names, pa.binary()), pa.array(offsets, pa.int32()),
+                                              pa.array(counts, pa.int64())], ["hash", "name", "k", "n"])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, ks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ks.sort()
+                edges = [i for i in range(1, len(ks)) if ks[i] != ks[i - 1] + 1]
+                out += [(name, ks[a], ks[b - 1]) for a, b in zip([0, *edges], [*edges, len(ks)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()),
+                                              pa.array([x[2] for x in out], pa.int32())], ["name", "low", "high"])
+
+    own = keys.select("key", "n").mapInArrow(strings, "hash binary, name binary, k int, n long")
+    twice = save(own.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash"), "strings")
+    return (own.join(twice.hint("merge"), "hash").groupBy("name").agg(F.collect_list("k").alias("ks"))
+            .mapInArrow(ranges, "name binary, low int, high int"))
+
+
+def repeats(runs: DataFrame, often: set[int] = frozenset()) -> DataFrame:
+    """(name, low, high): strings that start low to high bytes before an anchor with a suffix of that name are repeated.
+
+    `often` has the hashes of anchors that occur more than `LARGE` times; only they can have large groups.
+    """
+    large, counted = set(), None
+    if often:
+        keys = save(keys_in(runs, often).groupBy("gram", "key").agg(F.sum("n").alias("n")), "suffixes")
+        large = {r.gram for r in keys.groupBy("gram").count().filter(F.col("count") > LARGE).collect()}
+    if large:
+        sizable = runs.sparkSession.createDataFrame([(g,) for g in large], "gram long")
+        counted = repeats_in_large(keys.join(F.broadcast(sizable), "gram", "left_semi"))
     total = runs.agg(F.sum(F.length("rests"))).first()[0] or 0
     heads = sorted(bytes(r.head) for r in runs.select("head").orderBy(F.xxhash64("head", "run")).limit(SAMPLE).collect())
     parts = max(1, min(len(heads), total // PART_BYTES))
@@ -386,12 +458,16 @@ def repeats(runs: DataFrame) -> DataFrame:
                         ("sizes", pa.binary()), ("rests", pa.binary()), ("counts", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Hasher(GRAM)
         for batch in batches:
             for row in batch.to_pylist():
                 items = list(Run._read([(row["commons"], row["sizes"], row["rests"], row["counts"])]))
+                if large:
+                    grams = {x: gram_of(x, find) for x in {key[:GRAM] for key, _, _ in items}}
+                    items = [x for x in items if grams[x[0][:GRAM]] not in large]
                 where = [bisect_right(splitters, key[:GRAM]) for key, _, _ in items]
                 out, begin = [], 0
-                for stop in range(1, len(items) + 1):
+                for stop in range(1, len(items) + 1):  # nothing where all are in large groups
                     if stop == len(items) or where[stop] != where[begin]:
                         own = items[begin:stop]
                         commons, sizes, rests = front_code([key for key, _, _ in own])
@@ -437,8 +513,9 @@ def repeats(runs: DataFrame) -> DataFrame:
 
     pieces = runs.select("run", "seq", "commons", "sizes", "rests", "counts").mapInArrow(
         cut, "part int, run long, seq int, commons binary, sizes binary, rests binary, counts binary")
-    return (pieces.repartition(int(parts), "part").sortWithinPartitions("part", "run", "seq")
-            .mapInArrow(merge, "name binary, low int, high int"))
+    found = (pieces.repartition(int(parts), "part").sortWithinPartitions("part", "run", "seq")
+             .mapInArrow(merge, "name binary, low int, high int"))
+    return found if counted is None else found.unionByName(counted)
 
 
 def merged_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -457,11 +534,13 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     own = own.withColumns({"k1": F.xxhash64("doc_id", "data"), "k2": F.xxhash64(F.lit(1), "data")})
     anchors = save(find_anchors(own), "anchors")
     flat = anchors.select("k1", "k2", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("k1", "k2", "x.at", "x.gram")
-    often = save(flat.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
+    often = save(flat.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
+    # At most one of `LARGE` anchors reaches the driver.
+    hot = {r.gram for r in often.filter(F.col("n") > LARGE).select("gram").collect()}
     # The asked documents grow with the input: never broadcast.
-    asked = flat.join(often.hint("merge"), "gram").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    asked = flat.join(often.select("gram").hint("merge"), "gram").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("at")).alias("at"))
     both = save(sorted_runs(own.join(asked.hint("merge"), ["k1", "k2"])), "runs")
-    found = save(repeats(both.filter("kind = 'run'")), "repeats")
+    found = save(repeats(both.filter("kind = 'run'"), hot), "repeats")
     places = both.filter("kind = 'doc'").select("k1", "k2", F.explode(F.arrays_zip("at", "names")).alias("x"))
     spans = (places.select("k1", "k2", "x.at", F.col("x.names").alias("name")).join(found, "name")
              .groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("at") - F.col("high")).alias("first"),

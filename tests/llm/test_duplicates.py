@@ -118,6 +118,23 @@ def test_repeated_strings(spark, seed, pairs, block, part, monkeypatch):
     assert [got[i] for i in range(len(texts))] == plain_repeats(texts)
 
 
+@pytest.mark.parametrize("large", [1, 20])
+def test_large_groups_are_counted_on_tables(spark, large, monkeypatch):
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefgh é\n"))
+    text = lambda k: "".join(rng.choice(letters, k))
+    footer, short = text(450), text(330)
+    texts = [text(rng.integers(100, 600)) + footer + text(rng.integers(0, 300)) for _ in range(30)]
+    texts += [text(100) + short + text(100) for _ in range(30)] + passages(rng) + [texts[3], texts[3] + "x", "z" * 1500]
+    monkeypatch.setattr(s, "LARGE", large)
+    counted, count = [], s.repeats_in_large
+    monkeypatch.setattr(s, "repeats_in_large", lambda keys: counted.append(keys.count()) or count(keys))
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.dedup(spark.createDataFrame(rows, HEAD).repartition(5)).collect()}
+    assert counted and counted[0] > 30
+    assert [got[i] for i in range(len(texts))] == plain_repeats(texts)
+
+
 def test_repeats_of_odd_rows(docs, clashing, none, spark):
     for table in (docs, clashing):
         got = s.dedup(table).collect()
