@@ -59,19 +59,22 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = CHUNK_BY
         yield batch.slice(start, n - start)
 
 
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+# U+2581 is what the piece model writes for a space, so beside one a space stands in a run of spaces.
+_BETWEEN = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")
 _LOOSE_MARK = re.compile(r"[,.](?<![^\W_][,.])")
 
 
 def chunks(text: str, marks: bool = False) -> list[str]:
     """Cut a text before every single space, and every single line end, that stands between two other characters.
 
+    U+2581 counts as a space here: no cut beside it, and no cut at line ends of a text that holds it.
+
     With `marks` also before a comma or full stop, where every one follows a letter or digit (an
     underscore is punctuation and may form one piece with the mark). A chunk is named by what follows its space; one that begins with a line end or mark is named
     with it, and any other with a leading carriage return. See `spelled`.
     """
     plain = (text.replace("\n", "").isprintable() and "  " not in text and "\n\n" not in text
-             and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " ")
+             and " \n" not in text and "\n " not in text and text[:1] != " " and text[-1:] != " " and "\u2581" not in text)
     if plain and marks:
         plain = not _LOOSE_MARK.search(text)
     if plain:

@@ -10,8 +10,10 @@ belongs to the piece before it.
 
 The library encodes a text in chunks cut before single spaces and line ends. That is exact where
 no piece of the model has U+2581 after another character, or a line end, and none is user-defined:
-merges then never cross such a cut. Other models, and models with a character map, are encoded in
-one go.
+merges then never cross such a cut. A text may hold U+2581 itself; pieces of several marks then
+merge it with the spaces around it, so a space beside one is no place to cut. Other models, and
+models with a character map, are encoded in one go. A very long text is one row of one task: its
+chunks are what the library meets at once, the spans are arrays over its bytes.
 
 Null texts count as empty and give no pieces. Rows are independent of each other: repeated keys
 and rows give repeated results, null keys stay null, an empty table gives no rows.

@@ -113,6 +113,20 @@ def test_pieces_are_those_of_the_library(docs, clashing):
         assert got == want
 
 
+def test_texts_that_hold_the_space_mark():
+    encoder, rng = p.Encoder(PIECES), random.Random(5)
+    texts = ["a\u2581 \u2581b", "\u2581", "\u2581a", "a\u2581", " \u2581 ", "a \u2581\nb", "a\u2581\nb c", "a \u2581\u2581 b",
+             "the \u2581 " * 9, "word\u2581 " * 30_000]
+    texts += ["".join(rng.choices(["\u2581", " ", "\n", "a", "the", "Bad", "1", ".", ",", "é", "漢", "\t"], k=rng.randrange(1, 14)))
+              for _ in range(20_000)]
+    want = encoder.lib.encode(texts, num_threads=4)
+    for text, ids, own in zip(texts, want, encoder.ids(texts), strict=True):
+        assert own.tolist() == ids, text
+    for text in texts[:300]:
+        (ids, starts, ends), size = encoder([text])[0], len(text.encode())
+        assert starts[0] == 0 and ends[-1] == size and (starts[1:] == ends[:-1]).all()
+
+
 def test_spans_cover_the_source(docs):
     for r, text in ((r, {**{x.doc_id: x.text for x in docs.collect()}}[r.doc_id] or "") for r in p.encode(docs, PIECES).collect()):
         assert [*r.starts[1:]] == [*r.ends[:-1]]
