@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import (cover_tree_dedup, huffman_ids, minhash_dedup, piece_spans, private_spans, source_mix, suffix_dedup,
+from scanloom.llm import (byte_pieces, cover_tree_dedup, huffman_ids, minhash_dedup, piece_spans, private_spans, source_mix, suffix_dedup,
                           toxicity_trees, warc_salvage, webp_payload)
 from scanloom.llm.oracles import COVER_TREE, MINHASH, SUFFIXES, WARC
 
@@ -41,6 +41,7 @@ QUERIES = {name: found_by_workers(query) for name, query in {
     "op8_suffix_dedup": suffix_dedup.op8,
     "op9_cover_tree_dedup": cover_tree_dedup.op9,
     "op10_piece_spans": piece_spans.op10,
+    "op11_byte_pieces": byte_pieces.op11,
 }.items()}
 ORACLES: dict[str, str] = {
     "op5_warc_salvage": WARC, "op6_minhash_dedup": MINHASH, "op8_suffix_dedup": SUFFIXES, "op9_cover_tree_dedup": COVER_TREE,
