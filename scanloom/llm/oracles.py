@@ -50,3 +50,26 @@ r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FRO
 SELECT e.vec_id, coalesce(k.n, 0) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept FROM embeddings e
 JOIN (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id) c ON c.vec_id = e.vec_id
 LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = e.vec_id"""
+
+# The checksum has no function here: a table of 256 entries by its rule, then a fold over the bytes of every distinct word.
+RESAMPLING = r"""
+WITH crc AS MATERIALIZED (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce([b] || range(8), lambda x, i:
+    CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM (SELECT unnest(range(256)) AS b))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+x AS (SELECT doc_id, unnest(w) AS w FROM d), y AS (SELECT unnest(w) AS w FROM b),
+v AS (SELECT w, xor(list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(encode(w))), lambda i:
+    ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT), lambda c, n: xor(c >> 8, t[1 + (xor(c, n) & 255)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT w FROM x UNION SELECT w FROM y), crc),
+s AS (SELECT bucket, count(*) AS s FROM x JOIN v USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM y JOIN v USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM x)::DOUBLE AS s, (SELECT count(*) FROM y)::DOUBLE AS t),
+g AS (SELECT v.w, floor(1000 * ln((coalesce(t.t, 0)::DOUBLE + 1) * (n.s + 10000) / ((coalesce(s.s, 0)::DOUBLE + 1) * (n.t + 10000))))::BIGINT AS gain
+  FROM v LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), n),
+e AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM x JOIN g USING (w) GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN e ON e.doc_id = d.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f WHERE n_features >= 20)
+SELECT f.*, CASE WHEN rank <= (SELECT count(*) FROM r) * 10 // 100 THEN rank END AS rank FROM f LEFT JOIN r ON r.doc_id = f.doc_id"""
