@@ -9,9 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import (byte_pieces, cover_tree_dedup, huffman_ids, importance_resampling, minhash_dedup, piece_spans, private_spans, source_mix, suffix_dedup,
+from scanloom.llm import (byte_pieces, cover_tree_dedup, huffman_ids, importance_resampling, minhash_dedup, phrase_collocations, piece_spans, private_spans, source_mix, suffix_dedup,
                           toxicity_trees, warc_salvage, webp_payload)
-from scanloom.llm.oracles import COVER_TREE, MINHASH, RESAMPLING, SUFFIXES, WARC
+from scanloom.llm.oracles import COVER_TREE, MINHASH, PHRASES, RESAMPLING, SUFFIXES, WARC
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -43,8 +43,9 @@ QUERIES = {name: found_by_workers(query) for name, query in {
     "op10_piece_spans": piece_spans.op10,
     "op11_byte_pieces": byte_pieces.op11,
     "op12_importance_resampling": importance_resampling.op12,
+    "op13_phrase_collocations": phrase_collocations.op13,
 }.items()}
 ORACLES: dict[str, str] = {
     "op5_warc_salvage": WARC, "op6_minhash_dedup": MINHASH, "op8_suffix_dedup": SUFFIXES, "op9_cover_tree_dedup": COVER_TREE,
-    "op12_importance_resampling": RESAMPLING,
+    "op12_importance_resampling": RESAMPLING, "op13_phrase_collocations": PHRASES,
 }
