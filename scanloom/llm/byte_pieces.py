@@ -88,7 +88,7 @@ class Coder:
         self.pattern = regex.compile(pattern)
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.other = other
-        self.odd = regex.compile("[" + "".join(map(regex.escape, map(chr, other))) + "]") if other else None
+        self.odd = frozenset(map(chr, other))
         self.raw = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.raw[rank] = token
@@ -96,7 +96,7 @@ class Coder:
 
     def pieces(self, text: str) -> list[str]:
         """All matches of the pattern, which cover the text."""
-        if not self.odd or text.isascii() or not self.odd.search(text):
+        if text.isascii() or self.odd.isdisjoint(text):
             return self.pattern.findall(text)
         return [text[m.start():m.end()] for m in self.pattern.finditer(text.translate(self.other))]
 
