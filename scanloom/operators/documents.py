@@ -1,28 +1,30 @@
 """JSON documents per scan unit: result documents and software inventories.
 
-A scan unit is one document, whatever its size, and a document is one row: choose units that fit
-a row. With ``page_size`` the items of a larger unit are spread over several documents by hash.
+A document is written as records: a head, one record per item in the document's order, and a foot. Joined
+with line ends, the records of a unit are one valid JSON document. No record grows with the
+unit, so a unit may hold any number of items: their places come from a sort by ranges and a count per
+range (`order.with_positions`), not from a list.
+
+``to_*`` put records together where single documents are wanted, in pages of at most ``page_size``
+items, which is what bounds a row. A unit of more items has several pages, each a valid
+document of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanloom.functions.grades import document_level
+from scanloom.functions.lam import sql_text
 from scanloom.functions.versions import purl
-from scanloom.operators.pipeline import seq
+from scanloom.operators.order import with_positions
+from scanloom.sources.shared import save
 
 TOOL = "scanloom"
 VERSION = "0.1.0"
-
-
-def _paged(df: DataFrame, unit: Column, spread: Column, page_size: int | None) -> DataFrame:
-    """Add ``_unit`` and ``_page``; one page unless pages are asked for."""
-    keyed = df.withColumn("_unit", unit)
-    if page_size is None:
-        return keyed.withColumn("_page", F.lit(0))
-    sizes = keyed.groupBy("_unit").agg(F.ceil(F.count(F.lit(1)) / page_size).cast("int").alias("_pages"))
-    return keyed.join(sizes, "_unit").withColumn("_page", F.pmod(spread, F.col("_pages")))
+PAGE_SIZE = 10_000
+#: Sections of a document, in their order; heads and feet hold no items.
+HEAD, RULES, MIDDLE, ITEMS, FOOT = range(5)
 
 
 def repository(path: Column) -> Column:
@@ -30,9 +32,26 @@ def repository(path: Column) -> Column:
     return F.substring_index(path, "/", 1)
 
 
-def to_sarif(findings: DataFrame, by: Column | None = None, tool: str = TOOL, version: str = VERSION,
-             page_size: int | None = None) -> DataFrame:
-    """(unit, page, document): SARIF 2.1.0 with rules by first finding and results in order."""
+def _fixed(units: DataFrame, section: int, text: Column) -> DataFrame:
+    return units.select("unit", "page", F.lit(section).alias("section"), F.lit(0).cast("long").alias("position"), text.alias("record"))
+
+
+def _listed(items: DataFrame, section: int, item: Column) -> DataFrame:
+    """Items of one list: all but the first of a page follow a comma."""
+    comma = F.when(F.col("position") > 0, F.lit(",")).otherwise(F.lit(""))
+    return items.select("unit", "page", F.lit(section).alias("section"), "position", F.concat(comma, F.to_json(item)).alias("record"))
+
+
+def _paged(placed: DataFrame, page_size: int | None) -> DataFrame:
+    """Add ``page``; positions count from 0 in every page."""
+    if page_size is None:
+        return placed.withColumn("page", F.lit(0).cast("long"))
+    return placed.withColumn("page", F.floor(F.col("position") / page_size)).withColumn("position", F.col("position") % page_size)
+
+
+# --- results ------------------------------------------------------------------
+
+def _result() -> Column:
     loc = F.col("location")
     region = F.struct(
         loc["line"].alias("startLine"), loc["column"].alias("startColumn"),
@@ -40,7 +59,7 @@ def to_sarif(findings: DataFrame, by: Column | None = None, tool: str = TOOL, ve
         F.when(loc["byte_offset"].isNotNull(), loc["byte_length"]).alias("charLength"),
     )
     has_region = loc["line"].isNotNull() | loc["column"].isNotNull() | loc["byte_offset"].isNotNull()
-    result = F.struct(
+    return F.struct(
         F.col("code").alias("ruleId"), document_level("severity").alias("level"),
         F.struct(F.col("message").alias("text")).alias("message"),
         F.struct(F.col("confidence").alias("confidence")).alias("properties"),
@@ -48,77 +67,129 @@ def to_sarif(findings: DataFrame, by: Column | None = None, tool: str = TOOL, ve
             F.struct(loc["file"].alias("uri")).alias("artifactLocation"), F.when(has_region, region).alias("region"),
         ).alias("physicalLocation")))).alias("locations"),
     )
-    rule = F.struct(
+
+
+def _rule() -> Column:
+    return F.struct(
         F.col("code").alias("id"), F.col("code").alias("name"),
         F.struct(F.col("message").alias("text")).alias("shortDescription"),
         F.struct(document_level("severity").alias("level")).alias("defaultConfiguration"),
         F.struct(F.col("category").alias("category")).alias("properties"),
         F.when(F.col("help").isNotNull(), F.struct(F.col("help").alias("text"))).alias("help"),
     )
+
+
+def sarif_records(findings: DataFrame, by: Column | None = None, tool: str = TOOL, version: str = VERSION,
+                  page_size: int | None = None) -> DataFrame:
+    """(unit, page, section, position, record) of SARIF 2.1.0 documents.
+
+    Rules are those of a page's findings, by code, each described by its first finding. Results are in the order of
+    detector, file, rule and offset; findings that agree in all of these are ordered by code and message.
+    """
+    loc = F.col("location")
     unit = repository(F.coalesce(loc["file"], F.lit(""))) if by is None else by
-    spread = F.xxhash64(loc["file"], "rule_no", loc["byte_offset"], "message")
-    # First finding per code and page, then one row per page.
-    per_code = (
-        _paged(findings, unit, spread, page_size)
-        .groupBy("_unit", "_page", "code")
-        .agg(F.min_by(rule, seq()).alias("rule"), F.collect_list(F.struct(seq().alias("seq"), result.alias("result"))).alias("results"))
-    )
-    pages = per_code.groupBy("_unit", "_page").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("code", "rule"))), lambda x: x["rule"]).alias("rules"),
-        F.transform(F.array_sort(F.flatten(F.collect_list("results"))), lambda x: x["result"]).alias("results"),
-    )
-    run = F.struct(
-        F.struct(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.col("rules")).alias("driver")).alias("tool"),
-        F.col("results"),
+    keyed = findings.withColumns({"unit": unit, "_file": loc["file"], "_offset": loc["byte_offset"]})
+    placed = _paged(with_positions(keyed, ["family_no", "_file", "rule_no", "_offset", "code", "message"], ["unit"]), page_size)
+    found = save(placed.select("unit", "page", "position", "code", _result().alias("result"), _rule().alias("rule")), "results")
+    # The codes of a unit are no more than the rules of the run.
+    first = found.groupBy("unit", "page", "code").agg(F.min_by("rule", "position").alias("rule"))
+    codes = first.withColumn("position", (F.row_number().over(Window.partitionBy("unit", "page").orderBy("code")) - 1).cast("long"))
+    units = found.select("unit", "page").distinct()
+    head = F.concat(
+        F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":'),
+        _quoted(F.lit(tool)), F.lit(',"version":'), _quoted(F.lit(version)), F.lit(',"rules":['))
+    return (
+        _fixed(units, HEAD, head)
+        .unionByName(_listed(codes, RULES, F.col("rule")))
+        .unionByName(_fixed(units, MIDDLE, F.lit(']}},"results":[')))
+        .unionByName(_listed(found, ITEMS, F.col("result")))
+        .unionByName(_fixed(units, FOOT, F.lit("]}]}")))
     )
-    document = F.to_json(F.struct(
-        F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"),
-        F.array(run).alias("runs"),
-    ))
-    return pages.select(F.col("_unit").alias("unit"), F.col("_page").alias("page"), document.alias("document"))
 
 
-def _package_pages(packages: DataFrame, by: Column | None, page_size: int | None, item: Column) -> DataFrame:
+# --- inventories ----------------------------------------------------------------
+
+def _placed_packages(packages: DataFrame, by: Column | None, page_size: int | None) -> DataFrame:
+    """Distinct packages of every unit in order, kept for the head, the items and the foot."""
     unit = repository(F.col("source")) if by is None else by
-    distinct = packages.withColumn("unit", unit).groupBy("unit", "ecosystem", "name", "version").agg(F.min("source").alias("source"))
-    order = F.struct("ecosystem", "name", "version")
-    return _paged(distinct, F.col("unit"), F.xxhash64("ecosystem", "name", "version"), page_size).groupBy("_unit", "_page").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), item.alias("i")))), lambda x: x["i"]).alias("items")
-    )
+    distinct = packages.select(unit.alias("unit"), "ecosystem", "name", "version").distinct()
+    return save(_paged(with_positions(distinct, ["ecosystem", "name", "version"], ["unit"]), page_size), "packages")
 
 
-def to_cyclonedx(packages: DataFrame, by: Column | None = None, version: str = VERSION, page_size: int | None = None) -> DataFrame:
-    """(unit, page, document): CycloneDX 1.5."""
+def _document(items: DataFrame, head: Column, item: Column) -> DataFrame:
+    units = items.select("unit", "page").distinct()
+    return (_fixed(units, HEAD, head).unionByName(_listed(items, ITEMS, item)).unionByName(_fixed(units, FOOT, F.lit("]}"))))
+
+
+def cyclonedx_records(packages: DataFrame, by: Column | None = None, version: str = VERSION, page_size: int | None = None) -> DataFrame:
+    """(unit, page, section, position, record) of CycloneDX 1.5 documents."""
     url = purl("ecosystem", "name", "version")
-    item = F.struct(
-        F.lit("library").alias("type"), url.alias("bom-ref"), F.col("name"), F.col("version"), url.alias("purl"))
-    document = F.to_json(F.struct(
-        F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(1).alias("version"),
-        F.struct(F.array(F.struct(
-            F.lit(TOOL).alias("vendor"), F.lit(TOOL).alias("name"), F.lit(version).alias("version"))).alias("tools")
-        ).alias("metadata"),
-        F.col("items").alias("components"),
-    ))
-    return _package_pages(packages, by, page_size, item).select(
-        F.col("_unit").alias("unit"), F.col("_page").alias("page"), document.alias("document"))
+    item = F.struct(F.lit("library").alias("type"), url.alias("bom-ref"), F.col("name"), F.col("version"), url.alias("purl"))
+    head = F.concat(
+        F.lit('{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"metadata":{"tools":['),
+        F.to_json(F.struct(F.lit(TOOL).alias("vendor"), F.lit(TOOL).alias("name"), F.lit(version).alias("version"))),
+        F.lit(']},"components":['))
+    return _document(_placed_packages(packages, by, page_size), head, item)
 
 
-def to_spdx(packages: DataFrame, by: Column | None = None, version: str = VERSION, page_size: int | None = None) -> DataFrame:
-    """(unit, page, document): SPDX 2.3 with positional ids and a fixed creation time."""
-    item = F.struct("name", "version", purl("ecosystem", "name", "version").alias("purl"))
-    entries = F.transform(F.col("items"), lambda p, i: F.struct(
-        F.concat(F.lit("SPDXRef-Package-"), i.cast("string")).alias("SPDXID"), p["name"].alias("name"),
-        p["version"].alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"),
+def spdx_records(packages: DataFrame, by: Column | None = None, version: str = VERSION, page_size: int | None = None) -> DataFrame:
+    """(unit, page, section, position, record) of SPDX 2.3 documents, with ids by position and a fixed creation time."""
+    item = F.struct(
+        F.concat(F.lit("SPDXRef-Package-"), F.col("position").cast("string")).alias("SPDXID"), F.col("name"),
+        F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"),
         F.array(F.struct(
             F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"),
-            p["purl"].alias("referenceLocator"))).alias("externalRefs"),
-    ))
-    document = F.to_json(F.struct(
+            purl("ecosystem", "name", "version").alias("referenceLocator"))).alias("externalRefs"),
+    )
+    facts = F.to_json(F.struct(
         F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"),
         F.lit(f"{TOOL}-sbom").alias("name"),
-        F.concat(F.lit(f"urn:{TOOL}:sbom:{version}:"), F.col("_unit"), F.lit(":"), F.col("_page").cast("string")).alias("documentNamespace"),
+        F.concat(F.lit(f"urn:{TOOL}:sbom:{version}:"), F.col("unit"), F.lit(":"), F.col("page").cast("string")).alias("documentNamespace"),
         F.struct(F.array(F.lit(f"Tool: {TOOL}-{version}")).alias("creators"), F.lit("1970-01-01T00:00:00Z").alias("created")).alias("creationInfo"),
-        entries.alias("packages"),
     ))
-    return _package_pages(packages, by, page_size, item).select(
-        F.col("_unit").alias("unit"), F.col("_page").alias("page"), document.alias("document"))
+    # The list of packages is the last member of the object.
+    return _document(_placed_packages(packages, by, page_size), F.concat(F.regexp_replace(facts, r"\}$", ""), F.lit(',"packages":[')), item)
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r"^\{\"t\":([\s\S]*)\}$", 1)
+
+
+# --- writing --------------------------------------------------------------------
+
+DOCUMENT_ORDER = ("unit", "page", "section", "position")
+
+
+def write_documents(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store records in the order of their documents, in as many files as tasks; a unit's records are neighbours."""
+    records.repartitionByRange(*DOCUMENT_ORDER).sortWithinPartitions(*DOCUMENT_ORDER).write.mode(mode).parquet(path)
+
+
+def write_document(records: DataFrame, unit: str, path: str, page: int = 0, mode: str = "errorifexists") -> None:
+    """Write one document as text: its part files, joined in the order of their names, are the JSON."""
+    own = records.filter(f"unit = {sql_text(unit)} and page = {int(page)}")
+    own.repartitionByRange("section", "position").sortWithinPartitions("section", "position").select("record").write.mode(mode).text(path)
+
+
+def _assembled(records: DataFrame) -> DataFrame:
+    """(unit, page, document); a page's size bounds the row."""
+    lines = F.array_sort(F.collect_list(F.struct("section", "position", "record")))
+    return records.groupBy("unit", "page").agg(F.array_join(F.transform(lines, lambda x: x["record"]), "").alias("document")).select(
+        "unit", F.col("page").cast("int").alias("page"), "document")
+
+
+def to_sarif(findings: DataFrame, by: Column | None = None, tool: str = TOOL, version: str = VERSION,
+             page_size: int = PAGE_SIZE) -> DataFrame:
+    """(unit, page, document): SARIF 2.1.0 with rules by first finding and results in order."""
+    return _assembled(sarif_records(findings, by, tool, version, page_size))
+
+
+def to_cyclonedx(packages: DataFrame, by: Column | None = None, version: str = VERSION, page_size: int = PAGE_SIZE) -> DataFrame:
+    """(unit, page, document): CycloneDX 1.5."""
+    return _assembled(cyclonedx_records(packages, by, version, page_size))
+
+
+def to_spdx(packages: DataFrame, by: Column | None = None, version: str = VERSION, page_size: int = PAGE_SIZE) -> DataFrame:
+    """(unit, page, document): SPDX 2.3 with positional ids and a fixed creation time."""
+    return _assembled(spdx_records(packages, by, version, page_size))

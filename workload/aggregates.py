@@ -83,22 +83,25 @@ def annotation_escapes(spark, sf):
         "page_id", F.md5(annotation_property("html")).alias("property"), F.md5(annotation_data("html")).alias("data"))
 
 
-# A document is checked by what it holds: its results and rules, unpacked again.
+# A document is checked record by record: rules by code, results in order, and what stands around them.
 @query("result_documents", O.with_(*CODE) + """
-, u AS (SELECT *, regexp_extract(file, '^[^/]*') AS unit FROM findings)
-SELECT unit, count(*) AS results, count(DISTINCT code) AS rules, min(line) AS first_line, sum(byte_length)::BIGINT AS matched_bytes,
-   count(*) FILTER (severity IN ('high', 'critical')) AS errors FROM u GROUP BY unit""")
+, u AS (SELECT *, regexp_extract(file, '^[^/]*') AS unit, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level FROM findings)
+, r AS (SELECT unit, code, arg_min(level, (family_no, file, rule_no, byte_offset)) AS level, row_number() OVER (PARTITION BY unit ORDER BY code) - 1 AS position FROM u GROUP BY unit, code)
+SELECT unit, 3 AS section, row_number() OVER (PARTITION BY unit ORDER BY family_no, file, rule_no, byte_offset, code, message) - 1 AS position,
+  code, level, message, file, line, "column", byte_offset, byte_length FROM u
+UNION ALL SELECT unit, 1, position, code, level, NULL, NULL, NULL, NULL, NULL, NULL FROM r
+UNION ALL SELECT unit, s, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT unit FROM u), (SELECT unnest([0, 2, 4]) AS s)""")
 def result_documents(spark, sf):
-    docs = sl.to_sarif(once(code_findings(spark, sf)))
-    region = "region:struct<startLine:int,charLength:bigint>"
-    shape = (f"runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,"
-             f"results:array<struct<ruleId:string,level:string,locations:array<struct<physicalLocation:struct<{region}>>>>>>>")
-    run = docs.select("unit", F.from_json("document", shape)["runs"][0].alias("run"))
-    each = run.select("unit", F.size("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
-    place = F.col("r.locations")[0]["physicalLocation"]["region"]
-    return each.groupBy("unit").agg(
-        F.count(F.lit(1)).alias("results"), F.max("rules").cast("long").alias("rules"), F.min(place["startLine"]).alias("first_line"),
-        F.sum(place["charLength"]).alias("matched_bytes"), F.count_if(F.col("r.level") == "error").alias("errors"))
+    place = "physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,startColumn:int,charOffset:bigint,charLength:bigint>>"
+    shape = f"ruleId string, id string, level string, message struct<text:string>, defaultConfiguration struct<level:string>, locations array<struct<{place}>>"
+    records = sl.sarif_records(once(code_findings(spark, sf))).withColumn(
+        "i", F.when(F.col("section").isin(1, 3), F.from_json(F.regexp_replace("record", "^,", ""), shape)))
+    at = F.get("i.locations", F.lit(0))["physicalLocation"]
+    region = at["region"]
+    return records.select(
+        "unit", "section", "position", F.coalesce("i.ruleId", "i.id").alias("code"), F.coalesce("i.level", "i.defaultConfiguration.level").alias("level"),
+        F.col("i.message.text").alias("message"), at["artifactLocation"]["uri"].alias("file"), region["startLine"].alias("line"),
+        region["startColumn"].alias("column"), region["charOffset"].alias("byte_offset"), region["charLength"].alias("byte_length"))
 
 
 @query("report_records", O.with_(*CODE) + """

@@ -203,16 +203,28 @@ def cache_lookups(spark, sf):
         missing.select("key").withColumn("cached", F.lit(False)))
 
 
+_URL = """'pkg:' || CASE ecosystem WHEN 'crates.io' THEN 'cargo' WHEN 'PyPI' THEN 'pypi' WHEN 'Go' THEN 'golang' WHEN 'RubyGems' THEN 'gem'
+  WHEN 'Packagist' THEN 'composer' WHEN 'SwiftURL' THEN 'swift' ELSE lower(ecosystem) END || '/' ||
+  CASE WHEN ecosystem = 'Maven' THEN regexp_replace(name, ':', '/') ELSE name END || '@' || version"""
+
+
+# Every item of both documents with its place, and what stands around the items.
 @query("inventory_documents", f"""
-WITH p AS (SELECT DISTINCT ecosystem, name, version, regexp_extract(source, '^([^/]*)') AS unit FROM ({_expected(_PY)}))
-SELECT unit, count(*) AS components, count(DISTINCT name) AS names, count(*) AS entries, 0 AS lowest_id, count(*) - 1 AS highest_id FROM p GROUP BY unit""")
+WITH p AS (SELECT DISTINCT ecosystem, name, version, regexp_extract(source, '^([^/]*)') AS unit FROM ({_expected()})),
+i AS (SELECT unit, name, version, {_URL} AS url, row_number() OVER (PARTITION BY unit ORDER BY ecosystem, name, version) - 1 AS position FROM p)
+SELECT 'cyclonedx' AS document, unit, 3 AS section, position, name, version, url AS purl, url AS id FROM i
+UNION ALL SELECT 'spdx', unit, 3, position, name, version, url, 'SPDXRef-Package-' || position FROM i
+UNION ALL SELECT d, unit, s, 0, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT unit FROM p), (SELECT unnest(['cyclonedx', 'spdx']) AS d), (SELECT unnest([0, 4]) AS s)""")
 def inventory_documents(spark, sf):
-    p = sl.extract_packages(lock_files(spark, sf, _PY))
-    cdx = sl.to_cyclonedx(p).select("unit", F.explode(F.from_json(
-        "document", "components array<struct<name:string,purl:string>>")["components"]).alias("c")).groupBy("unit").agg(
-        F.count(F.lit(1)).alias("components"), F.count_distinct("c.name").alias("names"))
-    number = F.regexp_extract("p.SPDXID", "([0-9]+)$", 1).cast("long")
-    spdx = sl.to_spdx(p).select("unit", F.explode(F.from_json(
-        "document", "packages array<struct<SPDXID:string,name:string>>")["packages"]).alias("p")).groupBy("unit").agg(
-        F.count(F.lit(1)).alias("entries"), F.min(number).alias("lowest_id"), F.max(number).alias("highest_id"))
-    return cdx.join(spdx, "unit")
+    p = sl.extract_packages(lock_files(spark, sf))
+    shape = "`bom-ref` string, SPDXID string, name string, version string, versionInfo string, purl string, externalRefs array<struct<referenceLocator:string>>"
+    item = F.when(F.col("section") == 3, F.from_json(F.regexp_replace("record", "^,", ""), shape))
+
+    def items(records, kind):
+        r = records.withColumn("i", item)
+        return r.select(F.lit(kind).alias("document"), "unit", "section", "position", "i.name", F.col("i.versionInfo").alias("version"),
+                        F.get("i.externalRefs", F.lit(0))["referenceLocator"].alias("purl"),
+                        F.col("i.SPDXID").alias("id")) if kind == "spdx" else r.select(
+            F.lit(kind).alias("document"), "unit", "section", "position", "i.name", "i.version", "i.purl", F.col("i.`bom-ref`").alias("id"))
+
+    return items(sl.cyclonedx_records(p), "cyclonedx").unionByName(items(sl.spdx_records(p), "spdx"))
