@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scanloom.functions import paths
 from scanloom.functions.lam import lookup
 from scanloom.operators.classify import with_kind
+from scanloom.operators.order import carried, seated
 from scanloom.rules import Rule, unix_lines
 
 # Manifest name -> language, ecosystem.
@@ -101,23 +102,40 @@ def fingerprint_summary(projects: DataFrame) -> DataFrame:
     )
 
 
-def _roots_of(directories: DataFrame, projects: DataFrame, *keys: str) -> DataFrame:
-    """(directory, root, keys) pairs: equi-join of each directory's prefixes with the roots."""
-    prefixes = directories.select("directory", F.explode(paths.ancestors(F.concat("directory", F.lit("/x")))).alias("root"))
-    return prefixes.join(projects.select("root", *keys).distinct(), "root")
+def _place(path: Column) -> Column:
+    """Sorts a directory right before all that lies below it: its parts, each closed by a zero byte."""
+    escaped = F.replace(F.replace(path, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+    return F.encode(F.when(path == "", F.lit("")).otherwise(F.concat(F.replace(escaped, F.lit("/"), F.lit("\x00")), F.lit("\x00"))), "UTF-8")
+
+
+def first_roots(directories: DataFrame, roots: DataFrame, group: str | None = None) -> DataFrame:
+    """(directory, [group,] root): the topmost root at or above every directory; directories without one are left out.
+
+    A root covers all places from its own up to the same followed by a byte that no UTF-8 text holds. Roots and
+    directories are sorted together by ranges, and the root that reaches furthest is carried along: if it reaches a
+    directory it is above it, and of several it is the topmost. So a directory is one row however deep it lies, no key
+    stands for the root of everything, and an empty root is a range like any other. With ``group`` roots hold for
+    directories of the same group only. Null roots and directories are left out.
+    """
+    keys = [group] if group else []
+    nothing = F.lit(None).cast("string")
+    starts = roots.filter("root is not null").select(*keys, "root").distinct().select(
+        *keys, _place(F.col("root")).alias("_place"), F.lit(0).alias("_kind"), "root", nothing.alias("directory"))
+    asked = directories.filter("directory is not null").select(*keys, "directory").distinct().select(
+        *keys, _place(F.col("directory")).alias("_place"), F.lit(1).alias("_kind"), nothing.alias("root"), "directory")
+    reach = F.when(F.col("root").isNotNull(), F.struct(F.concat("_place", F.unhex(F.lit("FF"))).alias("end"), F.col("root").alias("root")))
+    run = carried(seated(starts.unionByName(asked), keys, ["_place", "_kind"]), keys, F.max, reach, F.greatest, "_reach")
+    return run.filter(F.col("directory").isNotNull() & (F.col("_reach.end") >= F.col("_place"))).select(
+        "directory", *keys, F.col("_reach.root").alias("root"))
 
 
 def assign_projects(files: DataFrame, projects: DataFrame) -> DataFrame:
     """(path, root): the first root in sorted order, which among prefixes is the shortest.
 
-    The join runs over distinct directories, not over files.
+    Roots are found for distinct directories, not for files.
     """
     located = files.select("path", paths.parent("path").alias("directory"))
-    roots = (
-        _roots_of(located.select("directory").distinct(), projects)
-        .groupBy("directory").agg(F.min("root").alias("root"))
-    )
-    return located.join(roots, "directory").select("path", "root")
+    return located.join(first_roots(located.select("directory"), projects), "directory").select("path", "root")
 
 
 def gate_by_framework(findings: DataFrame, rules: Iterable[Rule], projects: DataFrame) -> DataFrame:
@@ -141,11 +159,10 @@ def gate_by_framework(findings: DataFrame, rules: Iterable[Rule], projects: Data
         out = out.filter(wanted.isNull() | F.array_contains(present, wanted))
     if scoped:
         wanted = lookup(scoped, F.col("code"))
-        # Only directories that hold a gated finding meet the project table.
-        asked = out.filter(wanted.isNotNull()).select(paths.parent("location.file").alias("directory")).distinct()
-        granted = _roots_of(asked, used, "framework").select(
-            F.col("directory").alias("_directory"), F.col("framework").alias("_framework"), F.lit(True).alias("_granted")
-        ).distinct()
+        # Only directories that hold a gated finding meet the project table, each with the frameworks it asks for.
+        asked = out.filter(wanted.isNotNull()).select(paths.parent("location.file").alias("directory"), wanted.alias("framework"))
+        granted = first_roots(asked, used, "framework").select(
+            F.col("directory").alias("_directory"), F.col("framework").alias("_framework"), F.lit(True).alias("_granted"))
         out = (
             out.withColumns({
                 "_framework": F.coalesce(wanted, F.lit("")),
@@ -180,7 +197,7 @@ def exempt_roots(files: DataFrame, projects: DataFrame, marker: str, framework:
 def exempt_projects(findings: DataFrame, roots: DataFrame, code: str) -> DataFrame:
     """Drop findings of one code below an exempt root."""
     is_code = F.col("code") == code
-    directories = findings.filter(is_code).select(paths.parent("location.file").alias("directory")).distinct()
-    exempt = _roots_of(directories, roots).select(F.col("directory").alias("_directory")).distinct()
+    directories = findings.filter(is_code).select(paths.parent("location.file").alias("directory"))
+    exempt = first_roots(directories, roots).select(F.col("directory").alias("_directory"))
     key = F.when(is_code, paths.parent(F.col("location.file"))).otherwise(_nowhere())
     return findings.withColumn("_directory", F.coalesce(key, _nowhere())).join(exempt, "_directory", "left_anti").select(*findings.columns)

@@ -96,15 +96,17 @@ def token_entropy(spark, sf):
     return tokens.filter("token <> ''").withColumn("entropy", F.round(text.shannon_entropy("token"), 6))
 
 
+# Directories of findings meet the projects above them by equality, one row per directory above.
 _GATE = """
-, gated AS (SELECT * FROM findings f WHERE CASE
+, found AS MATERIALIZED (SELECT *, regexp_replace(file, '/[^/]*$', '') AS dir, CASE
    WHEN code LIKE 'NEST-%' THEN 'nestjs' WHEN code LIKE 'NEXT-%' THEN 'nextjs' WHEN code LIKE 'AXUM-%' THEN 'axum'
-   WHEN code LIKE 'DJANGO-%' THEN 'django' WHEN code LIKE 'FLASK-%' THEN 'flask' WHEN code LIKE 'SPRING-%' THEN 'spring-boot' END IS NULL
-   OR EXISTS (SELECT 1 FROM projects p WHERE starts_with(f.file, p.root || '/') AND list_contains(p.frameworks, CASE
-   WHEN code LIKE 'NEST-%' THEN 'nestjs' WHEN code LIKE 'NEXT-%' THEN 'nextjs' WHEN code LIKE 'AXUM-%' THEN 'axum'
-   WHEN code LIKE 'DJANGO-%' THEN 'django' WHEN code LIKE 'FLASK-%' THEN 'flask' WHEN code LIKE 'SPRING-%' THEN 'spring-boot' END)))
-, railed AS (SELECT * FROM gated WHERE code NOT IN ('INJ-008','INJ-009','INJ-010','ORM-003','ORM-005')
-   OR (SELECT bool_or(list_contains(frameworks, 'rails')) FROM projects))
+   WHEN code LIKE 'DJANGO-%' THEN 'django' WHEN code LIKE 'FLASK-%' THEN 'flask' WHEN code LIKE 'SPRING-%' THEN 'spring-boot' END AS wanted FROM findings)
+, known AS MATERIALIZED (SELECT root, unnest(frameworks) AS framework FROM projects)
+, above AS (SELECT dir, unnest(list_transform(range(1, len(string_split(dir, '/')) + 1), lambda i: array_to_string(string_split(dir, '/')[1:i], '/'))) AS root
+   FROM (SELECT DISTINCT dir FROM found WHERE wanted IS NOT NULL))
+, held AS MATERIALIZED (SELECT DISTINCT dir, framework FROM above JOIN known USING (root))
+, railed AS (SELECT found.* FROM found LEFT JOIN held ON held.dir = found.dir AND held.framework = wanted WHERE (wanted IS NULL OR held.dir IS NOT NULL)
+   AND (code NOT IN ('INJ-008','INJ-009','INJ-010','ORM-003','ORM-005') OR (SELECT count(*) > 0 FROM known WHERE framework = 'rails')))
 """
 
 
