@@ -6,37 +6,89 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.functions.grades import advisory_severity
 from scanloom.functions.versions import version_key
+from scanloom.operators.order import carried, seated
 from scanloom.rules import FAMILIES
 from scanloom.schema import FINDING_COLUMNS
+from scanloom.sources.shared import save
 
 TTL_HOURS = 24
 
 
+#: Levels of the cells over one name's versions: 2**32 different bounds of ranges at most.
+LEVELS = 32
+
+
 def match_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """Packages joined with the advisories that cover their version.
 
-    Advisories carry ``ecosystem, name``, and a ``versions`` list and / or a
-    half-open ``[introduced, fixed)`` range (either end may be null). Packages
-    are made distinct first: a popular package in a third of all lock files is
-    compared once per version, not once per file.
+    Advisories carry ``ecosystem, name``, and a ``versions`` list and / or a half-open ``[introduced, fixed)``
+    range (either end may be null). A package with no version matches nothing.
+
+    Versions and ranges meet in cells, never as all pairs of a name. Distinct versions and the bounds of ranges are sorted
+    together; the count of bounds up to a version is its slot, and a range is an interval of slots. An interval is cut into
+    at most two dyadic cells a level, a slot lies in one cell of each level, and a cell that is equal on both sides
+    is a match, found exactly once. So the join makes as many rows as there are matches, whatever the
+    number of versions or ranges of a name.
     """
     keys = ["ecosystem", "name", "version"]
+    own = save(advisories.withColumn("_advisory", F.monotonically_increasing_id()), "advisories")
     # Partial aggregation runs before the shuffle, which removes the popular keys there.
-    distinct = packages.select(*keys).distinct().withColumn("_key", version_key("version"))
-    has_list = "versions" in advisories.columns
-    listed = advisories.withColumns({
-        "_from": F.when(F.col("introduced").isNotNull(), version_key("introduced")),
-        "_to": F.when(F.col("fixed").isNotNull(), version_key("fixed")),
-    })
-    ranged = F.col("introduced").isNotNull() | F.col("fixed").isNotNull()
-    inside = (
-        ranged
-        & F.coalesce(F.col("_key") >= F.col("_from"), F.lit(True))
-        & F.coalesce(F.col("_key") < F.col("_to"), F.lit(True))
-    )
-    covers = inside | F.coalesce(F.array_contains("versions", F.col("version")), F.lit(False)) if has_list else inside
-    hits = distinct.join(listed, ["ecosystem", "name"]).filter(covers).drop("_key", "_from", "_to")
-    return packages.join(hits, keys)
+    distinct = save(packages.select(*keys).filter("version is not null").distinct(), "versions")
+    hits = _in_range(distinct, own)
+    if "versions" in advisories.columns:
+        listed = own.select("ecosystem", "name", F.explode(F.array_distinct("versions")).alias("version"), "_advisory")
+        hits = hits.unionByName(distinct.join(listed, keys).select(*keys, "_advisory")).distinct()
+    # What a popular version is covered by is joined last; adaptive execution splits the copies of such a version.
+    covered = hits.join(own.drop("ecosystem", "name"), "_advisory").drop("_advisory")
+    return packages.join(covered, keys)
+
+
+def _in_range(versions: DataFrame, advisories: DataFrame) -> DataFrame:
+    """(ecosystem, name, version, _advisory) of versions inside a range."""
+    name = ["ecosystem", "name"]
+    ranges = advisories.filter("introduced is not null or fixed is not null").select(
+        *name, "_advisory", *[F.when(F.col(c).isNotNull(), version_key(c)).alias(k) for c, k in (("introduced", "_from"), ("fixed", "_to"))])
+    # Names without a range need no slots.
+    asked = versions.join(ranges.select(*name).distinct(), name, "left_semi").withColumn("_key", version_key("version"))
+    bounds = ranges.select(*name, F.explode(F.array_distinct(F.array("_from", "_to"))).alias("_key")).filter("_key is not null").distinct()
+    none = F.lit(None).cast("string")
+    both = bounds.select(*name, "_key", F.lit(0).alias("_kind"), none.alias("version")).unionByName(
+        asked.select(*name, "_key", F.lit(1).alias("_kind"), "version"))
+    # A bound comes before the versions that equal it: a version's slot counts it.
+    slots = carried(seated(both, name, ["_key", "_kind"]), name, F.sum, (F.lit(1) - F.col("_kind")).cast("long"), lambda a, b: a + b, "slot")
+    slots = save(slots, "slots")
+    at = slots.filter("_kind = 0").select(*name, "_key", "slot")
+    low = at.withColumnsRenamed({"_key": "_from", "slot": "low"})
+    high = at.withColumnsRenamed({"_key": "_to", "slot": "high"})
+    placed = ranges.join(low, [*name, "_from"], "left").join(high, [*name, "_to"], "left").select(
+        *name, "_advisory", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit((1 << LEVELS) - 1)).alias("high"))
+    ranged = placed.filter("low < high").select(*name, "_advisory", F.inline(dyadic(F.col("low"), F.col("high"))))
+    # Only levels that some range of the name uses are worth a row of a version.
+    used = ranged.groupBy(*name).agg(F.collect_set("level").alias("levels"))
+    points = slots.filter("_kind = 1").join(used, name).select(*name, "version", "slot", F.explode("levels").alias("level")).select(
+        *name, "version", "level", F.expr("shiftright(slot, level)").alias("cell"))
+    return points.join(ranged, [*name, "level", "cell"]).select(*name, "version", "_advisory")
+
+
+def dyadic(low: Column, high: Column) -> Column:
+    """array<struct<level, cell>>: disjoint cells that fill the slots from ``low`` up to, not including, ``high``.
+
+    Going up the levels, a cell is split off at an end that is no multiple of the next level's cells.
+    """
+    start = F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), F.array().cast("array<struct<level:int,cell:bigint>>").alias("cells"))
+
+    def step(state: Column, level: Column) -> Column:
+        left, right = state["low"], state["high"]
+        open_ = left < right
+        cell = lambda place: F.array(F.struct(level.cast("int").alias("level"), place.alias("cell")))
+        at_left = F.when(open_ & (left % 2 == 1), cell(left)).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
+        inner = F.when(open_ & (left % 2 == 1), left + 1).otherwise(left)
+        at_right = F.when((inner < right) & (right % 2 == 1), cell(right - 1)).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
+        outer = F.when((inner < right) & (right % 2 == 1), right - 1).otherwise(right)
+        half = lambda c: F.shiftright(c, 1)
+        return F.struct(half(inner).alias("low"), half(outer).alias("high"), F.concat(state["cells"], at_left, at_right).alias("cells"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step)["cells"]
 
 
 def advisory_url(advisory_id) -> Column:

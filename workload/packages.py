@@ -140,6 +140,39 @@ def advisory_matches(spark, sf):
     return _matches(spark, sf).select("ecosystem", "name", "version", "source", "id", "rating")
 
 
+# Advisories of all ecosystems: ranges open at either end, closed ones, version lists, both, and neither.
+_ALL_ADVISORIES = f"""
+SELECT concat('ALL-', cast(l_orderkey AS varchar(20)), '-', cast(l_linenumber AS varchar(20))) AS id, e.ecosystem,
+  concat(e.prefix, 'pkg-', cast(l_partkey AS varchar(20))) AS name,
+  CASE WHEN l_orderkey % 5 < 3 THEN concat(e.mark, cast(l_suppkey % 3 AS varchar(20)), '.', cast(l_linenumber AS varchar(20))) END AS introduced,
+  CASE WHEN l_orderkey % 7 < 4 THEN concat(e.mark, cast(l_suppkey % 4 AS varchar(20)), '.', cast(l_suppkey % 11 AS varchar(20)), '.', cast(l_linenumber AS varchar(20))) END AS fixed,
+  CASE WHEN l_orderkey % 3 = 0 THEN array(concat(e.mark, cast(l_suppkey % 3 AS varchar(20)), '.', cast(l_partkey % 10 AS varchar(20)), '.', cast(l_partkey % 10 AS varchar(20))), '9.9.9') END AS versions
+FROM lineitem JOIN ecosystems e ON e.no = l_orderkey % 12"""
+# What the lock files of an ecosystem put before names and versions.
+_PREFIXES = [(e, p, m) for e, p, m in (
+    ("crates.io", "", ""), ("npm", "", ""), ("npm", "@s/", ""), ("PyPI", "", ""), ("RubyGems", "", ""), ("Packagist", "v/", ""),
+    ("NuGet", "", ""), ("SwiftURL", "host.example/", ""), ("Pub", "", ""), ("Hex", "", ""), ("Maven", "g:", ""), ("Go", "m.example/", "v"))]
+
+
+def _all_advisories(spark, sf):
+    names = spark.createDataFrame([(i, *row) for i, row in enumerate(_PREFIXES)], "no int, ecosystem string, prefix string, mark string")
+    return C.over(spark, _ALL_ADVISORIES, lineitem=C.table(spark, sf, "lineitem"), ecosystems=names)
+
+
+_NUMBERS = "list_transform(string_split(regexp_replace(regexp_replace({v}, '^v', ''), '(\\.0+)+$', ''), '.'), lambda x: CAST(x AS INT))"
+
+
+@query("advisory_matches_all", f"""
+WITH ecosystems(no, ecosystem, prefix, mark) AS (SELECT * FROM {C.values([(i, *row) for i, row in enumerate(_PREFIXES)])}),
+a AS ({_ALL_ADVISORIES.replace('array(', 'list_value(')}), p AS ({_expected()})
+SELECT p.ecosystem, p.name, p.version, p.source, a.id FROM p JOIN a ON a.ecosystem = p.ecosystem AND a.name = p.name
+WHERE coalesce(list_contains(a.versions, p.version), false) OR ((a.introduced IS NOT NULL OR a.fixed IS NOT NULL)
+  AND (a.introduced IS NULL OR {_NUMBERS.format(v='p.version')} >= {_NUMBERS.format(v='a.introduced')})
+  AND (a.fixed IS NULL OR {_NUMBERS.format(v='p.version')} < {_NUMBERS.format(v='a.fixed')}))""")
+def advisory_matches_all(spark, sf):
+    return sl.match_advisories(sl.extract_packages(lock_files(spark, sf)), _all_advisories(spark, sf)).select("ecosystem", "name", "version", "source", "id")
+
+
 _GRADE = """CASE WHEN score >= 9 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' WHEN score IS NOT NULL THEN 'low'
   WHEN rating = 'CRITICAL' THEN 'critical' WHEN rating = 'HIGH' THEN 'high' WHEN rating = 'LOW' THEN 'low' ELSE 'medium' END"""
 _ENTRIES = ("array(struct('OTHER' AS type, '9.9' AS score), struct('CVSS_V3' AS type, CASE WHEN score IS NULL THEN 'CVSS:3.1/AV:N' "
