@@ -31,7 +31,8 @@ from scanloom.plans.inventory import packages_of, sbom
 from scanloom.rules import Rule, RuleError, load_rules
 from scanloom.rules.catalogue import builtin_rules, secret_rules
 from scanloom.sources.blobs import blob_stats, scan_blobs
-from scanloom.sources.corpus import changed_only, ignore_paths, read_corpus, to_corpus, walk_filter
+from scanloom.sources.corpus import Crawl, changed_only, crawl, ignore_paths, read_corpus, to_corpus, walk_filter
+from scanloom.sources.ignores import honour_ignore_files, ignored_paths
 from scanloom.sources.history import history_stats, scan_history
 from scanloom.sources.sinks import read_baseline, report_lines, write_baseline, write_corpus, write_findings
 from scanloom.streaming.live import FindingLog, scan_stream

@@ -102,7 +102,7 @@ def fingerprint_summary(projects: DataFrame) -> DataFrame:
     )
 
 
-def _place(path: Column) -> Column:
+def place(path: Column) -> Column:
     """Sorts a directory right before all that lies below it: its parts, each closed by a zero byte."""
     escaped = F.replace(F.replace(path, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
     return F.encode(F.when(path == "", F.lit("")).otherwise(F.concat(F.replace(escaped, F.lit("/"), F.lit("\x00")), F.lit("\x00"))), "UTF-8")
@@ -120,9 +120,9 @@ def first_roots(directories: DataFrame, roots: DataFrame, group: str | None = No
     keys = [group] if group else []
     nothing = F.lit(None).cast("string")
     starts = roots.filter("root is not null").select(*keys, "root").distinct().select(
-        *keys, _place(F.col("root")).alias("_place"), F.lit(0).alias("_kind"), "root", nothing.alias("directory"))
+        *keys, place(F.col("root")).alias("_place"), F.lit(0).alias("_kind"), "root", nothing.alias("directory"))
     asked = directories.filter("directory is not null").select(*keys, "directory").distinct().select(
-        *keys, _place(F.col("directory")).alias("_place"), F.lit(1).alias("_kind"), nothing.alias("root"), "directory")
+        *keys, place(F.col("directory")).alias("_place"), F.lit(1).alias("_kind"), nothing.alias("root"), "directory")
     reach = F.when(F.col("root").isNotNull(), F.struct(F.concat("_place", F.unhex(F.lit("FF"))).alias("end"), F.col("root").alias("root")))
     run = carried(seated(starts.unionByName(asked), keys, ["_place", "_kind"]), keys, F.max, reach, F.greatest, "_reach")
     return run.filter(F.col("directory").isNotNull() & (F.col("_reach.end") >= F.col("_place"))).select(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,6 +15,7 @@ from scanloom.operators.classify import drop_minified, is_minified, with_kind
 from scanloom.rules import FAMILIES, Rule, load_rules
 from scanloom.rules.catalogue import builtin_rules
 from scanloom.schema import FINDING_COLUMNS
+from scanloom.sources.shared import save
 
 
 @dataclass(frozen=True)
@@ -97,29 +100,36 @@ def default_detectors(config: AuditConfig, advisories: DataFrame | None = None)
 
 
 def run_all(files: DataFrame, detectors: Iterable[Detector], crawl_errors: DataFrame | None = None) -> DataFrame:
-    """Union of all detectors; one that cannot be planned becomes a finding and the rest go on."""
+    """Findings of all detectors; one that fails becomes a finding and the rest go on.
+
+    Every detector runs as a job of its own and writes its findings to its own folder in the shared place, so it may fail while it is
+    planned or while it runs: in either case nothing of it counts but the finding that says so. What is returned reads those
+    folders, and no later step runs a detector again.
+    """
     spark = files.sparkSession
-    out = None
-    failed = []
+    parts, failed = [], []
     for d in detectors:
         try:
             wanted = files.filter(d.wants()) if d.wants else files
-            found = d.analyze(wanted).select(*FINDING_COLUMNS)
+            parts.append(save(d.analyze(wanted).select(*FINDING_COLUMNS), "findings"))
         except Exception as err:
-            failed.append((f"detector '{d.name}' failed: {str(err).splitlines()[0]}",))
-            continue
-        out = found if out is None else out.unionByName(found)
+            failed.append((f"detector '{d.name}' failed: {_reason(err)}",))
     if failed:
-        rows = note_findings(
+        parts.append(note_findings(
             spark.createDataFrame(failed, "text string"), "INT-001", F.col("text"), "medium", "internal",
-            "Look at the log of this run.")
-        out = rows if out is None else out.unionByName(rows)
+            "Look at the log of this run."))
     if crawl_errors is not None:
-        rows = note_findings(
+        parts.append(note_findings(
             crawl_errors, "CRAWL-001", F.concat(F.lit("crawl warning: "), F.col("error")), "info", "crawler",
-            "Check permissions and run again.")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+            "Check permissions and run again."))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _reason(err: Exception) -> str:
+    """The first line that says something of what went wrong, from the innermost cause that Spark gives."""
+    text = str(err).strip()
+    own = [line.strip() for line in text.splitlines() if re.match(r"\s*(?:[\w.]+\.)?\w*(?:Error|Exception): ", line)]
+    return (own[-1] if own and text.startswith(("Job aborted", "An exception was thrown from", "An error occurred while calling", "[")) else text.splitlines()[0] if text else type(err).__name__)
 
 
 def configured(findings: DataFrame, config: AuditConfig, keep_noise: bool | None = None) -> DataFrame:
@@ -157,7 +167,7 @@ def audit(files: DataFrame, config: AuditConfig | None = None, baseline: DataFra
     files = files if {"kind", "ext"} <= set(files.columns) else with_kind(files)
     every = files
     files = files if config.include_minified else drop_minified(files)
-    raw = materialise(run_all(files, [*default_detectors(config, advisories), *detectors], crawl_errors))
+    raw = run_all(files, [*default_detectors(config, advisories), *detectors], crawl_errors)
     kept = configured(raw, config)
     # What the pattern scan did not settle itself: findings of other detectors.
     others = kept.filter(~F.col("family_no").isin(*SETTLED))

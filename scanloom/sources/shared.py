@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,12 @@ def save(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def workers_import(spark: SparkSession) -> None:
+    """Python workers find this library where the driver found it, whatever folder it runs in."""
+    folder = str(Path(__file__).resolve().parents[2])
+    own = spark.sparkContext.environment
+    known = own.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if folder not in known:
+        own["PYTHONPATH"] = os.pathsep.join([folder, *filter(None, known)])

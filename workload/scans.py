@@ -46,6 +46,38 @@ def ignore_globs(spark, sf):
     return sl.ignore_paths(C.code(spark, sf), IGNORES).select("path")
 
 
+# A tree of documents; every repository and language has ignore files of its own, some with lines that differ by repository.
+_TREE = """
+SELECT concat('r', cast(doc_id % 5 AS varchar(20)), '/', lang, '/', CASE doc_id % 4 WHEN 0 THEN 'build/out' WHEN 1 THEN 'src' WHEN 2 THEN 'src/gen' ELSE 'logs' END, '/',
+  CASE doc_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'keep' ELSE 'g' END, cast(doc_id AS varchar(20)),
+  CASE doc_id % 7 WHEN 0 THEN '.log' WHEN 1 THEN '.txt' WHEN 2 THEN '.tmp' WHEN 3 THEN '.log' ELSE '.py' END) AS path, text AS content FROM documents"""
+_IGNORES = """
+SELECT DISTINCT concat('r', cast(doc_id % 5 AS varchar(20)), '/.gitignore') AS path, concat('*.log', chr(10), '!keep*.log', chr(10), '# none', chr(10),
+  '/en/logs/', chr(10), CASE WHEN doc_id % 5 = 3 THEN '' ELSE 'build/' END) AS content FROM documents
+UNION ALL SELECT DISTINCT concat('r', cast(doc_id % 5 AS varchar(20)), '/', lang, '/.gitignore'), concat(CASE WHEN lang = 'de' THEN '!build/' ELSE 'build' END, chr(10),
+  'src/**/f*.py', chr(10), '*.t?t', chr(10)) FROM documents
+UNION ALL SELECT DISTINCT concat('r', cast(doc_id % 5 AS varchar(20)), '/', lang, '/src/.ignore'), concat('!*.txt', chr(10), 'gen/*1?.log', chr(10), '[a-f]*.tmp') FROM documents"""
+
+
+# The SQL side knows the lines as patterns written by hand, with the level of their file, and decides every entry by the last that matches.
+@query("tree_ignore_files", f"""
+WITH files AS ({_TREE}),
+entries AS (SELECT path, parts[:i] AS p, i < len(parts) AS is_dir FROM (SELECT path, string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM files)),
+rules(rank, depth, line, pattern, negated, dir_only, lang, except_r) AS (VALUES
+  (0, 1, 1, '(.*/)?[^/]*\\.log', false, false, NULL, NULL), (0, 1, 2, '(.*/)?keep[^/]*\\.log', true, false, NULL, NULL), (0, 1, 4, 'en/logs', false, true, NULL, NULL),
+  (0, 1, 5, '(.*/)?build', false, true, NULL, 'r3'), (0, 2, 1, '(.*/)?build', true, true, 'de', NULL), (0, 2, 1, '(.*/)?build', false, false, 'other', NULL),
+  (0, 2, 2, 'src/(.*/)?f[^/]*\\.py', false, false, NULL, NULL), (0, 2, 3, '(.*/)?[^/]*\\.t[^/]t', false, false, NULL, NULL),
+  (1, 3, 1, '(.*/)?[^/]*\\.txt', true, false, NULL, NULL), (1, 3, 2, 'gen/[^/]*1[^/]\\.log', false, false, NULL, NULL), (1, 3, 3, '(.*/)?[a-f][^/]*\\.tmp', false, false, NULL, NULL)),
+hits AS (SELECT e.path, e.p, r.negated, r.rank, r.depth, r.line FROM entries e JOIN rules r ON len(e.p) > r.depth AND (e.is_dir OR NOT r.dir_only)
+  AND (r.depth < 3 OR e.p[3] = 'src') AND (r.lang IS NULL OR (r.lang = 'de') = (e.p[2] = 'de')) AND (r.except_r IS NULL OR r.except_r <> e.p[1])
+  AND regexp_full_match(array_to_string(e.p[r.depth + 1:], '/'), r.pattern)),
+said AS (SELECT path, p, arg_max(negated, (rank, depth, line)) AS negated FROM hits GROUP BY path, p)
+SELECT path FROM files WHERE path NOT IN (SELECT path FROM said WHERE NOT negated)""")
+def tree_ignore_files(spark, sf):
+    d = C.table(spark, sf, "documents")
+    return sl.honour_ignore_files(C.over(spark, _TREE, documents=d), C.over(spark, _IGNORES, documents=d)).select("path")
+
+
 @query("walk_rules", O.with_(C.CODE_CTE) + """
 SELECT path FROM corpus_code WHERE len(string_split(path, '/')) <= 4
  AND NOT regexp_matches(path, '(^|/)\\.') AND NOT regexp_matches(path, '(^|/)(target|dist|build|node_modules|venv)/')""")
