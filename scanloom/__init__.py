@@ -21,7 +21,7 @@ from scanloom.operators.projects import (
     assign_projects, exempt_projects, exempt_roots, fingerprint, fingerprint_summary, gate_by_framework,
 )
 from scanloom.operators.reports import (
-    category_counts, code_counts, coverage, project_label, rule_rollup, severity_counts, to_annotations, top_findings,
+    category_counts, code_counts, coverage, project_label, project_label_rows, rule_rollup, severity_counts, to_annotations, top_findings,
     with_shares,
 )
 from scanloom.operators.scan import applicable, scan, scan_compound, scan_secrets, with_location
@@ -34,7 +34,9 @@ from scanloom.sources.blobs import blob_stats, scan_blobs
 from scanloom.sources.corpus import Crawl, changed_only, crawl, ignore_paths, read_corpus, to_corpus, walk_filter
 from scanloom.sources.ignores import honour_ignore_files, ignored_paths
 from scanloom.sources.history import history_stats, scan_history
-from scanloom.sources.sinks import read_baseline, report_lines, write_baseline, write_corpus, write_findings
+from scanloom.sources.sinks import (
+    compact_baseline, merge_baseline, read_baseline, report_lines, write_baseline, write_corpus, write_findings,
+)
 from scanloom.streaming.live import FindingLog, scan_stream
 
 __version__ = "0.1.0"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scanloom.functions import paths, text
 from scanloom.functions.grades import annotation_level
+from scanloom.operators.order import with_positions
 from scanloom.operators.pipeline import seq
 from scanloom.schema import CATEGORIES, SEVERITIES
 
@@ -113,10 +114,10 @@ def to_annotations(findings: DataFrame, tool: str = "scanloom") -> DataFrame:
     return findings.select(annotation_line(tool).alias("annotation"))
 
 
-def project_label(projects: DataFrame, by: Column | None = None) -> DataFrame:
-    """Comma-joined distinct labels: first framework (or language) and the last root part.
+def project_label_rows(projects: DataFrame, by: Column | None = None) -> DataFrame:
+    """(unit, position, label): distinct labels of every scan unit in order, one row each.
 
-    ``by`` is the scan unit; labels are made distinct before they are gathered.
+    A label is the first framework (or the language) and the last root part.
     """
     last = paths.base_name("root")
     label = F.concat(
@@ -124,6 +125,11 @@ def project_label(projects: DataFrame, by: Column | None = None) -> DataFrame:
         F.when(last == "", F.lit(".")).otherwise(last), F.lit(")"),
     )
     unit = F.lit("") if by is None else by
-    distinct = projects.select(unit.alias("unit"), label.alias("label")).distinct()
-    out = distinct.groupBy("unit").agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("label"))
+    return with_positions(projects.select(unit.alias("unit"), label.alias("label")).distinct(), ["label"], ["unit"]).select("unit", "position", "label")
+
+
+def project_label(projects: DataFrame, by: Column | None = None) -> DataFrame:
+    """The labels of a unit as one comma-joined text, for units of few projects; ``project_label_rows`` has no such bound."""
+    rows = project_label_rows(projects, by)
+    out = rows.groupBy("unit").agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("label"))
     return out.select("label") if by is None else out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scanloom.operators.classify import with_kind
-from scanloom.operators.pipeline import fingerprints
+from scanloom.operators.pipeline import fingerprint_key, fingerprint_of
+from scanloom.sources.shared import save
 
 BASELINE_VERSION = 1
 
@@ -45,13 +46,34 @@ def report_lines(findings: DataFrame, stats: DataFrame, projects: DataFrame | No
     return out
 
 
+def _run(prints: DataFrame) -> DataFrame:
+    """A run of a baseline: fingerprints in the order of their keys, so a file covers a range of keys."""
+    keyed = prints.withColumns({"key": fingerprint_key(F.col("fingerprint")), "version": F.lit(BASELINE_VERSION)})
+    return keyed.repartitionByRange("key").sortWithinPartitions("key").select("fingerprint", "version", "key")
+
+
 def write_baseline(findings: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Versioned list of distinct fingerprints."""
-    fingerprints(findings).withColumn("version", F.lit(BASELINE_VERSION)).write.mode(mode).parquet(path)
+    """Versioned list of distinct fingerprints, as one run."""
+    _run(findings.select(fingerprint_of().alias("fingerprint")).distinct()).write.mode(mode).parquet(path)
+
+
+def merge_baseline(findings: DataFrame, path: str) -> None:
+    """Add what a baseline does not hold yet as a further run; earlier runs stay as they are, and a second call adds nothing."""
+    known = read_baseline(findings.sparkSession, path).select(fingerprint_key(F.col("fingerprint")).alias("_key"))
+    new = findings.select(fingerprint_of().alias("fingerprint")).distinct()
+    # Written aside first: a run is appended whole or not at all, and never reads what it adds to.
+    run = save(_run(new.join(known, fingerprint_key(F.col("fingerprint")) == F.col("_key"), "left_anti")), "baseline-run")
+    if not run.isEmpty():
+        run.write.mode("append").parquet(path)
+
+
+def compact_baseline(spark: SparkSession, path: str, target: str) -> None:
+    """All runs as one, at another place."""
+    _run(read_baseline(spark, path).distinct()).write.mode("errorifexists").parquet(target)
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """The fingerprints of a baseline; an unknown version fails when it is read."""
+    """The fingerprints of all runs of a baseline; an unknown version fails when it is read."""
     raw = spark.read.schema("fingerprint string, version int").parquet(path)
     known = F.when(F.col("version") == BASELINE_VERSION, F.col("fingerprint")).otherwise(
         F.raise_error(F.concat(F.lit("unknown baseline version "), F.col("version").cast("string"))))

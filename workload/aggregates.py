@@ -104,11 +104,17 @@ def result_documents(spark, sf):
         region["startColumn"].alias("column"), region["charOffset"].alias("byte_offset"), region["charLength"].alias("byte_length"))
 
 
+# Every record of the report, read back from its text.
 @query("report_records", O.with_(*CODE) + """
-SELECT 'finding' AS section, count(*) AS records FROM findings UNION ALL SELECT 'stats', 1""")
+SELECT 'finding' AS section, code, message, severity, file, line, byte_offset, NULL::BIGINT AS files, NULL::BIGINT AS bytes FROM findings
+UNION ALL SELECT 'stats', NULL, NULL, NULL, NULL, NULL, NULL, count(*), sum(strlen(content))::BIGINT FROM corpus_code""")
 def report_records(spark, sf):
     files = sl.with_kind(C.code(spark, sf)).withColumn("size", F.octet_length("content").cast("long"))
-    return sl.report_lines(sl.scan(files, RULES), sl.coverage(files)).groupBy("section").agg(F.count("record").alias("records"))
+    lines = sl.report_lines(sl.scan(files, RULES), sl.coverage(files))
+    shape = "code string, message string, severity string, location struct<file:string,line:int,byte_offset:bigint>, files_scanned bigint, bytes_scanned bigint"
+    return lines.select("section", F.from_json("record", shape).alias("r")).select(
+        "section", "r.code", "r.message", "r.severity", "r.location.file", "r.location.line", "r.location.byte_offset",
+        F.col("r.files_scanned").alias("files"), F.col("r.bytes_scanned").alias("bytes"))
 
 
 @query("audit_findings", O.with_(*SAMPLE, PROJECTS_CTE) + """

@@ -11,6 +11,7 @@ from scanloom.operators.fixes import SUBSTITUTIONS
 from scanloom.operators.pipeline import fingerprint_of
 from scanloom.plans.audit import AuditConfig, configured
 from scanloom.rules.catalogue import builtin_rules, known_prefixes
+from scanloom.sources.shared import new_path
 from workload import corpora as C, oracle as O
 from workload.registry import query
 from workload.scans import flat
@@ -143,6 +144,23 @@ def baseline_filter(spark, sf):
     return sl.new_since(found, base).select("code", "location.file", "location.line")
 
 
+# Written, added to, read again: the list of fingerprints, and what is new against it.
+@query("baseline_round_trip", O.with_(*CODE) + f"""
+, p AS (SELECT {_PRINT} AS fingerprint, CAST(regexp_extract(file, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS number FROM findings)
+, base AS (SELECT DISTINCT fingerprint FROM p WHERE number % 2 = 0 OR number % 3 = 0)
+SELECT 'known' AS part, fingerprint FROM base UNION ALL SELECT 'new', fingerprint FROM p WHERE fingerprint NOT IN (SELECT fingerprint FROM base)""")
+def baseline_round_trip(spark, sf):
+    found = once(code_findings(spark, sf))
+    number = F.regexp_extract("location.file", r"([0-9]+)[^0-9]*$", 1).cast("long")
+    path = new_path(spark, "baseline")
+    sl.write_baseline(found.filter(number % 2 == 0), path)
+    sl.merge_baseline(found.filter(number % 3 == 0), path)
+    sl.merge_baseline(found.filter(number % 6 == 0), path)
+    base = sl.read_baseline(spark, path)
+    return base.select(F.lit("known").alias("part"), "fingerprint").unionByName(
+        sl.new_since(found, base).select(F.lit("new").alias("part"), fingerprint_of().alias("fingerprint")))
+
+
 @query("thresholds", O.with_(*SAMPLE) + "SELECT code, file, line FROM findings WHERE severity IN ('high', 'critical') AND confidence IN ('medium', 'high')")
 def thresholds(spark, sf):
     return sl.at_least(sample_findings(spark, sf), "high", "medium").select("code", "location.file", "location.line")

@@ -267,6 +267,6 @@ def project_assignment(spark, sf):
 @query("project_labels", O.with_(C.SAMPLES_CTE, PROJECTS_CTE) + """
 , l AS (SELECT DISTINCT regexp_extract(root, '^[^/]*') AS unit,
    coalesce(frameworks[1], language) || ' (' || regexp_extract(root, '([^/]*)$', 1) || ')' AS label FROM projects)
-SELECT unit, string_agg(label, ', ' ORDER BY label) AS label FROM l GROUP BY unit""")
+SELECT unit, label, row_number() OVER (PARTITION BY unit ORDER BY label) - 1 AS position FROM l""")
 def project_labels(spark, sf):
-    return sl.project_label(sl.fingerprint(C.manifests(spark, sf)), by=F.substring_index("root", "/", 1))
+    return sl.project_label_rows(sl.fingerprint(C.manifests(spark, sf)), by=F.substring_index("root", "/", 1))
