@@ -27,20 +27,39 @@ def scan_stream(files: DataFrame, rules: Iterable[Rule] | None = None) -> DataFr
 
 
 class FindingLog:
-    """Append-only log of the latest version per document and micro-batch.
+    """Log of the latest version per document, in buckets of paths.
 
-    Each batch replaces its own folder, so a retried batch leaves one result.
-    Readers take the newest version per document over all batches; compaction
-    folds the log into one snapshot folder.
+    A micro-batch writes its own folder and then a commit; a retried batch replaces both, and a folder without a commit counts for
+    nothing. ``merge`` folds committed batches into a new level of the buckets they touch; the other buckets stay where they are. A read
+    opens the newest level of every bucket and the batches committed since, so it does not grow with the age of the log.
+    Which version wins depends on the version alone, not on the order of batches.
+
+    Folders: ``batch=N/bucket=B``, ``level=N/bucket=B``, and ``commits/...`` with a few numbers for each of them. Older folders
+    may be removed once no reader uses them.
     """
 
-    def __init__(self, path: str, rules: Iterable[Rule] | None = None):
+    def __init__(self, path: str, rules: Iterable[Rule] | None = None, buckets: int = 32):
         self.path = path.rstrip("/")
         self.rules = stream_rules() if rules is None else list(rules)
+        self.buckets = buckets
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` target over (path, content, event, version)."""
-        self._latest(batch).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        folder = f"{self.path}/batch={batch_id}"
+        latest = self._latest(batch)
+        self._write(latest, folder)
+        touched = batch.sparkSession.read.schema(latest.withColumn("bucket", self._bucket()).schema).parquet(folder).select("bucket").distinct()
+        self._commit(touched.select(F.lit("batch").alias("kind"), F.lit(batch_id).cast("long").alias("number"), F.col("bucket").cast("int")),
+                     f"batch={batch_id}")
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        rows.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+    def _commit(self, rows: DataFrame, name: str) -> None:
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{name}")
 
     def _latest(self, batch: DataFrame) -> DataFrame:
         relevant = batch.filter(F.col("event").isin(*SCANNED_EVENTS, CLOSED))
@@ -53,19 +72,70 @@ class FindingLog:
         found = find(open_text.withColumn("_path", F.col("path")), keys, self.rules, carry=("_path", "version", "event"), as_rows=False)
         return found.select(F.col("_path").alias("path"), "version", (F.col("event") == CLOSED).alias("closed"), "findings")
 
-    def _current(self, spark: SparkSession) -> DataFrame:
-        log = spark.read.option("recursiveFileLookup", True).parquet(self.path)
-        return log.groupBy("path").agg(F.max_by(F.struct("version", "closed", "findings"), F.struct("version", "closed", F.to_json("findings"))).alias("v")).select(
+    def _commits(self, spark: SparkSession) -> tuple[dict[int, int], dict[int, set[int]]]:
+        """(bucket -> newest level, open batch -> its buckets): a few numbers per bucket and batch."""
+        rows = spark.read.schema("kind string, number long, bucket int").option("recursiveFileLookup", True).parquet(f"{self.path}/commits").collect()
+        levels: dict[int, int] = {}
+        for r in rows:
+            if r.kind == "level":
+                levels[r.bucket] = max(levels.get(r.bucket, -1), r.number)
+        merged = {r.number for r in rows if r.kind == "merged"}
+        batches: dict[int, set[int]] = {}
+        for r in rows:
+            if r.kind == "batch" and r.number not in merged:
+                batches.setdefault(r.number, set()).add(r.bucket)
+        return levels, batches
+
+    def _read(self, spark: SparkSession, kind: str, places: list[tuple[int, int]]) -> DataFrame | None:
+        if not places:
+            return None
+        rows = spark.read.option("basePath", self.path).parquet(*[f"{self.path}/{kind}={n}/bucket={b}" for n, b in places])
+        return rows.select("path", "version", "closed", "findings")
+
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("path").agg(F.max_by(F.struct("version", "closed", "findings"), F.struct("version", "closed", F.to_json("findings"))).alias("v")).select(
             "path", "v.*")
 
+    def _current(self, spark: SparkSession, only: set[int] | None = None) -> DataFrame | None:
+        levels, batches = self._commits(spark)
+        settled = self._read(spark, "level", [(n, b) for b, n in sorted(levels.items()) if only is None or b in only])
+        recent = self._read(spark, "batch", [(n, b) for n, bs in sorted(batches.items()) for b in sorted(bs)])
+        # A level holds every path once.
+        if recent is None:
+            return settled
+        return self._newest(recent if settled is None else settled.unionByName(recent))
+
     def findings(self, spark: SparkSession) -> DataFrame:
         """Findings of all open documents at their latest version."""
-        return self._current(spark).filter(~F.col("closed")).select(F.inline("findings"))
+        current = self._current(spark)
+        if current is None:
+            return scan(with_kind(spark.createDataFrame([], "path string, content string")), self.rules)
+        return current.filter(~F.col("closed")).select(F.inline("findings"))
+
+    def merge(self, spark: SparkSession) -> None:
+        """Fold the batches committed so far into a new level of the buckets they touch.
+
+        The commit of a merge names its buckets and batches; until it is written readers see what they saw before.
+        """
+        levels, batches = self._commits(spark)
+        touched = set().union(*batches.values())
+        if not touched:
+            return
+        number = max(levels.values(), default=-1) + 1
+        self._write(self._current(spark, touched), f"{self.path}/level={number}")
+        rows = [("level", number, b) for b in sorted(touched)] + [("merged", n, None) for n in sorted(batches)]
+        self._commit(spark.createDataFrame(rows, "kind string, number long, bucket int"), f"level={number}")
 
     def compact(self, spark: SparkSession, target: str) -> "FindingLog":
         """Write the current state as a new log at ``target``; closed documents keep a marker."""
-        self._current(spark).write.mode("errorifexists").parquet(f"{target.rstrip('/')}/batch=-1")
-        return FindingLog(target, self.rules)
+        out = FindingLog(target, self.rules, self.buckets)
+        current = self._current(spark)
+        if current is not None:
+            out._write(current, f"{out.path}/level=0")
+            used = spark.read.parquet(f"{out.path}/level=0").select("bucket").distinct()
+            out._commit(used.select(F.lit("level").alias("kind"), F.lit(0).cast("long").alias("number"), F.col("bucket").cast("int")), "level=0")
+        return out
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         return (
