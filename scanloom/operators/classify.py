@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scanloom.functions import paths
@@ -18,9 +22,12 @@ MANIFEST_NAMES = (
 TEST_DIRECTORIES = (
     "tests", "test", "__tests__", "__test__", "benches", "bench", "spec", "specs", "cypress", "e2e",
 )
-TEST_NAME = (
-    r"^(?:conftest\.py|tests\.rs|test_.*\.(?:py|rs))$"
-    r"|(?:_test\.(?:go|rs|py|rb)|_tests\.rs|_spec\.rb|\.(?:test|spec)\.(?:[jt]sx?|[mc]js))$"
+TEST_NAMES = ("conftest.py", "tests.rs")
+TEST_PREFIXES = ("test_",)
+TEST_PREFIX_EXTENSIONS = ("py", "rs")
+TEST_SUFFIXES = (
+    "_test.go", "_test.py", "_test.rb", "_test.rs", "_tests.rs", "_spec.rb", ".test.js", ".test.jsx", ".test.ts", ".test.tsx", ".test.cjs",
+    ".test.mjs", ".spec.js", ".spec.jsx", ".spec.ts", ".spec.tsx", ".spec.cjs", ".spec.mjs",
 )
 SOURCE_EXTENSIONS = (
     "rs", "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "java", "kt", "kts", "rb", "php", "cs", "cpp",
@@ -29,12 +36,27 @@ SOURCE_EXTENSIONS = (
 CONFIG_EXTENSIONS = (
     "toml", "yaml", "yml", "json", "ini", "env", "conf", "cfg", "properties", "xml", "tf", "tfvars",
 )
-MINIFIED_NAME = r"\.min\.(?:[mc]?js|css)|\.bundle\.(?:m?js|css)|-min\.(?:js|css)"
+MINIFIED_PIECES = (
+    ".min.js", ".min.mjs", ".min.cjs", ".min.css", ".bundle.js", ".bundle.mjs", ".bundle.css", "-min.js", "-min.css",
+)
 MINIFIED_EXTENSIONS = ("js", "mjs", "cjs", "jsx", "ts", "tsx", "css")
 MINIFIED_FLOOR = 256
 MINIFIED_LINE = 500
 
 
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(or_, tests)
+
+
+def is_test_name(name: Column, ext: Column) -> Column:
+    """A lower-case file name that test runners look for."""
+    return (
+        name.isin(*TEST_NAMES)
+        | (_any(F.startswith(name, F.lit(x)) for x in TEST_PREFIXES) & ext.isin(*TEST_PREFIX_EXTENSIONS))
+        | _any(F.endswith(name, F.lit(x)) for x in TEST_SUFFIXES)
+    )
+
+
 def kind_of(path) -> Column:
     """manifest, then test, then dotenv, then source, then config, else other."""
     p = F.col(path) if isinstance(path, str) else path
@@ -47,7 +69,7 @@ def kind_of(path) -> Column:
         ),
         lambda f: F.when(f["name"].isin(*MANIFEST_NAMES), "manifest")
         .when(
-            F.rlike(f["name"], F.lit(TEST_NAME))
+            is_test_name(f["name"], f["ext"])
             | F.arrays_overlap(f["parts"], F.array(*[F.lit(d) for d in TEST_DIRECTORIES])),
             "test",
         )
@@ -67,7 +89,7 @@ def is_minified(path, content) -> Column:
     """By name, or a web text whose lines average 500 bytes or more; the whole text counts."""
     p = F.col(path) if isinstance(path, str) else path
     c = F.col(content) if isinstance(content, str) else content
-    named = F.rlike(F.lower(paths.base_name(p)), F.lit(MINIFIED_NAME))
+    named = _any(F.contains(F.lower(paths.base_name(p)), F.lit(x)) for x in MINIFIED_PIECES)
 
     def dense(t: Column) -> Column:
         return (

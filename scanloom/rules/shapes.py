@@ -61,6 +61,11 @@ def quoted(inner: str = "") -> str:
     return rf"""["']{inner}["']"""
 
 
+def go_text(inner: str) -> str:
+    """A Go literal, plain or raw."""
+    return f'["`]{inner}["`]'
+
+
 def setting(key: str, value: str, sign: str = ":") -> str:
     """`key: value` or `key = value`."""
     return spaced(rf"\b{key}", sign, rf"{value}\b")
@@ -83,6 +88,8 @@ JS_REQUEST = rf"req\.{either('body', 'query', 'params', 'cookies', 'headers')}"
 JS_VALUE = rf"{JS_REQUEST}\.[A-Za-z_][\w.]*"
 GO_VALUE = rf"{NAME}\.{either('FormValue', 'PostFormValue', r'URL[.]Query[(][)][.]Get')}\({run(')')}\)"
 PHP_VALUE = r"\$_" + either("GET", "POST", "REQUEST", "COOKIE") + r"\b"
+#: One element of what the client sent; the arrays themselves are no text.
+PHP_FIELD = r"\$_" + either("COOKIE", "GET", "POST", "REQUEST") + BLANK + r"\["
 ENDS = rf"{BLANK}[,)]"
 
 

@@ -15,7 +15,8 @@ def names(items) -> str:
 
 
 KIND = f"""CASE WHEN lower({BASE}) IN {names(classify.MANIFEST_NAMES)} THEN 'manifest'
- WHEN regexp_matches(lower({BASE}), {literal(classify.TEST_NAME)})
+ WHEN lower({BASE}) IN ('conftest.py', 'tests.rs') OR regexp_matches(lower({BASE}), '^test_.*[.](py|rs)$')
+   OR regexp_matches(lower({BASE}), '(_test[.](go|py|rb|rs)|_tests[.]rs|_spec[.]rb|[.](spec|test)[.]([cm]js|[jt]sx?))$')
    OR list_has_any(string_split(lower(path), '/'), {literal(list(classify.TEST_DIRECTORIES))}) THEN 'test'
  WHEN lower({BASE}) IN ('.env', '.envrc') OR starts_with(lower({BASE}), '.env.') THEN 'config'
  WHEN {EXT} IN {names(classify.SOURCE_EXTENSIONS)} THEN 'source'
