@@ -20,6 +20,7 @@ rows count as vectors of their own. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,8 @@ COSINE = 0.98
 CENTERS, BLOCK = 16, 1024
 #: Rounding that bounds allow for; final decisions compare the cosine itself.
 SLACK = 1e-7
-LEAF = 8
+#: Points of a node that is not split further, and trees that a task keeps for the next pairs of its blocks.
+LEAF, KEPT_TREES = 32, 16
 
 
 def reach(cosine: float) -> float:
@@ -147,9 +149,13 @@ def dual(a: Tree, b: Tree, weight_a: np.ndarray, weight_b: np.ndarray, cosine: f
         hit = a.points[ia] @ b.points[jb].T >= cosine
         if same:
             hit &= ia[:, None] < jb[None, :] if x == y else True
+        links_a[ia] += hit @ weight_b[jb]
+        links_b[jb] += weight_a[ia] @ hit
+        if hit.all():  # all of one group: a chain says as much as every pair
+            for k in (*ia.tolist(), *(shift + jb).tolist()):
+                groups.join(int(ia[0]), k)
+            return
         for i, j in zip(*np.nonzero(hit), strict=True):
-            links_a[ia[i]] += weight_b[jb[j]]
-            links_b[jb[j]] += weight_a[ia[i]]
             groups.join(int(ia[i]), shift + int(jb[j]))
 
     while stack:
@@ -257,16 +263,29 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
             .join(blocks.select(F.col("block").alias("other"), F.col("own").alias("y")), "other").select("block", "other", "x", "y"))
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: OrderedDict[int, tuple[Tree, np.ndarray, list[int]]] = OrderedDict()
+
+        def tree_of(block: int, own: pa.Scalar) -> tuple[Tree, np.ndarray, list[int]]:
+            """Tree, counts and ids of a block in the tree's order; those used last are kept."""
+            if block not in trees:
+                points = own.values
+                units = points.field("unit")
+                tree = build(units.flatten().to_numpy(zero_copy_only=False).reshape(len(points), -1))
+                counts, ids = (points.field(f).to_numpy(zero_copy_only=False)[tree.order] for f in ("n", "class_id"))
+                trees[block] = tree, counts, ids.tolist()
+                if len(trees) > KEPT_TREES:
+                    trees.popitem(last=False)
+            trees.move_to_end(block)
+            return trees[block]
+
         for batch in batches:
             for k in range(batch.num_rows):
-                same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
-                left = batch.column(2)[k].as_py()
-                right = left if same else batch.column(3)[k].as_py()
-                a = build(_matrix([s["unit"] for s in left]))
-                b = a if same else build(_matrix([s["unit"] for s in right]))
-                wa, wb = (np.array([s["n"] for s in own], np.int64)[t.order] for own, t in ((left, a), (right, b)))
+                left, right = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                same = left == right
+                a, wa, ids_a = tree_of(left, batch.column(2)[k])
+                b, wb, ids_b = (a, wa, ids_a) if same else tree_of(right, batch.column(3)[k])
                 la, lb, groups = dual(a, b, wa, wb, cosine, same)
-                ids = [left[i]["class_id"] for i in a.order] + ([] if same else [right[i]["class_id"] for i in b.order])
+                ids = ids_a + ([] if same else ids_b)
                 links = la.tolist() + ([] if same else lb.tolist())
                 hit = [i for i, n in enumerate(links) if n]
                 yield pa.RecordBatch.from_arrays([
