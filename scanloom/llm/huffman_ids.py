@@ -16,8 +16,11 @@ Rows with a null key come first. An empty table gives an empty codebook and no s
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import merge
 
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import Memo, chunks, new_path, save, slices, spelled
+from scanloom.llm.common import MEMO_ENTRIES, new_path, save, slices
 
 #: Longest code in bits; 2**LIMIT must not be below the number of distinct ids.
 LIMIT = 18
@@ -34,6 +37,8 @@ LIMIT = 18
 BLOCK = 512
 #: A segment ends with the document that reaches so many ids.
 SEGMENT = 1 << 18
+#: Chunks of texts that are numbered at once.
+CHUNKS = 1 << 20
 
 TOKENS = "doc_id long, n long, ids binary"
 SEGMENTS = ("shard int, seq int, first_id long, n_ids long, doc_ids array<long>, doc_lens array<long>, "
@@ -56,58 +61,149 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+_GRAPHIC, _CUT, _MARK, _ALNUM = (np.zeros(256, bool) for _ in range(4))
+_GRAPHIC[33:] = True
+_CUT[[ord(" "), ord("\n")]] = True
+_MARK[[ord(","), ord(".")]] = True
+_ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
+#: White space outside ASCII; its bytes look like those of letters, so a text that holds some is not cut.
+_WIDE_SPACE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes where the pattern always begins a new piece whatever stands around them.
+
+    They are every single space and line end between two characters that are no white space, and every
+    comma or full stop after an ASCII letter or digit (an underscore is punctuation and may form one
+    piece with the mark). White space outside ASCII is not looked for; see `_WIDE_SPACE`.
+    """
+    if len(data) < 2:
+        return np.zeros(0, np.int64)
+    here = _MARK[data[1:]] & _ALNUM[data[:-1]]
+    here[:-1] |= _CUT[data[1:-1]] & _GRAPHIC[data[:-2]] & _GRAPHIC[data[2:]]
+    return np.flatnonzero(here) + 1
+
+
+class Encoder:
+    """Ids of whole texts, a call for each chunk not met before: chunks of a batch are numbered by Arrow,
+    the distinct ones looked up or encoded, and ids gathered by number."""
+
+    def __init__(self, tokenizer: str, special_as_text: bool):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(tokenizer)
+        self.model.encode_special_tokens = special_as_text
+        added = [t.content for t in self.model.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.kind = id_type(self.model.get_vocab_size())
+        self.spell, self.added = byte_letters(), added
+        self.letters = any(a.isalpha() for a in added)  # an added token may stand inside a word
+        self.newline = self.encode_whole(["\n"])[0]
+        self.memo: dict[str, bytes] = {}
+
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, chunks: list[str]) -> dict[str, bytes]:
+        """Letters up to U+024F behind a space, a line end or nothing form one piece of the tokenizer's pattern, so
+        its merges alone give their ids. Any other chunk goes through the whole tokenizer."""
+        found, rest, merge, code = {}, [], self.model.model.tokenize, self.kind.char
+        for c in chunks:
+            mark, w = (c[0], c[1:]) if c[:1] in (" ", "\n") else ("", c)
+            if not w.isalpha() or max(w) >= "\u0250" or self.letters:
+                rest.append(c)
+                continue
+            w = c if mark == " " else w
+            spelt = w.replace(" ", self.spell[32]) if w.isascii() else w.encode().decode("latin-1").translate(self.spell)
+            ids = array(code, [t.id for t in merge(spelt)]).tobytes()
+            found[c] = self.newline + ids if mark == "\n" else ids
+        if rest:
+            found.update(zip(rest, self.encode_whole(rest), strict=True))
+        return found
+
+    def known(self, chunks: list[str]) -> list[bytes]:
+        values = list(map(self.memo.get, chunks))
+        new = [c for c, v in zip(chunks, values, strict=True) if v is None]
+        if new:
+            found = self.encode(new)
+            if len(self.memo) < MEMO_ENTRIES:
+                self.memo.update((c, v) for c, v in found.items() if len(c) <= 64)
+            values = [found[c] if v is None else v for c, v in zip(chunks, values, strict=True)]
+        return values
+
+    def ids(self, data: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the bytes, number of ids of each chunk); `begins` has the chunks' first bytes and the end of the last."""
+        numbered = pa.StringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        spelt = self.known(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(spelt), self.kind)
+        size = np.fromiter(map(len, spelt), np.int64, len(spelt)) // self.kind.itemsize
+        first, number = np.cumsum(size) - size, numbered.indices.to_numpy()
+        n = size[number]
+        ends = np.cumsum(n)
+        at = np.repeat(first[number] - (ends - n), n)
+        at += np.arange(len(at))
+        return flat[at], n
+
+    def is_whole(self, text: str) -> bool:
+        """Whether a text is not cut: it holds an added token's string or white space outside ASCII."""
+        return any(a in text for a in self.added) or not text.isascii() and _WIDE_SPACE.search(text) is not None
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if not self.is_whole(t)]
+        for i in set(range(len(texts))) - set(plain):
+            out[i] = self.encode_whole([texts[i]])[0]
+        held = [texts[i].encode() for i in plain]
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        data, ends = b"".join(held), np.cumsum(sizes)
+        del held
+        view = np.frombuffer(data, np.uint8)
+        inner = cuts(view)
+        # A space that ends a text, or a cut that rests on the text before, is no cut by this rule; borders always are.
+        borders = np.unique(np.concatenate([ends - sizes, ends]))
+        near = np.searchsorted(inner, np.concatenate([borders, borders - 1]))
+        near = near[near < len(inner)]
+        inner = np.delete(inner, near[np.isin(inner[near], np.concatenate([borders, borders - 1]))])
+        begins = np.insert(inner, np.searchsorted(inner, borders), borders)
+        where = np.searchsorted(begins, ends)  # chunks before the end of each text
+        parts, counts = [], []
+        for a in range(0, len(begins) - 1, CHUNKS):
+            some = begins[a:a + CHUNKS + 1]
+            ids, n = self.ids(data[some[0]:some[-1]], some - some[0])
+            parts.append(ids)
+            counts.append(n)
+        ids = np.concatenate(parts) if parts else np.zeros(0, self.kind)
+        total = np.concatenate([[0], *counts]).cumsum()[where].tolist()
+        for i, a, b in zip(plain, [0, *total], total):
+            out[i] = ids[a:b].tobytes()
+        return out
+
+
+@lru_cache(1)
+def worker_encoder(tokenizer: str, special_as_text: bool) -> Encoder:
+    """A Python worker keeps its encoder, and the chunks it knows, from task to task."""
+    return Encoder(tokenizer, special_as_text)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None, key: str = "doc_id", text: str = "text",
              special_as_text: bool = False) -> DataFrame:
     """(doc_id, n, ids) of whole texts; ids as little-endian integers of `id_type`. Texts stay with their task.
 
-    The tokenizer sees a text in chunks cut before single spaces, line ends and the comma or full
-    stop after a word: its pattern always cuts there, so the chunks give the ids of the whole text,
-    and known chunks need no second call. This holds for byte-level tokenizers of that pattern. A text
-    that holds a string of an added token is not cut. With `special_as_text` the strings of special
-    tokens are ordinary text; without, they get their ids, as the library does by default.
+    The tokenizer sees a text in chunks (see `cuts`): its pattern always begins a new piece there, so the
+    chunks give the ids of the whole text, and known chunks need no second call. This holds for byte-level
+    tokenizers of that pattern. A text that holds a string of an added token, or white space outside ASCII,
+    is not cut. With `special_as_text` the strings of special tokens are ordinary text; without, they get
+    their ids, as the library does by default.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = special_as_text
-        added = [t.content for t in model.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
-        kind = id_type(model.get_vocab_size())
-
-        def ids_of(raw: list[str]) -> list[list[int]]:
-            return [e.ids for e in model.encode_batch_fast(raw, add_special_tokens=False)]
-
-        def holds_added(t: str) -> bool:
-            return any(a in t for a in added)
-
-        def parts_of(t: str) -> list[str]:
-            return ["\r" + t] if holds_added(t) else chunks(t, marks=True)
-
-        bpe, spell = model.model, byte_letters()
-        newline = np.array(ids_of(["\n"])[0], kind).tobytes()
-
-        def encode(names: list[str]) -> list[bytes]:
-            # Words of Latin letters are one piece of the tokenizer's pattern, so its merges alone
-            # give their ids. Any other chunk goes through the whole tokenizer.
-            words = [n for n in names if (w := n[1:] if n[:1] in "\r\n" else n).isalpha() and max(w) < "\u0250"
-                     and not holds_added(n)]
-            bare = [n[1:] if n[:1] in "\r\n" else " " + n for n in words]
-            spelt = [w.replace(" ", spell[32]) if w.isascii() else w.encode().decode("latin-1").translate(spell) for w in bare]
-            found = {n: (newline if n[:1] == "\n" else b"") + np.array([t.id for t in bpe.tokenize(w)], kind).tobytes()
-                     for n, w in zip(words, spelt, strict=True)}
-            rest = [n for n in names if n not in found]
-            found.update((n, np.array(i, kind).tobytes()) for n, i in
-                         zip(rest, ids_of([spelled(n, True) for n in rest]), strict=True))
-            return [found[n] for n in names]
-
-        memo, end = Memo(encode), b"" if end_id is None else np.array([end_id], kind).tobytes()
-        for batch in slices(batches, 1, 1 << 20):
-            out = [x + end for x in memo.joined([parts_of(t or "") for t in batch.column(1).to_pylist()])]
-            n = pa.array([len(x) // kind.itemsize for x in out], pa.int64())
+        encoder = worker_encoder(tokenizer, special_as_text)
+        end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
+        for batch in slices(batches, 1):
+            out = [x + end for x in encoder.texts([t or "" for t in batch.column(1).to_pylist()])]
+            n = pa.array([len(x) // encoder.kind.itemsize for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, TOKENS)

@@ -30,6 +30,19 @@ def test_chunks_give_the_ids_of_the_text(text):
     assert sum(parts, []) == model.encode(text, add_special_tokens=False).ids
 
 
+def test_batches_of_texts_give_the_ids_of_each_text(monkeypatch):
+    """Borders of texts, marks, line ends, wide spaces, strings of special tokens, and blocks of few chunks."""
+    from tokenizers import Tokenizer
+
+    r, model, encoder = random.Random(11), Tokenizer.from_file(BPE), h.Encoder(BPE, False)
+    signs = ["a", "Z", "é", "я", "漢", "1", "²", "_", ".", ",", "'s", "'", " ", " ", "\n", "\t", "\r", "\u2581", "\u00a0", "\x85", "-", "<|endoftext|>", "word"]
+    texts = ["".join(r.choices(signs, k=r.randrange(12))) for _ in range(6000)] + ["", " ", " a", "a ", "word " * 3000]
+    monkeypatch.setattr(h, "CHUNKS", 50)
+    for k in range(0, len(texts), 400):
+        for text, got in zip(texts[k:k + 400], encoder.texts(texts[k:k + 400]), strict=True):
+            assert np.frombuffer(got, encoder.kind).tolist() == model.encode(text, add_special_tokens=False).ids, text
+
+
 def test_codes_are_optimal_and_limited():
     counts = {i: 2**i for i in range(20)}
     for limit in (5, 8, 19):
