@@ -16,6 +16,9 @@ TTL_HOURS = 24
 
 #: Levels of the cells over one name's versions: 2**32 different bounds of ranges at most.
 LEVELS = 32
+#: A name with more distinct versions and more advisories than this meets in cells. All others are compared
+#: pair by pair, which makes at most this many pairs a row of the longer side.
+NARROW = 16
 
 
 def match_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -24,25 +27,56 @@ def match_advisories(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     Advisories carry ``ecosystem, name``, and a ``versions`` list and / or a half-open ``[introduced, fixed)``
     range (either end may be null). A package with no version matches nothing.
 
-    Versions and ranges meet in cells, never as all pairs of a name. Distinct versions and the bounds of ranges are sorted
+    Most names have few versions or few advisories: these are joined by name and compared. Where both are many,
+    versions and ranges meet in cells, never as all pairs of a name. Distinct versions and the bounds of ranges are sorted
     together; the count of bounds up to a version is its slot, and a range is an interval of slots. An interval is cut into
     at most two dyadic cells a level, a slot lies in one cell of each level, and a cell that is equal on both sides
-    is a match, found exactly once. So the join makes as many rows as there are matches, whatever the
+    is a match, found exactly once. So the joins make rows in proportion to rows and matches, whatever the
     number of versions or ranges of a name.
     """
     keys = ["ecosystem", "name", "version"]
     own = save(advisories.withColumn("_advisory", F.monotonically_increasing_id()), "advisories")
+    # Used twice, and lock files are long to read.
+    packages = save(packages, "packages")
     # Partial aggregation runs before the shuffle, which removes the popular keys there.
     distinct = save(packages.select(*keys).filter("version is not null").distinct(), "versions")
-    hits = _in_range(distinct, own)
-    if "versions" in advisories.columns:
-        listed = own.select("ecosystem", "name", F.explode(F.array_distinct("versions")).alias("version"), "_advisory")
-        hits = hits.unionByName(distinct.join(listed, keys).select(*keys, "_advisory")).distinct()
+    wide = save(_many(distinct).join(_many(own), keys[:2]), "wide-names")
+    if wide.isEmpty():
+        covered = _pairs(distinct, own)
+    else:
+        covered = _pairs(*[side.join(wide, keys[:2], "left_anti") for side in (distinct, own)]).unionByName(
+            _cells(*[side.join(wide, keys[:2], "left_semi") for side in (distinct, own)]))
     # What a popular version is covered by is joined last; adaptive execution splits the copies of such a version.
-    covered = hits.join(own.drop("ecosystem", "name"), "_advisory").drop("_advisory")
     return packages.join(covered, keys)
 
 
+def _many(rows: DataFrame) -> DataFrame:
+    """Names with more than ``NARROW`` rows."""
+    return rows.groupBy("ecosystem", "name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > NARROW).select("ecosystem", "name")
+
+
+def _pairs(versions: DataFrame, advisories: DataFrame) -> DataFrame:
+    """(ecosystem, name, version, rest of the advisory) of names joined and compared."""
+    keys = ["ecosystem", "name", "version"]
+    rest = [c for c in advisories.columns if c not in (*keys[:2], "_advisory")]
+    version = F.col("_key")
+    inside = (F.col("introduced").isNotNull() | F.col("fixed").isNotNull()) & (
+        F.col("introduced").isNull() | (version >= version_key("introduced"))) & (F.col("fixed").isNull() | (version < version_key("fixed")))
+    if "versions" in advisories.columns:
+        inside = F.coalesce(F.array_contains("versions", F.col("version")), F.lit(False)) | inside
+    return versions.withColumn("_key", version_key("version")).join(advisories, keys[:2]).filter(inside).select(*keys, *rest)
+
+
+def _cells(versions: DataFrame, advisories: DataFrame) -> DataFrame:
+    """The same of names whose pairs would be too many."""
+    keys = ["ecosystem", "name", "version"]
+    hits = _in_range(versions, advisories)
+    if "versions" in advisories.columns:
+        listed = advisories.select("ecosystem", "name", F.explode(F.array_distinct("versions")).alias("version"), "_advisory")
+        hits = hits.unionByName(versions.join(listed, keys).select(*keys, "_advisory")).distinct()
+    return hits.join(advisories.drop("ecosystem", "name"), "_advisory").drop("_advisory")
+
+
 def _in_range(versions: DataFrame, advisories: DataFrame) -> DataFrame:
     """(ecosystem, name, version, _advisory) of versions inside a range."""
     name = ["ecosystem", "name"]
@@ -55,6 +89,8 @@ def _in_range(versions: DataFrame, advisories: DataFrame) -> DataFrame:
     both = bounds.select(*name, "_key", F.lit(0).alias("_kind"), none.alias("version")).unionByName(
         asked.select(*name, "_key", F.lit(1).alias("_kind"), "version"))
     # A bound comes before the versions that equal it: a version's slot counts it.
+    # The ranges of an order are found before it is dealt: keys are made once for both.
+    both = save(both, "bounds")
     slots = carried(seated(both, name, ["_key", "_kind"]), name, F.sum, (F.lit(1) - F.col("_kind")).cast("long"), lambda a, b: a + b, "slot")
     slots = save(slots, "slots")
     at = slots.filter("_kind = 0").select(*name, "_key", "slot")

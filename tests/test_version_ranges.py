@@ -5,6 +5,7 @@ import random
 import scanloom as sl
 from pyspark.sql import functions as F
 from scanloom.functions.versions import version_key
+from scanloom.operators import advisories as advisories_module
 from scanloom.operators.advisories import dyadic
 
 ADVISORY = "id string, ecosystem string, name string, introduced string, fixed string, versions array<string>"
@@ -71,3 +72,21 @@ def test_a_name_with_very_many_versions(spark):
     assert counts.filter("count = 60").count() == ranges - 1
     joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
     assert joins and not any("NestedLoop" in j or "Cartesian" in j for j in joins)
+
+
+def test_names_with_few_versions_or_few_ranges_are_not_ordered(spark, monkeypatch):
+    """Many names of a few versions, and one with very many versions and a few ranges: joined by name, no sort of all bounds."""
+    def no_order(*_):
+        raise AssertionError("an order over all bounds")
+
+    monkeypatch.setattr(advisories_module, "seated", no_order)
+    rng = random.Random(10)
+    packages = [("npm", f"p{i % 300}", version(rng), f"s{i % 7}") for i in range(900)] + [("npm", "hot", f"1.{i}", "s") for i in range(2000)] + [
+        ("npm", None, "1.0", "s"), (None, "p1", "1.0", "s"), ("npm", "p1", None, "s")] + [("npm", "p2", "1.0", "s")] * 2
+    advisories = [(f"A-{i % 500}", "npm", rng.choice([f"p{i % 320}", "p2", None]), *(version(rng) if rng.random() < .8 else None for _ in "ab"),
+                   rng.choice([None, [], [version(rng), None, "1.0", "1.0"]])) for i in range(40)]
+    advisories += [(f"H-{i}", "npm", "hot", f"1.{i * 100}", f"1.{i * 100 + 150}" if i % 3 else None, None) for i in range(10)]
+    p, a = spark.createDataFrame(packages, PACKAGE).repartition(5), spark.createDataFrame(advisories, ADVISORY)
+    found, expected = sl.match_advisories(p, a).select("ecosystem", "name", "version", "source", "id"), plain(spark, p, a)
+    assert expected.count() > 3000
+    assert found.exceptAll(expected).count() == 0 and expected.exceptAll(found).count() == 0
