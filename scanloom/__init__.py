@@ -9,7 +9,7 @@ from scanloom.operators.advisories import (
 from scanloom.operators.classify import drop_minified, route_family, with_kind
 from scanloom.operators.directives import apply_directives, directives_for, parse_directives
 from scanloom.operators.documents import (
-    cyclonedx_records, sarif_records, spdx_records, to_cyclonedx, to_sarif, to_spdx, write_document, write_documents,
+    cyclonedx_records, place_packages, sarif_records, spdx_records, to_cyclonedx, to_sarif, to_spdx, write_document, write_documents,
 )
 from scanloom.operators.fixes import apply_fixes, fix_counts, plan_fixes
 from scanloom.operators.packages import extract_packages, inventory, with_format

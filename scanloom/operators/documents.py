@@ -109,13 +109,28 @@ def sarif_records(findings: DataFrame, by: Column | None = None, tool: str = TOO
 
 # --- inventories ----------------------------------------------------------------
 
-def _placed_packages(packages: DataFrame, by: Column | None, page_size: int | None) -> DataFrame:
-    """Distinct packages of every unit in order, kept for the head, the items and the foot."""
+#: Columns that a table of placed packages has and a table of packages has not.
+PLACED = {"unit", "page", "position"}
+
+
+def place_packages(packages: DataFrame, by: Column | None = None, page_size: int | None = None) -> DataFrame:
+    """Distinct packages of every unit with their places, kept for the head, the items and the foot.
+
+    Every kind of document takes such a table in place of packages: several documents of one inventory read and order it once.
+    """
     unit = repository(F.col("source")) if by is None else by
     distinct = packages.select(unit.alias("unit"), "ecosystem", "name", "version").distinct()
     return save(_paged(with_positions(distinct, ["ecosystem", "name", "version"], ["unit"]), page_size), "packages")
 
 
+def _placed_packages(packages: DataFrame, by: Column | None, page_size: int | None) -> DataFrame:
+    if not PLACED <= set(packages.columns):
+        return place_packages(packages, by, page_size)
+    if by is not None or page_size is not None:
+        raise ValueError("placed packages have their units and pages")
+    return packages
+
+
 def _document(items: DataFrame, head: Column, item: Column) -> DataFrame:
     units = items.select("unit", "page").distinct()
     return (_fixed(units, HEAD, head).unionByName(_listed(items, ITEMS, item)).unionByName(_fixed(units, FOOT, F.lit("]}"))))

@@ -56,4 +56,14 @@ def with_positions(df: DataFrame, order: list, group: list[str] | None = None, n
     """Add the place, from 0, of every row within its group in the given order."""
     group = group or []
     ranges = seated(df, group, order, partitions)
-    return carried(ranges, group, F.sum, F.lit(1).cast("long"), lambda a, b: a + b, name).withColumn(name, F.col(name) - 1)
+    # A group's rows are neighbours in a range, so their seats count them: only a row per range and group is aggregated, and written
+    # so that its size is known when it is joined.
+    seat = F.col("_seat").bitwiseAND(F.lit((1 << SEAT_BITS) - 1))
+    ends = ranges.groupBy("_range", *group).agg(F.count(F.lit(1)).alias("_rows"), F.min(seat).alias("_first"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = save(ends.select(F.col("_range").alias("_r"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+                              (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")), "starts")
+    same = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return ranges.join(starts, same).select(*[c for c in ranges.columns if c not in ("_seat", "_range")], (seat + F.col("_shift")).alias(name))

@@ -2,9 +2,12 @@
 
 import json
 
+import pytest
 import scanloom as sl
 from pyspark.sql import functions as F
+from scanloom.operators import documents as documents_module
 from scanloom.operators.documents import ITEMS, cyclonedx_records, sarif_records, spdx_records, write_document, write_documents
+from scanloom.operators.order import with_positions
 from scanloom.schema import FINDING_COLUMNS
 
 
@@ -87,3 +90,20 @@ def test_pages_are_exact(spark):
 
 def test_no_items(spark):
     assert cyclonedx_records(packages(spark, 0)).count() == 0 and sl.to_sarif(found(spark, 0)).count() == 0
+
+
+def test_documents_of_one_inventory_order_it_once(spark, monkeypatch):
+    """Placed packages give the records of packages, without another order; places need no window over the rows."""
+    placed = documents_module.place_packages(packages(spark, 500))
+    plain = {kind: kind(packages(spark, 500)) for kind in (cyclonedx_records, spdx_records)}
+    with pytest.raises(ValueError):
+        cyclonedx_records(placed, page_size=10)
+    monkeypatch.setattr(documents_module, "with_positions", None)
+    for kind, expected in plain.items():
+        found = kind(placed)
+        assert found.exceptAll(expected).count() == 0 and found.count() == expected.count() == 500 + 2 * 6
+
+
+def test_places_come_from_seats(spark):
+    plan = with_positions(packages(spark, 300).select("unit_", "name"), ["name"], ["unit_"], partitions=6)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan

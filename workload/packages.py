@@ -70,7 +70,7 @@ def lock_files(spark, sf, formats=None):
             continue
         text = part.select("p_brand", F.col("p_partkey").alias("ord"), F.expr(block).alias("block"))
         glue = "" if head in ("''",) or not head.startswith("'") or head.startswith("'{") else "\n"
-        joined = text.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("ord", "block"))).alias("b"))
+        joined = text.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("ord", "block"))).alias("b"))
         one = joined.select(
             F.concat(F.lit("r/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(f"/{_FILE[fmt]}")).alias("path"),
             F.concat(F.expr(head), F.lit(glue), F.array_join(F.col("b.block"), "\n" if sep == NL else ","), F.expr(foot)).alias("content"))
@@ -249,12 +249,13 @@ SELECT 'cyclonedx' AS document, unit, 3 AS section, position, name, version, url
 UNION ALL SELECT 'spdx', unit, 3, position, name, version, url, 'SPDXRef-Package-' || position FROM i
 UNION ALL SELECT d, unit, s, 0, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT unit FROM p), (SELECT unnest(['cyclonedx', 'spdx']) AS d), (SELECT unnest([0, 4]) AS s)""")
 def inventory_documents(spark, sf):
-    p = sl.extract_packages(lock_files(spark, sf))
-    shape = "`bom-ref` string, SPDXID string, name string, version string, versionInfo string, purl string, externalRefs array<struct<referenceLocator:string>>"
-    item = F.when(F.col("section") == 3, F.from_json(F.regexp_replace("record", "^,", ""), shape))
+    # Both documents list the same packages: they are read and ordered once.
+    p = sl.place_packages(sl.extract_packages(lock_files(spark, sf)))
+    shapes = {"cyclonedx": "`bom-ref` string, name string, version string, purl string",
+              "spdx": "SPDXID string, name string, versionInfo string, externalRefs array<struct<referenceLocator:string>>"}
 
     def items(records, kind):
-        r = records.withColumn("i", item)
+        r = records.withColumn("i", F.when(F.col("section") == 3, F.from_json(F.regexp_replace("record", "^,", ""), shapes[kind])))
         return r.select(F.lit(kind).alias("document"), "unit", "section", "position", "i.name", F.col("i.versionInfo").alias("version"),
                         F.get("i.externalRefs", F.lit(0))["referenceLocator"].alias("purl"),
                         F.col("i.SPDXID").alias("id")) if kind == "spdx" else r.select(
