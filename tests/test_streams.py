@@ -1,4 +1,5 @@
 import scanloom as sl
+from workload import streams
 
 DOCS = [("a.py", "hashlib.md5(x)\n"), ("b.js", "eval(x)\n"), ("c.md", "eval(x)\n"), ("d.py", "pickle.loads(x)\n")]
 
@@ -32,3 +33,22 @@ def test_latest_state(spark, tmp_path):
     assert key(smaller.findings(spark)) == expected
     smaller.upsert(df.filter("version = 1"), 3)  # an old version arrives late
     assert key(smaller.findings(spark)) == expected
+
+
+def test_versions_arrive_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """More text makes more files, not longer ones; batches stay three, and findings the same."""
+    data = str(tmp_path / "data")
+    spark.range(30).selectExpr("id as doc_id", "repeat('some prose ', 50) as text", "'en' as lang", "'s' as source").write.parquet(f"{data}/documents.parquet")
+    spark.range(600).selectExpr("id as event_id", "element_at(array('signup','click','view','purchase','error'), int(id % 5) + 1) as event_type").write.parquet(
+        f"{data}/events.parquet")
+    found = {}
+    for size in (streams.FILE_BYTES, 10_000):
+        monkeypatch.setattr(streams, "FILE_BYTES", size)
+        monkeypatch.setattr(streams, "_folder", lambda _, name, size=size: str(tmp_path / f"{name}-{size}"))
+        found[size] = sorted(map(str, streams.stream_latest_state(spark, data).collect()))
+        files = len(list((tmp_path / f"versions-in-{size}").glob("part-*")))
+        batches = len(list((tmp_path / f"finding-log-{size}").glob("batch=*")))
+        assert files <= 6 if size > 10_000 else files > 25
+        assert batches == 3
+    few, many = found.values()
+    assert few == many and len(few) > 10
