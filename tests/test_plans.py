@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import scanloom as sl
+from workload import corpora
 
 
 def plan_of(df):
@@ -61,3 +62,13 @@ def test_findings_are_kept_where_the_cluster_says(spark):
         assert "Generate" not in plan and "Range" not in plan
     else:
         assert kept.storageLevel.useMemory and kept.storageLevel.useDisk
+
+
+def test_samples_meet_texts_where_they_lie(spark, tmp_path):
+    """The sample corpora shuffle no text: each document meets its sample by a broadcast of the small table."""
+    spark.range(400).selectExpr("id as doc_id", "'prose' as text", "'en' as lang", "'s' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    for corpus in (corpora.samples, corpora.manifests):
+        df = corpus(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert df.count() == 400 and [f.name for f in df.schema] == ["doc_id", "sample_code", "path", "content"]
