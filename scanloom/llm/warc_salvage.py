@@ -40,6 +40,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
 #: The empty gzip member that separates two records.
 EMPTY = bytes.fromhex("1f8b0800000000000003" + "0300" + "00" * 8)
+#: Bytes that the reader unpacks at once; what lies behind a member's end is handed back as a copy.
+STEP = 4 << 10
 
 RECORDS = ("file string, at long, span long, kind string, record_type string, page_id long, url string, payload_bytes long, "
            "payload_digest string, refers_to long, reason string")
@@ -136,14 +138,18 @@ _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """A whole member's content and where it ends; the checksum and length at its end are verified by zlib."""
-    unpacker = zlib.decompressobj(31)
+    if data.startswith(EMPTY, at):
+        return b"", at + len(EMPTY)
+    unpacker, view, out = zlib.decompressobj(31), memoryview(data), []
     try:
-        out = unpacker.decompress(memoryview(data)[at:])
+        while not unpacker.eof and at < len(data):
+            out.append(unpacker.decompress(view[at:at + STEP]))
+            at = min(at + STEP, len(data))
     except zlib.error as e:
         raise Damaged(f"member: {e}") from None
     if not unpacker.eof:
         raise Damaged("member: cut off")
-    return out, len(data) - len(unpacker.unused_data)
+    return b"".join(out), at - len(unpacker.unused_data)
 
 
 def _names(lines: bytes) -> set[bytes]:

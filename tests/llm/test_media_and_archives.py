@@ -235,6 +235,29 @@ def test_urls_like_version_lines_and_long_headers(spark, compress):
     assert {r.kind for r in rows} == {"record"} and sorted((r.page_id, r.url) for r in rows) == list(enumerate(urls))
 
 
+def test_members_are_unpacked_without_the_rest_of_the_file(monkeypatch):
+    rng = np.random.default_rng(3)
+    payloads = [rng.bytes(n) for n in [2000] * 300 + [0, 1, a.STEP - 400, a.STEP, 3 * a.STEP + 1]]
+    parts = [a.record(i, None, p, None, a.digest_of(p)) for i, p in enumerate(payloads)]
+    whole, fed, real = b"".join(a.member(p) + a.EMPTY for p in parts), [], zlib.decompressobj
+
+    class Counted:
+        def __init__(self, *args):
+            self.own = real(*args)
+
+        def decompress(self, data):
+            fed.append(len(data))
+            return self.own.decompress(data)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(a.zlib, "decompressobj", Counted)
+    found = list(a.salvage(whole))
+    assert [f.block.partition(b"\r\n\r\n")[2] for f in found] == payloads and not any(f.reason for f in found)
+    assert sum(fed) < 8 * len(whole)
+
+
 def test_header_cut_off_inside_a_value():
     one, two = records(2)
     for cut in range(12, one.index(b"\r\n\r\n")):
