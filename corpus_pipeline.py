@@ -9,25 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import minhash_dedup, piece_spans, private_spans, source_mix, toxicity_trees
-from scanloom.llm.common import save
+from scanloom.llm.common import save, small_batches
 from scanloom.llm.queries import found_by_workers
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that score below the threshold. Null and empty texts are scored like others; rows with equal texts go together; an
     empty table stays empty."""
+    small_batches(spark)
     model = toxicity_trees.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity_trees.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, the one of the smallest doc_id; null and empty texts link with nothing and stay."""
+    small_batches(spark)
     return minhash_dedup.keep_one(docs)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row, its private spans replaced and its length counted anew. Null and empty texts stay as they are, repeated rows
     stay repeated, an empty table stays empty; a table without n_chars gets none."""
+    small_batches(spark)
     names = private_spans.name_words(docs)
     model = private_spans.learn(save(private_spans.find(docs, names=names), "spans"))
     masked = private_spans.redact(docs, model, names=names)
@@ -38,11 +41,13 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it (0, 1 or 2 times). Null sources are a source; null texts have no words and do not count."""
+    small_batches(spark)
     return source_mix.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str | None = None) -> DataFrame:
     """Piece ids and digests, a row per row; null and empty texts have no ids."""
+    small_batches(spark)
     if model is None:
         import public_tokenizers
 

@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import save, slices
+from scanloom.llm.common import lean, save, slices
 from scanloom.llm.graph import components
 
 WIDTH, SIMILARITY = 5, 0.75
 HASHES, ROWS = 200, 5
 #: Members that stand for a bucket in the first comparison, and members of a block in the second.
 HEADS, PACK = 2, 64
+#: Words whose hashes a task keeps.
+KNOWN = 100_000
 #: Share of equal minima that a candidate must have: 0.75 less four standard deviations.
 SIGNATURE_LEAST = 0.75 - 4 * (0.75 * 0.25 / HASHES) ** 0.5
 
@@ -64,7 +66,7 @@ class Shingler:
             return np.empty(0, np.uint64)
         hashes = list(map(self.known.get, words))
         if None in hashes:
-            if len(self.known) > 400_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             hashes = [self.known.setdefault(w, self.hash(w)) if h is None else h for w, h in zip(words, hashes, strict=True)]
         h = np.array(hashes, np.uint64)
@@ -108,7 +110,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
             ], ["doc_id", "n_shingles", "set_id", "bands", "minima"])
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, set_id binary, bands array<long>, minima binary")
+        lean(run), "doc_id long, n_shingles long, set_id binary, bands array<long>, minima binary")
 
 
 def shingle_sets(texts: DataFrame, asked: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -121,7 +123,7 @@ def shingle_sets(texts: DataFrame, asked: DataFrame, width: int = WIDTH) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "runs"])
 
     return texts.join(asked.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
-        run, "doc_id long, runs binary")
+        lean(run), "doc_id long, runs binary")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -137,7 +139,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     sized = (pairs.join(own.select(F.col("doc_id").alias("a"), F.col("minima").alias("x"), F.col("n_shingles").alias("n")), "a")
              .join(own.select(F.col("doc_id").alias("b"), F.col("minima").alias("y"), F.col("n_shingles").alias("m")), "b")
              .filter(100 * F.least("n", "m") >= 75 * F.greatest("n", "m")))
-    return sized.select("a", "b", "x", "y").mapInArrow(close, "a long, b long")
+    return sized.select("a", "b", "x", "y").mapInArrow(lean(close), "a long, b long")
 
 
 def alike(p: np.ndarray, q: np.ndarray) -> bool:
@@ -161,7 +163,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("x")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("y")), "b")
-            .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+            .select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long"))
 
 
 def across(member: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,7 +204,7 @@ def across(member: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found]), pa.array([max(f) for f in found])], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    return pairs.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:

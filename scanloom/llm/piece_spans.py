@@ -33,9 +33,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import Memo, chunks, slices, spelled
+from scanloom.llm.common import Memo, chunks, lean, slices, spelled
 
 SPACE = "▁".encode()
+#: Entries of a task's memo of chunks.
+MEMO_ENTRIES = 100_000
 SPANS = "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string"
 
 
@@ -170,7 +172,7 @@ class Encoder:
         self.by_chunk = (self.normalize.plain and 4 not in self.kinds
                          and not any("▁" in p.lstrip("▁") or "\n" in p for p in own))
         self.memo = Memo(lambda names: [array("i", i).tobytes() for i in self.bare.encode(
-            [lead + n[1:] if n[:1] == "\r" else spelled(n) for n in names], num_threads=1)])
+            [lead + n[1:] if n[:1] == "\r" else spelled(n) for n in names], num_threads=1)], MEMO_ENTRIES)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_chunk:
@@ -211,7 +213,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Recor
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, starts, ends, decoded) of whole texts; no shuffle."""
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(lambda b: _encoded(b, model), SPANS)
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(lean(lambda b: _encoded(b, model)), SPANS)
 
 
 def encode_digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -234,7 +236,7 @@ def encode_digests(docs: DataFrame, model: str, key: str = "doc_id", text: str =
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32", *more])
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long"
+        lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long"
         + ", ids array<int>" * with_ids)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import private_kinds
-from scanloom.llm.common import save, slices
+from scanloom.llm.common import lean, save, slices
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = KINDS + private_kinds.ADDED
@@ -274,7 +274,7 @@ def name_words(docs: DataFrame, text: str = "text") -> bytes:
         yield told_all
         yield pa.RecordBatch.from_arrays([pa.array(rest), pa.array(told[rest]), pa.array(every[rest])], ["bucket", "told", "every"])
 
-    sums = (docs.select(F.col(text).cast("string")).mapInArrow(run, "bucket long, told long, every long")
+    sums = (docs.select(F.col(text).cast("string")).mapInArrow(lean(run), "bucket long, told long, every long")
             .groupBy("bucket").agg(F.sum("told").alias("told"), F.sum("every").alias("every")).filter("told > 0"))
     return private_kinds.listed_bits([(r.bucket, r.told, r.every) for r in sums.collect()])
 
@@ -290,7 +290,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", names: bytes
             rows = [[dict(zip(fields, c, strict=True)) for c in candidates(t, names)] if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(lean(run), f"doc_id long, spans {SPANS}")
 
 
 def learn(found: DataFrame) -> dict[tuple[int, int], float]:
@@ -321,7 +321,7 @@ def report(found: DataFrame, model: dict[tuple[int, int], float], least: float =
                 pa.array([len(a) - len(b) for a, b in zip(own, base, strict=True)], pa.int64()),
             ], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
-    return found.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
+    return found.mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
                                  "n_added long")
 
 
@@ -345,7 +345,7 @@ def redact(docs: DataFrame, model: dict[tuple[int, int], float], text: str = "te
             new = pa.array([clean(t) for t in batch.column(place).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if k == place else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import save, slices
+from scanloom.llm.common import lean, save, slices
 
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_ROWS = 12_000
@@ -232,7 +232,7 @@ def learned_words(sample: DataFrame, least: int = 8, share: float = 0.6, size: i
                 batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())),
                 pa.array(kinds, pa.list_(pa.binary()))], ["doc_id", "toxic", "keys", "words"])
 
-    texts = save(sample.mapInArrow(run, "doc_id long, toxic int, keys array<long>, words array<binary>"), "toxic-words")
+    texts = save(sample.mapInArrow(lean(run), "doc_id long, toxic int, keys array<long>, words array<binary>"), "toxic-words")
     one = (texts.select("doc_id", F.posexplode("keys").alias("k", "key"))
            .withColumn("first", F.min("doc_id").over(Window.partitionBy("k", "key")))
            .groupBy("doc_id").agg(F.max(F.col("first") < F.col("doc_id")).alias("later")).filter("not later").select("doc_id"))
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))],
                                              ["doc_id", "toxic", "x"])
 
-    found = sample.mapInArrow(run, "doc_id long, toxic int, x array<double>").collect()  # at most `rows`
+    found = sample.mapInArrow(lean(run), "doc_id long, toxic int, x array<double>").collect()  # at most `rows`
     found.sort(key=lambda r: (r.doc_id, r.toxic, r.x))
     x, y = np.array([r.x for r in found]).reshape(-1, len(FEATURES)), np.array([r.toxic for r in found], float)
     if len(set(y.tolist())) < 2:
@@ -275,7 +275,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([model.lexicon.features(t or "") for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -288,7 +288,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             x = np.array([model.lexicon.features(t or "") for t in batch.column(place).to_pylist()])
             yield batch.filter(pa.array(model.score(x) < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from scanloom.llm import minhash_dedup, piece_spans, private_spans, source_mix
+from scanloom.llm import common, minhash_dedup, piece_spans, private_spans, source_mix
 from scanloom.llm import toxicity_trees as t
 from tests.llm.conftest import ROWS
 
@@ -87,3 +89,52 @@ def test_pipeline(spark):
     key = lambda df: sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in df.collect())
     assert key(encoded) == key(again)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in encoded.collect())
+
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_send_small_batches(spark, docs, stage):
+    long = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat(cast(id as string), 3000) text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    spark.conf.unset(BATCH)
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, SF)
+        seen = long.mapInArrow(sizes, "rows long, bytes long").collect()
+    finally:
+        spark.conf.unset(BATCH)
+    assert sum(r.rows for r in seen) == 3000 and max(r.bytes for r in seen) < common.BATCH_BYTES + (64 << 10)
+
+
+@pytest.mark.parametrize("own, then", [("1m", "1m"), ("64MB", str(4 << 20)), ("2048", "2048"), ("1g", str(4 << 20))])
+def test_smaller_batches_stay(spark, own, then):
+    spark.conf.set(BATCH, own)
+    try:
+        common.small_batches(spark)
+        assert spark.conf.get(BATCH).rstrip("b") == then
+    finally:
+        spark.conf.unset(BATCH)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    run = common.lean(lambda batches: (b + 1 for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 3] and given == [1]
+    part = run(iter([1, 2]))
+    assert next(part) == 2 and given == [1]
+    part.close()
+    assert given == [1, 1]
+
+
+def test_memos_end_at_their_limit():
+    memo = common.Memo(lambda names: [n.encode() for n in names], 3)
+    assert memo.joined([["a", "b", "c"], ["d", "a"], ["d", "e"]]) == [b"abc", b"da", b"de"]
+    more = len(memo)
+    assert memo.joined([["x", "y"]]) == [b"xy"] and len(memo) == more
+    assert piece_spans.Encoder(public_tokenizers.path("piece_bpe_32k.model")).memo.entries == piece_spans.MEMO_ENTRIES < common.MEMO_ENTRIES
