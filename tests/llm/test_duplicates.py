@@ -145,6 +145,35 @@ def test_repeats_of_odd_rows(docs, clashing, none, spark):
     assert [(r.n_removed, r.n_spans) for r in s.dedup(twice).collect()] == [(600, 1)] * 4
 
 
+@pytest.mark.parametrize("n", [2, 8, 9, 60])
+def test_ranges_around_an_anchor(n):
+    """Against every string of the group; a suffix's ranges neither overlap nor touch."""
+    rng = np.random.default_rng(n)
+    letters = np.frombuffer(b"ab\0\xff", np.uint8)
+    text = lambda k: rng.choice(letters, k).tobytes()
+    gram, before, after = text(200), text(300), text(300)
+    keys = Counter()
+    for _ in range(n):
+        left, right = (bytearray(x[:rng.integers(0, 301)] if rng.random() < 0.3 else x) for x in (before[::-1], after))
+        for part in (left, right):
+            if part and rng.random() < 0.8:
+                part[rng.integers(0, len(part))] ^= 1
+        doc = bytes(left)[::-1] + gram + bytes(right)
+        if len(doc) >= 400:
+            keys[s.suffix_at(doc, len(left))] += int(rng.integers(1, 3))
+    group = sorted(keys.items())
+    strings = [{k: left[len(left) - k:] + right[:400 - k] for k in range(201) if k <= len(left) and 400 - k <= len(right)}
+               for left, right in (s.parts_of(key) for key, _ in group)]
+    seen = Counter()
+    for own, (_, count) in zip(strings, group, strict=True):
+        for item in own.items():
+            seen[item] += count
+    got = s.covered(group)
+    assert [[k for low, high in sorted(ranges) for k in range(low, high + 1)] for ranges in got] == [
+        sorted(k for k, x in own.items() if seen[k, x] > 1) for own in strings]
+    assert all(b > a + 1 for ranges in got for (_, a), (b, _) in zip(sorted(ranges), sorted(ranges)[1:], strict=False))
+
+
 def test_merge_of_runs():
     rng = np.random.default_rng(0)
     for k in (1, 2, 3, 7):
