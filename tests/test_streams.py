@@ -1,3 +1,5 @@
+import time
+
 import scanloom as sl
 from workload import streams
 
@@ -52,3 +54,26 @@ def test_versions_arrive_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
         assert batches == 3
     few, many = found.values()
     assert few == many and len(few) > 10
+
+
+def test_room_grows_with_documents_not_with_versions(spark, tmp_path, monkeypatch):
+    """Each document has a hundred versions; neither their texts nor the shuffles of a batch stay on disk."""
+    data, local = str(tmp_path / "data"), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    spark.range(40).selectExpr("id as doc_id", "array_join(transform(sequence(1, 400), i -> sha2(concat(id, '/', i), 256)), ' ') as text", "'en' as lang", "'s' as source").write.parquet(
+        f"{data}/documents.parquet")
+    spark.range(4000).selectExpr("id as event_id", "element_at(array('signup','click','view','purchase','error'), int(id % 5) + 1) as event_type").write.parquet(
+        f"{data}/events.parquet")
+    monkeypatch.setattr(streams, "_folder", lambda _, name: str(tmp_path / name))
+    shuffled = []  # when a batch begins, what earlier ones left
+
+    def upsert(log, batch, batch_id, real=sl.FindingLog.upsert):
+        time.sleep(1)  # files are removed in the background
+        shuffled.append(sum(f.length() for f in map(local.getAllFiles().apply, range(local.getAllFiles().size())) if f.getName().endswith(".data")))
+        real(log, batch, batch_id)
+
+    monkeypatch.setattr(sl.FindingLog, "upsert", upsert)
+    found = streams.stream_latest_state(spark, data)
+    texts = 40 * 400 * 65
+    assert len(shuffled) == 3 and shuffled[2] - shuffled[0] < texts / 2
+    assert sum(f.stat().st_size for name in ("versions-in", "finding-log") for f in (tmp_path / name).rglob("*") if f.is_file()) < texts
+    assert found.count() > 5
